@@ -31,3 +31,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
+
+
+@query
+def op9_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
