@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -217,21 +217,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     merged = found.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c"))
     meta = every.filter("n > 0 and id is not null").select("id", "n", F.size("prefix").alias("p"), "late", "last").dropDuplicates(["id"])
     meta = scratch.keep(meta.join(skipped.groupBy("id").agg(F.count("*").alias("skips")), "id", "left").na.fill(0, ["skips"]), "meta")
-    one, two = meta.select(*(F.col(c).alias(f"{c}_a" if c != "id" else "a") for c in meta.columns)), meta.select(*(F.col(c).alias(f"{c}_b" if c != "id" else "b") for c in meta.columns))
-    sooner = F.struct("late_a", "last_a") <= F.struct("late_b", "last_b")
-    most = F.col("c") + F.least("skips_a", "skips_b") + F.when(sooner, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-    reach = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    likely = scratch.keep(merged.join(one, "a").join(two, "b").filter(reach).select("a", "b"), "likely")
-    # first round: the smallest partner of each document, and each long list from its smallest member
-    pivot = skipped.groupBy("s").agg(F.min("id").alias("a"))
-    sized = meta.select("id", "n")
+    # what a pair can share at most: short lists merged (c), lists skipped, and what lies past the sooner prefix
+    a, b = (meta.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p", "late", "last", "skips"))) for side in "ab")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        x, y = sized.select(F.col("id").alias("a"), F.col("n").alias("n_a")), sized.select(F.col("id").alias("b"), F.col("n").alias("n_b"))
-        return pairs.join(x, "a").join(y, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+    def reach(c: Column) -> Column:
+        past = F.when(F.struct("late_a", "last_a") <= F.struct("late_b", "last_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
+        most = F.least(c + F.least("skips_a", "skips_b") + past, F.col("n_a"), F.col("n_b"))
+        return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
 
+    likely = scratch.keep(merged.join(a, "a").join(b, "b").filter(reach(F.col("c"))).select("a", "b"), "likely")
+    # first round: the smallest partner of each document, and each long list from its smallest member
+    pivot = skipped.groupBy("s").agg(F.min("id").alias("a"))
     stars = skipped.join(pivot, "s").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(near(stars))
+    stars = stars.join(a, "a").join(b, "b").filter(reach(F.lit(0))).select("a", "b")
+    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
     links = verified(docs, first, width, percent, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
     # then what may still join two components
@@ -240,8 +239,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = skipped.join(comps.withColumnRenamed("node", "id"), "id", "left").select("s", "id", F.coalesce("component", "id").alias("c"))
     mixed = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("s")
     members = members.join(mixed, "s", "left_semi")
-    cross = members.select("s", F.col("id").alias("a"), F.col("c").alias("ca")).join(members.select("s", F.col("id").alias("b"), F.col("c").alias("cb")), "s").filter("a < b and ca <> cb").select("a", "b").distinct()
-    more = verified(docs, apart.union(near(cross)), width, percent, scratch)
+    x = members.select("s", F.col("id").alias("a"), F.col("c").alias("ca")).join(a, "a")
+    y = members.select("s", F.col("id").alias("b"), F.col("c").alias("cb")).join(b, "b")
+    cross = x.join(y, (x["s"] == y["s"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach(F.lit(0))).select("a", "b").distinct()
+    more = verified(docs, apart.union(cross), width, percent, scratch)
     if not more.isEmpty():
         comps = scratch.keep(connected_components(links.union(more), scratch), "components")
     out = every.join(classes, ["n", "k1", "k2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
