@@ -51,3 +51,25 @@ def op9_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict_languages
 
     return predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words of a text as the decontamination takes them, in DuckDB.
+WORDS_SQL = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op6_benchmark_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, CAST(count(*) AS INT) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n_item, CAST(count(*) AS INT) AS n_shared
+FROM bs JOIN ds USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
