@@ -220,28 +220,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what a pair can share at most: short lists merged (c), lists skipped, and what lies past the sooner prefix
     a, b = (meta.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p", "late", "last", "skips"))) for side in "ab")
 
-    def reach(c: Column) -> Column:
+    def reach(c: Column, skips: Column) -> Column:
         past = F.when(F.struct("late_a", "last_a") <= F.struct("late_b", "last_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-        most = F.least(c + F.least("skips_a", "skips_b") + past, F.col("n_a"), F.col("n_b"))
+        most = F.least(c + skips + past, F.col("n_a"), F.col("n_b"))
         return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
 
-    likely = scratch.keep(merged.join(a, "a").join(b, "b").filter(reach(F.col("c"))).select("a", "b"), "likely")
-    # first round: the smallest partner of each document, and each long list from its smallest member
+    likely = scratch.keep(merged.join(a, "a").join(b, "b").filter(reach(F.col("c"), F.least("skips_a", "skips_b"))).select("a", "b"), "likely")
+    of = lambda comps, c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    # a pair of long lists alone: the lists it shares are counted exactly
+    longs = scratch.keep(skipped.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("longs")).join(meta, "id"), "longs")
+    la, lb = (longs.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p", "late", "last", "skips", "longs"))) for side in "ab")
+    both = F.array_intersect("longs_a", "longs_b")
+    # the smallest partner of each document first, and each long list from its smallest member; that joins most of what links
     pivot = skipped.groupBy("s").agg(F.min("id").alias("a"))
     stars = skipped.join(pivot, "s").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").filter(reach(F.lit(0))).select("a", "b")
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
-    links = verified(docs, first, width, percent, scratch)
+    stars = stars.join(la, "a").join(lb, "b").filter(reach(F.size(both), F.lit(0))).select("a", "b")
+    links = verified(docs, likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars), width, percent, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
-    # then what may still join two components
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = likely.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    # then all that may still join two components, each pair from the first list that it shares
+    apart = likely.join(of(comps, "a"), "a", "left").join(of(comps, "b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     members = skipped.join(comps.withColumnRenamed("node", "id"), "id", "left").select("s", "id", F.coalesce("component", "id").alias("c"))
     mixed = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("s")
     members = members.join(mixed, "s", "left_semi")
-    x = members.select("s", F.col("id").alias("a"), F.col("c").alias("ca")).join(a, "a")
-    y = members.select("s", F.col("id").alias("b"), F.col("c").alias("cb")).join(b, "b")
-    cross = x.join(y, (x["s"] == y["s"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach(F.lit(0))).select("a", "b").distinct()
+    x = members.select(F.col("s").alias("sa"), F.col("id").alias("a"), F.col("c").alias("ca")).join(la, "a")
+    y = members.select(F.col("s").alias("sb"), F.col("id").alias("b"), F.col("c").alias("cb")).join(lb, "b")
+    cross = x.join(y, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach(F.lit(0), F.least("skips_a", "skips_b")) & (F.array_min(both) == F.col("sa")) & reach(F.size(both), F.lit(0))).select("a", "b")
     more = verified(docs, apart.union(cross), width, percent, scratch)
     if not more.isEmpty():
         comps = scratch.keep(connected_components(links.union(more), scratch), "components")
