@@ -5,7 +5,7 @@ merge of lowest rank. A merge changes three leaves and their paths to the root;
 the root is empty. Words of one power-of-two size are encoded together, one numpy row each, so a step of every
 word's tree is a few array operations.
 
-White space is dropped by these vocabularies, so a text is cut at ASCII white space and each distinct piece
+White space is dropped by these vocabularies, so a text is cut at white space and each distinct piece
 of a task is encoded once. Pieces still follow the file's own normalisation, splitting and special tokens.
 
 Null texts count as empty; empty texts have no ids and decode to the empty string. Length is no limit: a text without any
@@ -73,6 +73,7 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.seen: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge ranks of the pairs, or a value past all ranks."""
@@ -141,46 +142,46 @@ class WordBpe:
         flat, ends = sym[here].tolist(), np.cumsum(here.sum(axis=1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def pre_tokens(self, piece: str) -> list[bytes | int]:
-        """Words of a piece without ASCII white space, and ids of the special tokens in it."""
-        if self.special_at and "<|" in piece and (found := list(self.special_at.finditer(piece))):
-            out: list[bytes | int] = []
-            at = 0
-            for m in found:
-                out += [*self.pre_tokens(piece[at : m.start()]), self.special[m[0]]]
-                at = m.end()
-            return out + self.pre_tokens(piece[at:])
-        if piece.isascii():
-            piece = piece.lower()
-        else:
-            piece = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-        return [w.encode() for w in self.words_of(piece)]
+    def pre_tokens(self, piece: str) -> list[str]:
+        """Words of a piece without white space, lower-cased; special tokens stand for themselves."""
+        if piece.isascii() and "<|" not in piece:
+            return self.words_of(piece.lower())
+        if self.special_at and "<|" in piece and (found := self.special_at.search(piece)):
+            return [*self.pre_tokens(piece[: found.start()]), found[0], *self.pre_tokens(piece[found.end() :])]
+        return self.words_of("".join([c.lower() for c in unicodedata.normalize("NFC", piece)]))
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces not yet known, all at once, and remember (ids, count, decoded) as text."""
-        seen, older = self.seen, self.older
-        fresh = []
-        for p in pieces:
-            if p not in seen:
-                if p in older:
-                    seen[p] = older[p]
-                else:
-                    fresh.append(p)
-        if fresh:
-            tokens = [self.pre_tokens(p) for p in fresh]
-            words = list({w for t in tokens for w in t if not isinstance(w, int)})
-            ids = dict(zip(words, self.encode_words(words), strict=True))
-            names = self.names
-            for p, t in zip(fresh, tokens, strict=True):
-                got = [i for w in t for i in ((w,) if isinstance(w, int) else ids[w])]
-                seen[p] = (" ".join(map(str, got)), len(got), " ".join([names[i] for i in got]))
+        seen, older, words = self.seen, self.older, self.words
+        fresh, need = [], set()
+        for p in pieces - seen.keys():
+            if (known := older.get(p)) is not None:
+                seen[p] = known
+            else:
+                got = self.pre_tokens(p)
+                fresh.append((p, got))
+                need.update(got)
+        new = [w for w in need if w not in words]
+        names = self.names
+        for w, ids in zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
+            if w in self.special:
+                ids = [self.special[w]]
+            words[w] = (" ".join(map(str, ids)), len(ids), " ".join([names[i] for i in ids]))
+        for p, got in fresh:
+            if len(got) == 1:
+                seen[p] = words[got[0]]
+            else:
+                parts = [x for w in got if (x := words[w])[1]]
+                seen[p] = (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts]))
 
     def forget(self) -> None:
         if len(self.seen) > CACHE_PIECES:
             self.older, self.seen = self.seen, {}
+        if len(self.words) > CACHE_PIECES:
+            self.words = {}
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = (text or "").translate(SPACES).split(" ")
+        pieces = pieces_of(text)
         self.learn(set(pieces))
         return [int(i) for p in pieces for i in self.seen[p][0].split()]
 
@@ -191,6 +192,15 @@ class WordBpe:
 SPACES = {c: " " for c in (*range(0x09, 0x0E), 0x20)}
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """A text cut at white space. Python also cuts at U+001C to U+001F, which are no white space for the tokenizer."""
+    if not text:
+        return []
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [p for p in text.translate(SPACES).split(" ") if p]
+    return text.split()
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -201,13 +211,14 @@ def _encode(path: str, with_ids: bool):
         bpe = load(path)
         for frame in frames:
             for part in chunks(frame, "text"):
-                split = [(t or "").translate(SPACES).split(" ") if t else [] for t in part["text"]]
+                split = [pieces_of(t) for t in part["text"]]
                 bpe.learn(set().union(*split))
                 seen = bpe.seen
                 ids, count, decoded = [], [], []
                 for pieces in split:
-                    got = [seen[p] for p in pieces if p]
-                    got = [g for g in got if g[1]]
+                    got = [seen[p] for p in pieces]
+                    if not all([g[1] for g in got]):
+                        got = [g for g in got if g[1]]
                     ids.append(" ".join([g[0] for g in got]))
                     count.append(sum([g[1] for g in got]))
                     decoded.append(" ".join([g[2] for g in got]))

@@ -73,3 +73,34 @@ SELECT doc_id, item_id, n_item, CAST(count(*) AS INT) AS n_shared
 FROM bs JOIN ds USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
+
+
+@query
+def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_template_lines
+
+    docs = table(spark, sf_dir, "documents")
+    out = drop_template_lines(docs)
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars_left"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def lines_oracle() -> str:
+    """The template tree in DuckDB, with the operator's default parameters."""
+    return r"""
+WITH base AS (SELECT doc_id, text, sha256(text) AS v, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, v, i - 1 AS ln, list_transform(list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
+      FROM (SELECT doc_id, v, ls, unnest(range(1, len(ls) + 1)) AS i FROM base)),
+k AS (SELECT doc_id, v, ln, toks, len(toks) AS size, toks[1:3] AS lead FROM l WHERE len(toks) >= 4),
+b AS (SELECT size, lead, toks, count(DISTINCT v) AS n FROM k GROUP BY ALL),
+p AS (SELECT size, lead, toks, n, j AS place, toks[j] AS token FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM b)),
+c AS (SELECT size, lead, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 10),
+f AS (SELECT size, lead, toks, list((place, token) ORDER BY place) AS constants FROM p JOIN c USING (size, lead, place, token) GROUP BY ALL HAVING 100 * count(*) >= 60 * size),
+m AS (SELECT k.doc_id, k.v, k.ln, k.size, k.lead, f.constants FROM k JOIN f USING (size, lead, toks)),
+o AS (SELECT size, lead, constants, min((doc_id, ln)) AS first FROM m GROUP BY ALL HAVING count(DISTINCT v) >= 10),
+g AS (SELECT doc_id, list(ln) AS gone FROM m JOIN o USING (size, lead, constants) WHERE (doc_id, ln) <> first GROUP BY doc_id),
+r AS (SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text FROM base LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_left, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines_left, sha256(text) AS text_sha256 FROM r
+"""
+
+
+ORACLES["op1_template_line_dedup"] = lines_oracle()
