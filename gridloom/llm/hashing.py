@@ -43,10 +43,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^ \\t-\\r]+ of all texts, A-Z lower-cased, and where each text's words begin (n + 1 bounds)."""
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^ \\t-\\r]+ of all texts, A-Z lower-cased or not, and where each text's words begin (n + 1 bounds)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    data = LOWER[data] if lower else data
     ends = np.cumsum([len(r) + 1 for r in raw])
     gap = SPACE[data]
     before = np.concatenate(([True], gap[:-1]))

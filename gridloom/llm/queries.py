@@ -104,3 +104,10 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_left, CAST(len(string_spl
 
 
 ORACLES["op1_template_line_dedup"] = lines_oracle()
+
+
+@query
+def op2_crf_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_labels import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("labels")
