@@ -111,3 +111,17 @@ def op2_crf_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_labels import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("labels")
+
+
+@query
+def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_re_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), word_bpe())
