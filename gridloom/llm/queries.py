@@ -125,3 +125,10 @@ def op5_re_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query
+def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_repair import repair_roles
+
+    return repair_roles(table(spark, sf_dir, "conversations"))
