@@ -187,16 +187,11 @@ def _probe(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The linked ones of the pairs (a, b), on whole sets made again from the texts."""
-    pairs = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, data binary").dropDuplicates(["id"])
-    sets = scratch.keep(sets, "sets")
+def verified(sets: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The linked ones of the pairs (a, b), on whole sets (id, data)."""
     left, right = sets.select(F.col("id").alias("a"), F.col("data").alias("x")), sets.select(F.col("id").alias("b"), F.col("data").alias("y"))
-    links = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(_probe(percent), "a long, b long"), "links")
-    scratch.drop(pairs, sets)
-    return links
+    pairs = pairs.select("a", "b").distinct()
+    return scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(_probe(percent), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, short_list: int = 32) -> DataFrame:
@@ -231,11 +226,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     longs = scratch.keep(skipped.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("longs")).join(meta, "id"), "longs")
     la, lb = (longs.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p", "late", "last", "skips", "longs"))) for side in "ab")
     both = F.array_intersect("longs_a", "longs_b")
+    # whole sets of all documents that any pair may need, made again from the texts
+    ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).union(longs.select("id")).distinct()
+    sets = scratch.keep(docs.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, data binary").dropDuplicates(["id"]), "sets")
     # the smallest partner of each document first, and each long list from its smallest member; that joins most of what links
     pivot = skipped.groupBy("s").agg(F.min("id").alias("a"))
     stars = skipped.join(pivot, "s").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = stars.join(la, "a").join(lb, "b").filter(reach(F.size(both), F.lit(0))).select("a", "b")
-    links = verified(docs, likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars), width, percent, scratch)
+    links = verified(sets, likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars), percent, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
     # then all that may still join two components, each pair from the first list that it shares
     apart = likely.join(of(comps, "a"), "a", "left").join(of(comps, "b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
@@ -245,7 +243,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     x = members.select(F.col("s").alias("sa"), F.col("id").alias("a"), F.col("c").alias("ca")).join(la, "a")
     y = members.select(F.col("s").alias("sb"), F.col("id").alias("b"), F.col("c").alias("cb")).join(lb, "b")
     cross = x.join(y, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach(F.lit(0), F.least("skips_a", "skips_b")) & (F.array_min(both) == F.col("sa")) & reach(F.size(both), F.lit(0))).select("a", "b")
-    more = verified(docs, apart.union(cross), width, percent, scratch)
+    more = verified(sets, apart.union(cross), percent, scratch)
     if not more.isEmpty():
         comps = scratch.keep(connected_components(links.union(more), scratch), "components")
     out = every.join(classes, ["n", "k1", "k2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
