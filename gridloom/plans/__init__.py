@@ -1,0 +1 @@
+"""Registered plans; importing a module registers its queries."""
