@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from . import pixels  # noqa: F401
+from . import cleaning, pixels, stats  # noqa: F401
