@@ -14,6 +14,7 @@ space is one piece. Repeated rows give equal rows. Only the id and text columns
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Distinct pieces a worker remembers.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -209,6 +210,7 @@ def load(path: str) -> WordBpe:
 def _encode(path: str, with_ids: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
+        gc.disable()  # millions of small tuples, no cycles: the collector would only walk them again and again
         for frame in frames:
             for part in chunks(frame, "text"):
                 split = [pieces_of(t) for t in part["text"]]
@@ -216,13 +218,17 @@ def _encode(path: str, with_ids: bool):
                 seen = bpe.seen
                 ids, count, decoded = [], [], []
                 for pieces in split:
-                    got = [seen[p] for p in pieces]
-                    if not all([g[1] for g in got]):
-                        got = [g for g in got if g[1]]
-                    ids.append(" ".join([g[0] for g in got]))
-                    count.append(sum([g[1] for g in got]))
-                    decoded.append(" ".join([g[2] for g in got]))
+                    if not pieces:
+                        parts = ((), (), ())
+                    else:
+                        parts = tuple(zip(*map(seen.__getitem__, pieces), strict=True))
+                        if 0 in parts[1]:  # a piece of nothing that the tokenizer keeps
+                            parts = tuple(zip(*(g for g in map(seen.__getitem__, pieces) if g[1]), strict=True)) or ((), (), ())
+                    ids.append(" ".join(parts[0]))
+                    count.append(sum(parts[1]))
+                    decoded.append(" ".join(parts[2]))
                 bpe.forget()
+                gc.collect(0)
                 if with_ids:
                     tokens = [np.array(x.split(" "), dtype=np.int32) if x else np.empty(0, dtype=np.int32) for x in ids]
                     yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": tokens, "n_tokens": count, "decoded": decoded})
