@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from . import cleaning, pixels, stats  # noqa: F401
+from . import boxes, cleaning, joins, pixels, stats  # noqa: F401
