@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Distinct pieces a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -208,9 +208,7 @@ def load(path: str) -> WordBpe:
 
 
 def _encode(path: str, with_ids: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
-        gc.disable()  # millions of small tuples, no cycles: the collector would only walk them again and again
+    def encoded(bpe: WordBpe, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in chunks(frame, "text"):
                 split = [pieces_of(t) for t in part["text"]]
@@ -236,6 +234,14 @@ def _encode(path: str, with_ids: bool):
                     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
                     yield pd.DataFrame({"id": part["id"].to_numpy(), "n_tokens": count, "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(x) for x in decoded]})
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = load(path)
+        gc.disable()  # millions of small tuples, no cycles: the collector would only walk them again and again
+        try:
+            yield from encoded(bpe, frames)
+        finally:
+            gc.enable()
+
     return run
 
 
