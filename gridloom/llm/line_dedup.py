@@ -23,20 +23,19 @@ from .common import Scratch
 FIELD = "<*>"
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line with variable fields masked."""
-    return F.transform(F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+", -1), ""), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-
-
-def leaf_of(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+def masked(tokens: Column) -> Column:
+    """Tokens with variable fields masked."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
 
 
 def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(id, v, at, tokens, leaf) of each line of min_tokens tokens or more; v is the hash of the whole text."""
+    """(id, v, at, raw, leaf) of each line of min_tokens tokens or more; v is the hash of the whole text.
+
+    Only the leading tokens are masked here; the others are once their leaf is known to recur.
+    """
     out = docs.select("id", "v", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
-    out = out.select("id", "v", "at", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    return out.select("id", "v", "at", "tokens", leaf_of(F.col("tokens"), depth).alias("leaf"))
+    out = out.select("id", "v", "at", F.array_remove(F.split("line", "[\\x20\\x09-\\x0D]+", -1), "").alias("raw")).filter(F.size("raw") >= min_tokens)
+    return out.select("id", "v", "at", "raw", F.xxhash64(F.size("raw"), masked(F.slice("raw", 1, depth))).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int, min_docs: int, similarity: int, keep_first: bool) -> DataFrame:
@@ -45,8 +44,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     # leaves that many distinct texts reach; a text counts once
     seen = every.select("leaf", "v").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     seen = scratch.keep(seen, "leaves")
-    kept = every.join(seen, "leaf", "left_semi").select("id", "v", "at", "leaf", F.xxhash64("tokens").alias("body"), "tokens")
-    kept = scratch.keep(kept, "lines")
+    kept = every.join(seen, "leaf", "left_semi").select("id", "v", "at", "leaf", masked(F.col("raw")).alias("tokens"))
+    kept = scratch.keep(kept.select("*", F.xxhash64("tokens").alias("body")), "lines")
     # distinct bodies of each leaf with the number of texts that have them
     bodies = kept.select("leaf", "body", "v").distinct().groupBy("leaf", "body").agg(F.count("*").alias("n"))
     bodies = bodies.join(kept.groupBy("leaf", "body").agg(F.first("tokens").alias("tokens")), ["leaf", "body"])
