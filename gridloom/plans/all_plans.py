@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from . import boxes, cleaning, curate, grid, joins, pixels, stats  # noqa: F401
+from . import analysis, boxes, cleaning, curate, grid, joins, pixels, stats  # noqa: F401
