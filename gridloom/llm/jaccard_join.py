@@ -31,6 +31,8 @@ from .common import Scratch, chunks, connected_components
 
 #: Long lists known to the tasks: the most frequent shingles, 8 bytes each. Shingles beyond it only cost time.
 MOST_LONG = 500_000
+#: Candidate ids up to this number (16 bytes each) are broadcast to the texts; more of them meet the texts in a shuffle.
+BROADCAST_IDS = 500_000
 #: Bytes of counted fingerprints that one group gathers at most, on average.
 BUCKET_BYTES = 16_000_000
 
@@ -228,7 +230,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = F.array_intersect("longs_a", "longs_b")
     # whole sets of all documents that any pair may need, made again from the texts
     ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).union(longs.select("id")).distinct()
-    sets = scratch.keep(docs.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, data binary").dropDuplicates(["id"]), "sets")
+    ids = scratch.keep(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    sets = scratch.keep(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(_sets(width), "id long, data binary").dropDuplicates(["id"]), "sets")
     # the smallest partner of each document first, and each long list from its smallest member; that joins most of what links
     pivot = skipped.groupBy("s").agg(F.min("id").alias("a"))
     stars = skipped.join(pivot, "s").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
