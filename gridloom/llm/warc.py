@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .files import Committed, open_input
 
+#: Groups of equal payloads up to this number (about 100 bytes each) are broadcast to the pages; more are shuffled.
+BROADCAST_GROUPS = 100_000
 SPACE_OF_IDS = uuid.UUID("5c0f5a52-7f0e-5b0e-9e39-2f6a1d0c7a11")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -146,9 +148,11 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keys = pages.select("page_id", F.sha2(payload, 256).alias("key"), F.length(payload).alias("size"))
     groups = keys.filter(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("key", "last")
+    groups = scratch.keep(groups, "groups")
+    few = groups.count() <= BROADCAST_GROUPS
     total = keys.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    full = pages.withColumn("key", F.sha2(payload, 256)).join(groups, "key", "left")
+    full = pages.withColumn("key", F.sha2(payload, 256)).join(F.broadcast(groups) if few else groups, "key", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers")
     ranged = full.select("page_id", "url", "html", refers).repartitionByRange(shards, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url", "html")
     return scratch.keep(ranged.mapInPandas(_write(folder, roll_bytes, date), MANIFEST), "manifest")
