@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from . import analysis, boxes, cleaning, curate, grid, joins, pixels, sources, stats  # noqa: F401
+from . import analysis, boxes, cleaning, curate, grid, joins, pixels, sources, stats, streams  # noqa: F401
