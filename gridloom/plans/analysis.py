@@ -212,3 +212,18 @@ def t07_state_counts(p: DataFrame) -> DataFrame:
 def x03_daily_statistics(e: DataFrame) -> DataFrame:
     out = st.daily_statistics(e, "ts", "value")
     return out.withColumns({"mean": r6("mean"), "day": C("day").cast("timestamp_ntz")})
+
+
+def _part(d: str, p: str, a: str, b: str, low: bool) -> str:
+    flat = f"CASE WHEN {p} > {a} AND {p} < {b} THEN 0.0E0 ELSE 2.0E0 END" if low else "1.0E0"
+    return f"CASE WHEN {d} = 0 THEN {flat} ELSE {'least' if low else 'greatest'}(({a} - {p}) / nullif({d}, 0), ({b} - {p}) / nullif({d}, 0)) END"
+
+
+T0 = f"greatest({_part('bx - ax', 'ax', 'm.x1', 'm.x2', True)}, {_part('bv - av', 'av', 'm.y1', 'm.y2', True)}, 0.0E0)"
+T1 = f"least({_part('bx - ax', 'ax', 'm.x1', 'm.x2', False)}, {_part('bv - av', 'av', 'm.y1', 'm.y2', False)}, 1.0E0)"
+
+
+@plan("rect_targets rect_masks", f"WITH s AS (SELECT fid AS sid, x1 AS ax, y1 AS av, x2 + 20 AS bx, y2 - 35 AS bv FROM rect_targets) SELECT sid FROM s WHERE NOT EXISTS (SELECT 1 FROM rect_masks m WHERE {T0} < {T1})")
+def v12_visible(t: DataFrame, m: DataFrame) -> DataFrame:
+    s = t.select(C("fid").alias("sid"), C("x1").alias("ax"), C("y1").alias("ay"), (C("x2") + 20).alias("bx"), (C("y2") - 35).alias("by"))
+    return vc.visible(s, m, 50.0).select("sid")

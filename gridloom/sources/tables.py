@@ -39,6 +39,8 @@ def read_table(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCO
     for e in encodings:
         names = [r["path"] for r in probed.filter(F.col("encoding") == e).select("path").collect()]  # file names only
         if names:
+            if e != "utf-8":  # Spark reads these only with the JVM's charsets allowed, when the rows are read too
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
             part = spark.read.csv(names, header=True, inferSchema=True, encoding=e).withColumn("source", F.col("_metadata.file_path"))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:

@@ -122,3 +122,28 @@ def test_split_rules_add_up(rule, n):
 def test_preprocess_empty(spark):
     empty = spark.createDataFrame([], "lon double, lat double, band_2 double, band_3 double")
     assert cleaning.preprocess(empty).count() == 0
+
+
+def test_simplify_and_validity(spark):
+    from gridloom.operators import shapes
+
+    line = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0], [0.0, 0.01, 0.0, 5.0])], "fid long, xs array<double>, ys array<double>")
+    assert [list(r.xs) for r in shapes.simplify(line, "fid", 0.5).collect()] == [[0.0, 2.0, 3.0]]
+    square, bow = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]
+    rows = [(k, i, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for k, ring in ((1, square), (2, bow), (3, square[:-1])) for i, (a, b) in enumerate(itertools.pairwise(ring))]
+    edges = spark.createDataFrame(rows, "fid long, no int, x1 double, y1 double, x2 double, y2 double")
+    assert {r.fid for r in shapes.invalid_rings(edges, "fid").collect()} == {2, 3}
+
+
+def test_sources(spark, tmp_path):
+    from gridloom.sources import tables
+
+    (tmp_path / "a.csv").write_bytes("lon,name\n1,水深\n".encode())
+    (tmp_path / "b.csv").write_bytes("lon,name\n2,水深\n".encode("gbk"))
+    (tmp_path / "c.csv").write_bytes(b"lon,name\n3,\xff\xff\xff\n")
+    out, rejects = tables.read_table(spark, str(tmp_path))
+    assert {(r.lon, r.name) for r in out.collect()} == {(1, "水深"), (2, "水深")} and rejects.count() == 1
+    voc = "<annotation><size><width>9</width><height>8</height></size><object><name>x</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>4</ymax></bndbox></object><object><name>y</name><bndbox><xmin>5</xmin><ymin>1</ymin><xmax>5</xmax><ymax>4</ymax></bndbox></object></annotation>"
+    assert [r.label for r in tables.boxes_from_voc(spark.createDataFrame([(voc,)], "t string"), "t").collect()] == ["x"]
+    shape = '{"shapes":[{"label":"road","shape_type":"polygon","points":[[0,0],[1,1]]},{"label":"road","shape_type":"line","points":[]}]}'
+    assert [r.class_id for r in tables.features_from_labelme(spark.createDataFrame([(shape,)], "t string"), "t", {"road": 2}).collect()] == [2]
