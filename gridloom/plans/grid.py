@@ -186,7 +186,7 @@ def c14_mosaic_offsets(p: DataFrame) -> DataFrame:
     return op.mosaic_offsets(p.select(C("p_partkey").alias("no"), C("p_size").alias("width")))
 
 
-@plan("pixels", "SELECT CAST(vx AS INT) AS vx, CAST(vy AS INT) AS vy, variant, sum(gt_class) AS s FROM (SELECT gt_class, unnest(range(8)) AS variant, unnest([x, y, 99 - x, 99 - y, 99 - x, y, x, 99 - y]) AS vx, unnest([y, 99 - x, 99 - y, x, y, x, 99 - y, 99 - x]) AS vy FROM pixels) GROUP BY 1, 2, 3")
+@plan("pixels", "SELECT CAST(vx AS INT) AS vx, CAST(vy AS INT) AS vy, variant, CAST(sum(gt_class) AS BIGINT) AS s FROM (SELECT gt_class, unnest(range(8)) AS variant, unnest([x, y, 99 - x, 99 - y, 99 - x, y, x, 99 - y]) AS vx, unnest([y, 99 - x, 99 - y, x, y, x, 99 - y, 99 - x]) AS vy FROM pixels) GROUP BY 1, 2, 3")
 def c15_dihedral(p: DataFrame) -> DataFrame:
     return op.dihedral(p.select("x", "y", "gt_class"), 100).groupBy("vx", "vy", C("variant").cast("long").alias("variant")).agg(F.sum("gt_class").alias("s"))
 
