@@ -1,11 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
 
 Items are short, documents long: over a whole document an item's Jaccard similarity is near zero and MinHash bands
-would miss it. So the search runs on windows, and the items are partitioned by size. An item of q distinct
-shingles that a document contains to at least ``percent`` % still has a run of w(q) consecutive shingles intact
-(each changed word breaks at most ``width`` of them), so in the partition with window length w the MinHash (least
-hash of w consecutive shingles) of one of the item's windows equals that of a window of the document. Documents
-emit each window MinHash once, items theirs; equal values make a candidate; it is verified by exact
+would miss it. So the search runs on windows, and the items are partitioned by size. In the partition with window
+length w the MinHash (least hash of w consecutive shingles) of one of the item's windows equals that of a window of the
+document if a run of w shingles is left intact. That holds for substituted and inserted words, but not for any layout
+(a doubled word, overlapping excerpts), so every item is also probed by single shingles: a document that lacks at most
+q - need of an item's q shingles has one of any q - need + 1 of them. The ones in the fewest items are taken. Documents
+emit each window MinHash and each shingle once, items theirs; equal values make a candidate; it is verified by exact
 containment of the shingles' words. A partition of window length w serves all items with w(q) >= w, w a power of two.
 
 Documents of fewer shingles than any item needs are skipped. Items or documents with fewer than ``width`` words, null or empty ones
@@ -55,7 +56,7 @@ def with_windows(df: DataFrame, hashes: str, lengths: list[int]) -> DataFrame:
 
 
 def intact_run(q: int, percent: int, width: int) -> int:
-    """The longest run of shingles that is left for certain of q when percent % are kept.
+    """The longest run of shingles that substitutions and insertions leave of q when percent % are kept.
 
     A change inside breaks ``width - 1`` shingles in a row at least (an insertion) and adds one run.
     """
@@ -63,6 +64,17 @@ def intact_run(q: int, percent: int, width: int) -> int:
     return -(-kept // ((q - kept) // max(1, width - 1) + 1))
 
 
+def single_probes(items: DataFrame, percent: int) -> DataFrame:
+    """(item, h): so many shingle hashes of each item that a document with percent % of its shingles has one of them.
+
+    ``items`` have no repeated shingle; shingles in the fewest items come first.
+    """
+    each = items.select("item", "hashes", "q", F.explode("hashes").alias("h"))
+    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("item", "hashes", "q").agg(F.sort_array(F.collect_set(F.struct("n", "h"))).alias("by"))
+    most = F.floor(F.col("q") * (100 - percent) / 100).cast("int") + 1  # q - ceil(percent % of q) + 1
+    return ranked.select("item", F.explode_outer(F.slice("by", F.lit(1), most)["h"]).alias("h"))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(id, item, n_item, n_shared) of the pairs with ``100 * n_shared >= percent * n_item``, shingles counted once."""
     items = items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("tokens")).filter(F.size("tokens") >= width)
@@ -73,22 +85,23 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not sizes:
         return docs.select(F.col("id").alias(id_col), F.lit(None).cast(items.schema["item"].dataType).alias(item_col), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared")).limit(0)
-    # size partitions: the largest power of two that leaves a guaranteed run
+    # size partitions: the largest power of two within the intact run; single shingles are always emitted
     length_of = {q: 1 << (intact_run(q, percent, width).bit_length() - 1) if q > 0 else 1 for q in sizes}
-    lengths = sorted(set(length_of.values()))
-    least_of = {n: min(-(-percent * abs(q) // 100) for q in sizes if length_of[q] == n) for n in lengths}
+    lengths = sorted({1, *length_of.values()})
+    least_of = {n: min(-(-percent * abs(q) // 100) for q in sizes if length_of[q] == n or n == 1) for n in lengths}
     part = F.lit(lengths[0])
     for n in lengths[1:]:
         part = F.when(F.col("q").isin([q for q in sizes if length_of[q] == n]), n).otherwise(part)
     items = items.withColumn("part", part)
 
-    def keyed(n: int) -> Column:  # values of different partitions don't meet
-        return F.transform(f"w{n}", lambda h: h.bitwiseXOR(F.lit((n * 0x1E3779B97F4A7C15) % 2**63))) if n != lengths[-1] else F.col(f"w{n}")
+    def keyed(n: int, of: str | None = None) -> Column:  # values of different partitions don't meet
+        return F.transform(of or f"w{n}", lambda h: h.bitwiseXOR(F.lit((n * 0x1E3779B97F4A7C15) % 2**63))) if n != lengths[-1] else F.col(of or f"w{n}")
 
-    wanted = None
+    # the partition of length 1 has all its shingles there already
+    wanted = single_probes(items.filter(F.col("part") > 1), percent).groupBy("item").agg(F.collect_set("h").alias("some"))
+    wanted = wanted.select("item", F.explode_outer(keyed(1, "some")).alias("h"))
     for n in lengths:
-        one = with_windows(items.filter(F.col("part") == n), "hashes", [n]).select("item", F.explode_outer(keyed(n)).alias("h"))
-        wanted = one if wanted is None else wanted.union(one)
+        wanted = wanted.union(with_windows(items.filter(F.col("part") == n), "hashes", [n]).select("item", F.explode_outer(keyed(n)).alias("h")))
     wanted = wanted.groupBy("h").agg(F.collect_set("item").alias("items"))
     hashed = docs.select("id", F.xxhash64("text").alias("v"), words(F.col("text")).alias("tokens")).select("id", "v", shingle_hashes(F.col("tokens"), width).alias("hashes"))
     hashed = with_windows(hashed, "hashes", lengths)

@@ -207,6 +207,22 @@ def test_op6_partial_items(spark):
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_op6_any_layout(spark):
+    rnd = random.Random(4)
+    word = lambda: f"v{rnd.randint(0, 10**6)}"
+    items, rows = [], []
+    for k in range(80):
+        w = [word() for _ in range(rnd.randint(15, 48))]
+        half = len(w) // 2
+        layouts = [w[: half + 1] + w[half:], w[: half + 2] + w[half:], w[: half + 3] + w[half - 3 :], w[half:] + w[:half], w[half:] + [word()] + w[: half + 3]]
+        items.append((k, " ".join(w)))
+        rows += [(10 * k + i, " ".join([word() for _ in range(20)] + x + [word() for _ in range(20)])) for i, x in enumerate(layouts)]
+    want = {(d, k) for d, text in rows for k, t in [items[d // 10]] if 100 * len(shingles(t) & shingles(text)) >= 75 * len(shingles(t))}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench).collect()}
+    assert got == want and len(want) > 200
+
+
 def test_op8_against_the_library(rows):
     from tokenizers import Tokenizer
 
