@@ -19,6 +19,8 @@ from gridloom.llm.queries import word_bpe
 
 #: A text goes when its language is undetermined or its surest machine is no better than a coin.
 LEAST_SCORE = 0.5
+#: Lines of so many tokens go from the second distinct text on; a constant has so many % of the texts at its place.
+LONG_LINE, LEAST_SHARE = 20, 20
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text. A document left without any text goes too."""
-    out = drop_template_lines(docs).filter(F.length(F.trim("text")) > 0)
+    out = drop_template_lines(docs, long_tokens=LONG_LINE, share=LEAST_SHARE).filter(F.length(F.trim("text")) > 0)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -7,6 +7,12 @@ at least ``similarity`` % of its tokens. A template that recurs in ``min_docs``
 lines are dropped, but for the first in order of (document, line) when ``keep_first``. Unlike a tree
 grown line by line, the result depends on no order, so leaves are counted by grouped sums and no group is gathered.
 
+With ``long_tokens`` a line of that many tokens is boilerplate from ``long_docs`` distinct texts on, and its whole masked
+line is a template too, so a passage is found whatever else is in its leaf. With ``share`` a line also has the template of
+its relative constants: tokens in ``share`` % of the texts of their leaf at least (and in two). A field of few
+values stays a field there at every size of the corpus. A line goes if one of its templates recurs and it isn't the first
+of that one; the lines that share templates keep one at least.
+
 Copies of one whole text count as one text, so a group of copies doesn't make its own lines boilerplate.
 Lines of fewer than ``min_tokens`` tokens always stay. Null texts stay null; empty texts and lines stay. A document whose
 lines all go keeps an empty text. Rows with a null id or repeated rows are treated by their own text. All columns of
@@ -38,11 +44,12 @@ def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return out.select("id", "v", "at", "raw", F.xxhash64(F.size("raw"), masked(F.slice("raw", 1, depth))).alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int, min_docs: int, similarity: int, keep_first: bool) -> DataFrame:
+def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int, min_docs: int, similarity: int, keep_first: bool, long_tokens: int = 0, long_docs: int = 2, share: int = 0) -> DataFrame:
     """(v, id, at) of the lines to drop. ``docs`` has id, text and v."""
     every = lines(docs, depth, min_tokens)
+    need = F.when(F.col("size") >= long_tokens, min(long_docs, min_docs)).otherwise(min_docs) if long_tokens else F.lit(min_docs)
     # leaves that many distinct texts reach; a text counts once
-    seen = every.select("leaf", "v").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    seen = every.select("leaf", "v", F.size("raw").alias("size")).distinct().groupBy("leaf", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("leaf")
     seen = scratch.keep(seen, "leaves")
     kept = every.join(seen, "leaf", "left_semi").select("id", "v", "at", "leaf", masked(F.col("raw")).alias("tokens"))
     kept = scratch.keep(kept.select("*", F.xxhash64("tokens").alias("body")), "lines")
@@ -51,12 +58,23 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     bodies = bodies.join(kept.groupBy("leaf", "body").agg(F.first("tokens").alias("tokens")), ["leaf", "body"])
     places = bodies.select("leaf", "body", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     places = places.filter(F.col("token") != FIELD)
-    common = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).drop("m")
-    constant = places.join(common, ["leaf", "place", "token"])
-    forms = constant.groupBy("leaf", "body", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
-    forms = forms.filter(100 * F.size("constants") >= similarity * F.col("size")).select("leaf", "body", F.xxhash64("leaf", "constants").alias("template"))
-    matched = scratch.keep(kept.select("id", "v", "at", "leaf", "body").join(forms, ["leaf", "body"]).select("id", "v", "at", "template"), "matched")
-    often = matched.select("template", "v").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    counts = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("m"))
+
+    def forms_of(common: DataFrame, kind: list[Column]) -> DataFrame:
+        constant = places.join(common, ["leaf", "place", "token"])
+        forms = constant.groupBy("leaf", "body", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
+        return forms.filter(100 * F.size("constants") >= similarity * F.col("size")).select("leaf", "body", "size", F.xxhash64("leaf", "constants", *kind).alias("template"))
+
+    forms = forms_of(counts.filter(F.col("m") >= min_docs).drop("m"), [])
+    if share:
+        total = bodies.groupBy("leaf").agg(F.sum("n").alias("total"))
+        forms = forms.union(forms_of(counts.join(total, "leaf").filter((F.col("m") >= 2) & (100 * F.col("m") >= share * F.col("total"))).drop("m", "total"), [F.lit("share")]))
+    if long_tokens:
+        size, fixed = F.size("tokens"), F.size(F.filter("tokens", lambda t: t != FIELD))
+        whole = bodies.filter((size >= long_tokens) & (100 * fixed >= similarity * size))
+        forms = forms.union(whole.select("leaf", "body", size.alias("size"), F.xxhash64("leaf", "body", F.lit("whole")).alias("template")))
+    matched = scratch.keep(kept.select("id", "v", "at", "leaf", "body").join(forms, ["leaf", "body"]).select("id", "v", "at", "size", "template"), "matched")
+    often = matched.select("template", "size", "v").distinct().groupBy("template", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).drop("size")
     often = often.join(matched.groupBy("template").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "at")).alias("first")), "template")
     gone = matched.join(often, "template")
     if keep_first:
@@ -64,11 +82,11 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     return gone.select("id", "v", "at").distinct()
 
 
-def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 10, similarity: int = 60, keep_first: bool = True) -> DataFrame:
+def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 10, similarity: int = 60, keep_first: bool = True, long_tokens: int = 0, long_docs: int = 2, share: int = 0) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from the text."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("v"))
-    gone = recurring_lines(slim, scratch, depth, min_tokens, min_docs, similarity, keep_first)
+    gone = recurring_lines(slim, scratch, depth, min_tokens, min_docs, similarity, keep_first, long_tokens, long_docs, share)
     gone = scratch.keep(gone.groupBy("id", "v").agg(F.collect_set("at").alias("gone")), "gone")
     marks = gone.select(F.col("id").alias("_line_id"), F.col("v").alias("_line_v"), F.col("gone").alias("_line_gone"))
     out = docs.join(marks, docs[id_col].eqNullSafe(marks["_line_id"]) & (F.xxhash64(docs[text_col]) == marks["_line_v"]), "left")
