@@ -273,11 +273,10 @@ def m13_clamped_windows(s: DataFrame) -> DataFrame:
 
 @plan("pixels", "SELECT x, y, gt_class AS v FROM pixels")
 def m14_augmentation_vote(p: DataFrame) -> DataFrame:
-    """Eight variants are made and undone, then the majority of each pixel taken: the undone copies agree."""
-    v = op.dihedral(p.select("x", "y", "gt_class"), 100)
+    """Eight variants of each 100 x 100 tile are made and undone, then the majority of each pixel taken: the undone copies agree."""
+    v = op.dihedral(p.select("x", (C("y") % 100).alias("y"), F.floor(C("y") / 100).cast("int").alias("tile"), "gt_class"), 100)
     a, b, n = C("vx"), C("vy"), F.lit(99)
     back = [(a, b), (n - b, a), (n - a, n - b), (b, n - a), (n - a, b), (b, a), (a, n - b), (n - b, n - a)]
     pair = F.get(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in back)), C("variant"))
-    undone = v.filter("y < 100").select(pair.alias("p"), C("gt_class").alias("v")).select("p.x", "p.y", "v")
-    rest = p.filter("y >= 100").select("x", "y", C("gt_class").alias("v"))
-    return stats.majority(undone.union(rest), ["x", "y"], "v").drop("votes")
+    undone = v.select(pair.alias("p"), "tile", C("gt_class").alias("v")).select("p.x", (C("p.y") + 100 * C("tile")).alias("y"), "v")
+    return stats.majority(undone, ["x", "y"], "v").drop("votes")

@@ -21,6 +21,17 @@ def test_no_python_in_pixel_plans(spark):
             assert "Python" not in plan and "Pandas" not in plan, name
 
 
+def test_m14_votes_in_every_tile(spark, monkeypatch):
+    from gridloom.plans import grid
+
+    made, dihedral = [], grid.op.dihedral
+    monkeypatch.setattr(grid.op, "dihedral", lambda df, size: made.append(dihedral(df, size)) or made[-1])
+    pixels = spark.range(25000).selectExpr("cast(id % 100 as int) x", "cast(id div 100 as int) y", "cast(id % 5 as int) gt_class")
+    got = {tuple(r) for r in grid.m14_augmentation_vote(pixels).select("x", "y", "v").collect()}
+    assert got == {tuple(r) for r in pixels.collect()}
+    assert made[0].filter("vx between 0 and 99 and vy between 0 and 99").count() == 8 * 25000
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
