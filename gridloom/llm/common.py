@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in characters; bounds the numpy temporaries.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a temporary folder and a cluster fails."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("gridloom.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("gridloom.shared.dir", found)
     return found.rstrip("/")
@@ -66,30 +69,61 @@ def chunks(frame: pd.DataFrame, text: str, most: int = CHUNK_CHARS) -> Iterator[
             yield frame.iloc[a:b]
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, most: int, *columns: str) -> DataFrame:
+    """At most ``most`` rows of each value of ``by``, those of the least hash of ``columns``.
+
+    A share of the hash range, twice what is needed on average, is cut first; so only few rows are ranked. Rows that are equal in all
+    ``columns`` share a hash, but the rank bounds them too.
+    """
+    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    h = F.xxhash64(*columns)
+    near = F.lit(False)
+    for value, n in sizes.items():
+        near = near | ((F.col(by) == value) & (F.pmod(h, F.lit(1_000_003)) < int(min(1.0, 2 * most / n + 50 / n) * 1_000_003)))
+    order = Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1_000_003)), h)
+    return rows.filter(near).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def offsets(rows: DataFrame, order: list[str], size: str, name: str, block: int = 4096) -> DataFrame:
+    """(order, name): the sum of ``size`` over all rows before each, in the order of two integer columns that name a row.
+
+    Sums within a block of the first column are windows of their own; only one sum a block meets in one task.
+    """
+    first = order[0]
+    rows = rows.select(*order, size).withColumn("_block", F.floor(F.col(first) / block))
+    blocks = rows.groupBy("_block").agg(F.sum(size).alias("_sum"))
+    before = blocks.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(size).over(Window.partitionBy("_block").orderBy(*order)) - F.col(size)
+    return rows.withColumn("_inside", inside).join(before, "_block").select(*order, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) with the smallest node of each component, for the nodes that occur in ``edges`` (a, b).
 
-    Alternates large-star and small-star steps. Every step is a grouped minimum with map-side
-    combining and one join; the edge count never grows. Each round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes. A step is a grouped minimum with map-side combining,
+    written, and one join of two tables, so that adaptive execution can split hot keys (hubs with all their leaves); the edge count never grows
+    and rounds grow with the square of its logarithm at most. Each round is written to the shared folder.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.keep(now, "edges")
-    mark = None
-    for _ in range(most_rounds):
+    mark, left = None, 40 + 2 * max(1, now.count()).bit_length() ** 2
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
+        large = scratch.keep(large.filter("a <> b").distinct(), "large")
+        lower = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.union(lower.select("a", F.col("m").alias("b"))).distinct()
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
         after = scratch.keep(small, "edges")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, lower)
         now = after
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, left = tuple(seen), left - 1
+        if not left:
+            raise RuntimeError("the components did not converge")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

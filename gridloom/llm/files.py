@@ -14,7 +14,8 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 class Committed:
     """A file that appears under its final name only when whole: written under a name of its own, then moved.
 
-    A task that runs again writes the same bytes under another temporary name and moves them to the same place.
+    A task that runs again, or twice at a time, writes the same bytes under another temporary name. Where the final name is taken by then
+    (some stores refuse to move onto a file), the file there must have the same size, and the new copy goes.
     """
 
     def __init__(self, folder: str, name: str):
@@ -31,7 +32,13 @@ class Committed:
 
     def commit(self) -> None:
         self.out.close()
-        self.fs.move(self.temporary, self.final)
+        try:
+            self.fs.move(self.temporary, self.final)
+        except OSError:
+            there = self.fs.get_file_info(self.final)
+            if there.type != pafs.FileType.File or there.size != self.size:
+                raise
+            self.fs.delete_file(self.temporary)
 
 
 def open_input(folder: str, name: str):
