@@ -3,7 +3,8 @@
 Records are range-sorted by page and each range is a shard. A shard's task writes gzip members of one record each
 (no time stamps), rolls to the next file when the compressed size passes ``roll_bytes``, makes headers
 and digests anew, and commits each file from a temporary name. The manifest is a Parquet table
-written last: a reader takes only files that it lists, so leftovers of lost tasks never count.
+written last: a reader takes only files that it lists, so leftovers of lost tasks never count. Reading checks each file's size,
+CRC-32 and number of records against the manifest, and each record's block and payload digests; a damaged archive raises an error.
 
 Among records of equal payload the one with the largest page id is a response, the others are revisits that refer to it;
 payloads of fewer than ``least_bytes`` bytes are all responses. A null html is an empty payload. A null url becomes
@@ -102,6 +103,22 @@ def _write(folder: str, roll_bytes: int, date: str):
     return run
 
 
+class Summed(io.RawIOBase):
+    """A stream that keeps the size and CRC-32 of what was read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.crc = stream, 0, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        self.size, self.crc = self.size + len(data), zlib.crc32(data, self.crc)
+        return len(data)
+
+
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a gzip stream, one at a time."""
     with gzip.open(io.BufferedReader(stream, 1 << 20)) as f:
@@ -117,27 +134,33 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, block
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, digest_ok boolean"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 def _read(folder: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
+        table = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
         for frame in frames:
-            for name in frame["name"]:
+            for name, count, size, crc in zip(frame["name"], frame["records"], frame["bytes"], frame["crc32"], strict=True):
                 rows = []
-                with open_input(folder, name) as stream:
+                with open_input(folder, name) as file:
+                    stream = Summed(file)
                     for head, block in records(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(next(h.split(b": ")[1] for h in http.split(b"\r\n") if h.startswith(b"Content-Length")))
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        ok = head["WARC-Block-Digest"] == f"sha1:{sha1(block)}" and (head["WARC-Type"] != "response" or sha1(payload) == digest)
+                        digest, response = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "response"
+                        length = int(next(h.split(b": ")[1] for h in http.split(b"\r\n") if h.startswith(b"Content-Length")))
+                        if head["WARC-Block-Digest"] != f"sha1:{sha1(block)}" or response and (sha1(payload) != digest or len(payload) != length):
+                            raise ValueError(f"{name}: a record differs from its digest")
                         page, refers = head.get("X-Page-Id"), head.get("X-Refers-To-Page")
-                        rows.append((page and int(page), size, digest, head["WARC-Type"], refers and int(refers), head["WARC-Target-URI"], ok))
+                        rows.append((page and int(page), length, digest, head["WARC-Type"], refers and int(refers), head["WARC-Target-URI"]))
+                        count -= 1
                         if len(rows) >= 5000:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield table(rows)
                             rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                if count or (stream.size, stream.crc) != (size, crc):
+                    raise ValueError(f"{name} is not the file of the manifest")
+                yield table(rows)
 
     return run
 
@@ -159,9 +182,9 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the files that the manifest lists."""
-    files = manifest.select("name").repartition(F.col("name"))
-    return files.mapInPandas(_read(folder), RECORD)
+    """The records of the files that the manifest lists, which are dealt to as many tasks."""
+    files = manifest.select("name", "records", "bytes", "crc32")
+    return files.repartition(max(1, manifest.count()), "name").mapInPandas(_read(folder), RECORD)
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
