@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_sample, chunks
 
 # Language codes by family.
 FAMILIES = {
@@ -131,27 +131,14 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(labelled: DataFrame, per_language: int = 250) -> Model | None:
-    """Fit on (text, lang) rows: a sample of about ``per_language`` texts of each language, at most 1.2 times that."""
+    """Fit on (id, text, lang) rows: a sample of at most ``per_language`` texts of each language, by hash of id and text."""
     labelled = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    bucket = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    wanted = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (bucket < int(min(1.0, per_language / n) * 1_000_003)))
-    rows = labelled.filter(wanted).mapInPandas(_vectors, "lang string, at binary, value binary").collect()
+    rows = bounded_sample(labelled, "lang", per_language, "id", "text").mapInPandas(_vectors, "lang string, at binary, value binary").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
-    used: dict[str, int] = {}
-    keep = []
-    for r in rows:
-        used[r["lang"]] = used.get(r["lang"], 0) + 1
-        if used[r["lang"]] <= per_language * 6 // 5:
-            keep.append(r)
-    x = np.zeros((len(keep), SIZE))
-    for i, r in enumerate(keep):
+    x = np.zeros((len(rows), SIZE))
+    for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["value"], dtype=np.float32)
-    return Model(x, [r["lang"] for r in keep]) if keep else None
+    return Model(x, [r["lang"] for r in rows]) if rows else None
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250) -> DataFrame:
@@ -161,7 +148,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
-    model = fit(docs.filter(~held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), per_language)
+    model = fit(docs.filter(~held).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), per_language)
     shared = spark.sparkContext.broadcast(model)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

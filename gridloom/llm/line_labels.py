@@ -1,8 +1,10 @@
 """Quality rules by line labelling: a linear-chain conditional random field marks each line content or boilerplate.
 
 The field has a weight for each line feature and label and one for each pair of neighbouring labels. It is fitted
-on a sample of at most ``per_class`` documents of each quality label (by hash of the text; every line of a document has the
-document's label), by gradient ascent on the likelihood. Viterbi decoding then labels the lines of every whole text, and a
+on a sample of at most ``per_class`` documents of each quality label (by hash of id and text). Only documents are labelled, so the
+labels of lines are latent: fitting starts from lines that take their document's label, then alternates between labelling
+the lines by their posterior, under the constraint that lines with at least half of a document's words have its label, and gradient
+ascent on the likelihood of these line labels. A good line in a bad document can thus be content, and the reverse. Viterbi decoding then labels the lines of every whole text, and a
 document is kept when at least ``min_share`` of its words are in content lines.
 
 Documents fail the base rules with fewer than ``min_words`` words, or when over ``max_repeat`` % of the words are in
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import chunks
+from .common import bounded_sample, chunks
 
 # Byte classes: letters (bytes past ASCII count as such), capitals, digits, marks of markup, other punctuation.
 CLASSES = np.zeros((5, 256), dtype=np.int64)
@@ -88,9 +90,8 @@ def viterbi(score: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def likelihood_gradient(x: np.ndarray, label: int, weights: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the log likelihood of a document whose lines all have one label, by forward and backward sums."""
-    score = x @ weights.T
+def posteriors(score: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each line's label [n, 2] and expected counts of neighbouring labels [2, 2], by forward and backward sums."""
     n = len(score)
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
     forward[0] = score[0]
@@ -99,46 +100,71 @@ def likelihood_gradient(x: np.ndarray, label: int, weights: np.ndarray, step: np
     for t in range(n - 2, -1, -1):
         backward[t] = np.logaddexp.reduce(step + score[t + 1] + backward[t + 1], axis=1)
     total = np.logaddexp.reduce(forward[-1])
-    p = np.exp(forward + backward - total)
-    target = np.zeros((n, 2))
-    target[:, label] = 1
     pairs = np.exp(forward[:-1, :, None] + step + (score[1:] + backward[1:])[:, None, :] - total).sum(axis=0) if n > 1 else np.zeros((2, 2))
+    return np.exp(forward + backward - total), pairs
+
+
+def likelihood_gradient(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood of a document's line labels."""
+    p, pairs = posteriors(x @ weights.T, step)
+    target = np.zeros((len(x), 2))
+    target[np.arange(len(x)), labels] = 1
     seen = np.zeros((2, 2))
-    seen[label, label] = n - 1
+    np.add.at(seen, (labels[:-1], labels[1:]), 1)
     return (target - p).T @ x, seen - pairs
 
 
+def latent_labels(boilerplate: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+    """Line labels by posterior; the surest lines of the document's own label are taken until they hold half of its words."""
+    own = boilerplate if label else 1 - boilerplate
+    order = np.argsort(-own, kind="stable")
+    before = np.cumsum(words[order]) - words[order]
+    mine = own >= 0.5
+    mine[order[2 * before < words.sum()]] = True
+    return np.where(mine, label, 1 - label)
+
+
 def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for quality, text in zip(frame["quality"], frame["text"], strict=True):
-            rows.append((quality, line_features(text)[0].astype(np.float32).tobytes()))
-        yield pd.DataFrame(rows, columns=["quality", "x"])
+            x, words = line_features(text)
+            rows.append((quality, x.astype(np.float32).tobytes(), words.astype(np.int64).tobytes()))
+        yield pd.DataFrame(rows, columns=["quality", "x", "words"])
 
 
-def fit(docs: DataFrame, per_class: int = 150, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Weights [2, FEATURES] and neighbour weights [2, 2], from (text, quality) rows with quality 1 (content) or 0."""
-    docs = docs.filter("text is not null and text <> '' and quality in (0, 1)")
-    sizes = {r["quality"]: r["count"] for r in docs.groupBy("quality").count().collect()}
-    weights, step = np.zeros((2, FEATURES)), np.zeros((2, 2))
-    if len(sizes) < 2:
-        weights[0, 0] = 1.0
-        return weights, step
-    bucket = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    wanted = F.lit(False)
-    for quality, n in sorted(sizes.items()):
-        wanted = wanted | ((F.col("quality") == quality) & (bucket < int(min(1.0, per_class / n) * 1_000_003)))
-    rows = sorted(((r["quality"], bytes(r["x"])) for r in docs.filter(wanted).mapInPandas(_sample, "quality int, x binary").collect()))
-    train = [(1 - q, np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES).astype(float)) for q, x in rows]
-    share = {k: sum(len(x) for label, x in train if label == k) or 1 for k in (0, 1)}
+def climb(train: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, step: np.ndarray, rounds: int, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Adaptive gradient ascent on (features, line labels); both labels weigh the same. Without ``linked`` neighbours don't count."""
+    share = np.maximum(1, sum(np.bincount(y, minlength=2) for _, y in train))
     gw, gs = np.full_like(weights, 1e-6), np.full_like(step, 1e-6)
     for _ in range(rounds):
         dw, ds = -0.02 * weights, -0.02 * step
-        for label, x in train:
-            a, b = likelihood_gradient(x, label, weights, step)
-            dw, ds = dw + a / share[label], ds + b / share[label]
+        for x, y in train:
+            by = 1 / share[y]
+            a, b = likelihood_gradient(x, y, weights, step)
+            dw, ds = dw + a * by.mean(), ds + b * by.mean()
         gw, gs = gw + dw * dw, gs + ds * ds
-        weights, step = weights + 0.5 * dw / np.sqrt(gw), step + 0.5 * ds / np.sqrt(gs)
+        weights = weights + 0.5 * dw / np.sqrt(gw)
+        step = step + 0.5 * ds / np.sqrt(gs) if linked else step
+    return weights, step
+
+
+def fit(docs: DataFrame, per_class: int = 150, rounds: int = 12, turns: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights [2, FEATURES] and neighbour weights [2, 2], from (id, text, quality) rows with quality 1 (content) or 0."""
+    docs = docs.filter("text is not null and text <> '' and quality in (0, 1)")
+    rows = bounded_sample(docs, "quality", per_class, "id", "text").mapInPandas(_sample, "quality int, x binary, words binary").collect()
+    rows = sorted((r["quality"], bytes(r["x"]), bytes(r["words"])) for r in rows)
+    weights, step = np.zeros((2, FEATURES)), np.zeros((2, 2))
+    if len({r[0] for r in rows}) < 2:
+        weights[0, 0] = 1.0
+        return weights, step
+    sample = [(1 - q, np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(w, dtype=np.int64)) for q, x, w in rows]
+    lines = [np.full(len(x), label) for label, x, _ in sample]
+    # lines by themselves first: with their document's label, no neighbour ever differs
+    weights, step = climb([(x, y) for (_, x, _), y in zip(sample, lines, strict=True)], weights, step, 2 * rounds, False)
+    for _ in range(turns):
+        lines = [latent_labels(posteriors(x @ weights.T, step)[0][:, 1], words, label) for label, x, words in sample]
+        weights, step = climb([(x, y) for (_, x, _), y in zip(sample, lines, strict=True)], weights, step, rounds, True)
     return weights, step
 
 
