@@ -51,7 +51,7 @@ def _packed(width: int, bits: int):
     return run
 
 
-def long_lists(docs: DataFrame, width: int, short_list: int, chars: int) -> np.ndarray:
+def long_lists(docs: DataFrame, width: int, short_list: int, chars: int, scratch: Scratch) -> np.ndarray:
     """Fingerprints (sorted int64) of the shingles in more than ``short_list`` documents, the ``MOST_LONG`` longest at most."""
     bits = int(min(30, max(6, np.ceil(np.log2(max(1, chars * 0.8 / BUCKET_BYTES))))))
 
@@ -62,17 +62,15 @@ def long_lists(docs: DataFrame, width: int, short_list: int, chars: int) -> np.n
         keep = n > short_list
         return pd.DataFrame({"mark": (np.int64(key[0]) << 32) | x[at][keep].astype(np.int64), "df": n[keep].astype(np.int64)})
 
-    found = docs.select("text").mapInPandas(_packed(width, bits), "bucket long, data binary").groupBy("bucket").applyInPandas(count, "mark long, df long").persist()
-    try:
-        steps = sorted(found.groupBy(F.floor(F.log2("df") * 4).alias("step")).count().collect(), reverse=True)
-        total, least = 0, None
-        for step, n in steps:
-            if total + n > MOST_LONG:
-                break
-            total, least = total + n, step
-        rows = found.filter(F.floor(F.log2("df") * 4) >= least).select("mark").toArrow() if least is not None else None
-    finally:
-        found.unpersist()
+    packed = docs.select("text").mapInPandas(_packed(width, bits), "bucket long, data binary")
+    found = scratch.keep(packed.groupBy("bucket").applyInPandas(count, "mark long, df long"), "long")
+    steps = sorted(found.groupBy(F.floor(F.log2("df") * 4).alias("step")).count().collect(), reverse=True)
+    total, least = 0, None
+    for step, n in steps:
+        if total + n > MOST_LONG:
+            break
+        total, least = total + n, step
+    rows = found.filter(F.floor(F.log2("df") * 4) >= least).select("mark").toArrow() if least is not None else None
     marks = np.sort(rows["mark"].to_numpy()) if rows is not None and rows.num_rows else np.empty(0, dtype=np.int64)
     return np.append(np.int64(bits), marks)
 
@@ -202,7 +200,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    marks = spark.sparkContext.broadcast(long_lists(docs, width, short_list, chars))
+    marks = spark.sparkContext.broadcast(long_lists(docs, width, short_list, chars, scratch))
     every = scratch.keep(docs.mapInPandas(_prefixes(width, percent, marks), PREFIX), "prefixes")
     classes = every.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     classes = scratch.keep(classes, "classes")
