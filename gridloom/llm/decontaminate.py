@@ -11,7 +11,7 @@ containment of the shingles' words. A partition of window length w serves all it
 
 Documents of fewer shingles than any item needs are skipped. Items or documents with fewer than ``width`` words, null or empty ones
 match nothing. Repeated items give a row each. Rows with a null id are searched like others.
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Only the named columns are read.
+X
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Item MinHashes (long, long, int) up to this number are broadcast; more of them are shuffled.
+from .common import Scratch
+
+#: Item MinHashes, and then candidate pairs, up to this number (16 bytes each) are broadcast; more of them are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -111,8 +113,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     rows = wanted.count()
     hits = probes.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted.hint("merge"), "h")
     pairs = hits.select(F.col("id").alias("of"), F.col("v").alias("w"), F.explode("items").alias("item")).distinct()
-    likely = pairs.groupBy("of", "w").agg(F.collect_set("item").alias("found"))
-    found = docs.withColumn("v", F.xxhash64("text")).join(likely, F.col("id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("w")))
+    likely = Scratch(docs.sparkSession, "contained").keep(pairs.groupBy("of", "w").agg(F.collect_set("item").alias("found")), "likely")
+    few = likely.agg(F.coalesce(F.sum(F.size("found") + 2), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    found = docs.withColumn("v", F.xxhash64("text")).join(F.broadcast(likely) if few else likely, F.col("id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("w")))
     found = found.select("id", words(F.col("text")).alias("tokens"), "found").select("id", shingle_texts(F.col("tokens"), width).alias("has"), F.explode("found").alias("item"))
     small = items.select("item", F.col("shingles").alias("needs"))
     exact = found.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, "item").select("id", "item", F.size("needs").alias("n_item"), F.size(F.array_intersect("has", "needs")).alias("n_shared"))
