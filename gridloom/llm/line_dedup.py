@@ -13,6 +13,9 @@ its relative constants: tokens in ``share`` % of the texts of their leaf at leas
 values stays a field there at every size of the corpus. A line goes if one of its templates recurs and it isn't the first
 of that one; the lines that share templates keep one at least.
 
+Texts, leaves, bodies and templates are told apart by 64-bit hashes: of n of them a share of about n / 2**64 meets another one, so at 10**12
+lines a line in twenty million may be taken for another's copy.
+
 Copies of one whole text count as one text, so a group of copies doesn't make its own lines boilerplate.
 Lines of fewer than ``min_tokens`` tokens always stay. Null texts stay null; empty texts and lines stay. A document whose
 lines all go keeps an empty text. Rows with a null id or repeated rows are treated by their own text. All columns of
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FIELD = "<*>"
+#: Recurring templates up to this number (about 50 bytes each) are broadcast to the lines; more meet them in a shuffle.
+BROADCAST_TEMPLATES = 200_000
 
 
 def masked(tokens: Column) -> Column:
@@ -76,7 +81,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     matched = scratch.keep(kept.select("id", "v", "at", "leaf", "body").join(forms, ["leaf", "body"]).select("id", "v", "at", "size", "template"), "matched")
     often = matched.select("template", "size", "v").distinct().groupBy("template", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).drop("size")
     often = often.join(matched.groupBy("template").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "at")).alias("first")), "template")
-    gone = matched.join(often, "template")
+    often = scratch.keep(often, "often")
+    gone = matched.join(F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often, "template")
     if keep_first:
         gone = gone.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("v") == F.col("first.v")) & (F.col("at") == F.col("first.at"))))
     return gone.select("id", "v", "at").distinct()
