@@ -326,3 +326,56 @@ def test_pipeline_stages_keep_clean_documents(spark):
         before, docs = docs, stage(spark, docs, FOLDER)
         assert docs.columns == before.columns or "ids_sha256" in docs.columns
     assert {r.doc_id for r in docs.collect()} == set(range(20))
+
+
+def test_pipeline_stages_by_brute_force_with_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, ties, and extra columns with the names that operators use."""
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aeinrstlou") for _ in range(rnd.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    base, items = text(90), [(k, text(30)) for k in range(3)]
+    rows = [(i, text(60)) for i in range(25)] + [(None, text(60)), (None, base), (None, None), (30, base), (31, base + " tail"), (32, base), (33, ""), (34, "123 45"), (40, text(50)), (40, text(50)), (40, base), (41, text(20)), (41, text(20) + " " + items[0][1])]
+    rows += [(50 + k, text(40) + " " + t + " " + text(10)) for k, t in items] + [(None, text(10) + " " + items[1][1]), (60, text(70)), (60, rows[3][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.25, True, "x", 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean, lang_pred string, id int, key int").repartition(3)
+    key = lambda r: (r.doc_id, r.text)
+
+    def run(stage, docs):
+        out = stage(spark, docs, FOLDER).collect()
+        assert not out or (out[0].score, out[0].held_out, out[0].lang_pred, out[0].id, out[0].key) == (0.25, True, "x", 7, 8)
+        return Counter(map(key, out))
+
+    told = run(corpus_pipeline.keep_known_languages, docs)
+    assert told == Counter((i, t) for i, t in rows if re.search("[a-z]", t or ""))
+    # one of each group: by id, then null and repeated ids; equal rows once
+    ids = Counter(i for i, _ in rows)
+    order = sorted(set(rows), key=lambda r: (r[0] is None or ids[r[0]] > 1, r[0] or 0, r[1] or ""))
+    groups = []
+    for r in order:
+        s = shingles(r[1])
+        near = [g for g in groups if s and any(100 * len(s & shingles(t)) >= 75 * len(s | shingles(t)) for _, t in g if t)]
+        groups = [g for g in groups if g not in near] + [[x for g in near for x in g] + [r]]
+    kept = run(corpus_pipeline.keep_one_of_each_group, docs)
+    assert sum(kept.values()) == len(groups) and max(kept.values()) == 1
+    for g in groups:
+        left = [r for r in g if kept[r]]
+        plain = [r for r in g if r[0] is not None and ids[r[0]] == 1]
+        assert len(left) == 1 and (not plain or left[0] == min(plain))
+    bench = common.table(spark, FOLDER, "benchmark")
+    held = corpus_pipeline.table
+    corpus_pipeline.table = lambda *_: spark.createDataFrame([(k, t) for k, t in items], bench.select("item_id", "text").schema)
+    try:
+        clean = run(corpus_pipeline.drop_contaminated, docs)
+    finally:
+        corpus_pipeline.table = held
+    assert clean == Counter((i, t) for i, t in rows if not any(100 * len(shingles(x) & shingles(t)) >= 75 * len(shingles(x)) for _, x in items))
+    assert sum(run(corpus_pipeline.drop_lines, docs).values()) == sum(bool((t or "").strip()) for _, t in rows)
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, FOLDER).count() == 0
