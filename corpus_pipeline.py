@@ -23,29 +23,59 @@ LEAST_SCORE = 0.5
 LONG_LINE, LEAST_SHARE = 20, 20
 
 
+#: Keys of rows without an id of their own start here; ids from here on count as such too.
+OTHERS = 1 << 62
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key column: the id, or past all ids a hash of id and text where the id is null or more than one row has it.
+
+    So decisions reach the row they were made for. Rows equal in id and text share a key.
+    """
+    again = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id", F.lit(True).alias("_again"))
+    again = Scratch(docs.sparkSession, "pipeline-ids").keep(again, "again")
+    own = F.coalesce(F.col("doc_id") < OTHERS, F.lit(False))
+    hashed = F.lit(OTHERS) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(OTHERS - 1))
+    if again.isEmpty():
+        return docs.withColumn(KEY, F.when(own, F.col("doc_id").cast("long")).otherwise(hashed))
+    return docs.join(again, "doc_id", "left").select(*docs.columns, F.when(own & F.col("_again").isNull(), F.col("doc_id").cast("long")).otherwise(hashed).alias(KEY))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = predict_languages(docs)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents whose language is undetermined (null text, no letter) or unsure go; all columns stay as they are."""
+    told = predict_languages(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row")))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text. A document left without any text goes too."""
+    """Boilerplate lines go; n_chars follows the text. A document left without any text (or with a null one) goes too."""
     out = drop_template_lines(docs, long_tokens=LONG_LINE, share=LEAST_SHARE).filter(F.length(F.trim("text")) > 0)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates the document of the smallest id stays.
+
+    Documents with a null or repeated id are compared by their own texts, come after all others in a group, and one of rows
+    equal in id and text stays. Null and wordless texts link with nothing and stay.
+    """
+    rows = keyed(docs)
+    groups = jaccard_components(rows, id_col=KEY)
+    first = Scratch(spark, "pipeline-groups").keep(groups.filter(F.col(KEY) == F.col("component_id")).select(KEY).distinct(), "first")
+    kept = rows.join(first, KEY, "left_semi")
+    return kept.filter(F.col(KEY) < OTHERS).union(kept.filter(F.col(KEY) >= OTHERS).dropDuplicates([KEY])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain a benchmark item go, each by its own text whatever its id."""
+    rows = keyed(docs)
+    hits = contained_items(rows, table(spark, sf_dir, "benchmark"), id_col=KEY).select(KEY).distinct()
+    return rows.join(hits, KEY, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; null texts count as empty."""
     return encode_documents(docs, word_bpe(), digests=True)
 
 
