@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
+from .joins import box_candidates
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -19,11 +20,9 @@ def side(name: str) -> dict:
     return {c: F.col(f"{c}_{name}") for c in SIDES}
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of boxes of the same image (and label) with their IoU; columns get the suffixes _a and _b."""
-    left = a.select(*(F.col(c).alias(c if c in on else f"{c}_a") for c in a.columns))
-    right = b.select(*(F.col(c).alias(c if c in on else f"{c}_b") for c in b.columns))
-    return left.join(right, on).withColumn("iou", bx.iou(side("a"), side("b")))
+def iou_pairs(a: DataFrame, b: DataFrame, on: list[str], cell: float = 64.0) -> DataFrame:
+    """Overlapping boxes of the same image (and label) with their IoU; columns get the suffixes _a and _b. Boxes meet on grid cells."""
+    return box_candidates(a, b, cell, on).withColumn("iou", bx.iou(side("a"), side("b")))
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +104,8 @@ def average_precision(flags: DataFrame, totals: DataFrame, keys: list[str], orde
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = flags.join(totals, keys).withColumns({"tps": F.sum(F.col("tp").cast("long")).over(run), "n": F.count("*").over(run)})
     rows = rows.withColumns({"recall": F.coalesce(F.try_divide(F.col("tps") * 1.0, F.col("n_gt")), F.lit(0.0)), "precision": F.col("tps") / F.col("n")})
-    rows = rows.withColumns({"top": F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)), "before": F.coalesce(F.lag("recall").over(w), F.lit(0.0))})
+    back = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"top": F.max("precision").over(back), "before": F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy("n")), F.lit(0.0))})
     ap = rows.groupBy(*keys).agg(F.sum(F.col("top") * (F.col("recall") - F.col("before"))).alias("ap"))
     return totals.join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
@@ -119,7 +119,7 @@ def interpolated_precision(flags: DataFrame, totals: DataFrame, keys: list[str],
     ends = totals.select(*keys, F.explode(F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(0).cast("long").alias("at")), F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(1 << 60).alias("at")))).alias("e")).select(*keys, "e.*")
     rows = rows.unionByName(ends)
     o = Window.partitionBy(*keys).orderBy("at")
-    rows = rows.withColumn("p", F.max("p").over(o.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("p", F.max("p").over(Window.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
     # recall points lie between a row and the next one; equal recalls take the last row, as interpolation does
     rows = rows.withColumns({"r2": F.lead("r").over(o), "p2": F.lead("p").over(o)})
     points = F.explode(F.sequence(F.ceil(F.bround(F.col("r") * 100, 9)), F.floor(F.bround(F.least("r2", F.lit(1.0)) * 100, 9))))

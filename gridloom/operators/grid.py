@@ -1,23 +1,24 @@
 """Neighbourhood and region operators on pixel tables (x, y, ...).
 
 A kernel is an array of (dx, dy, weight) structs exploded next to each pixel, whose key is shifted: one shuffle per
-operator and no driver state. Connected components work on runs of a row, not on pixels.
+operator and no driver state. Connected components are labelled tile by tile and joined across the tiles' rims.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import Rounds, components_of
 from .stats import majority
 
 
-def windows(width: int, height: int, size: int, stride: int, spark) -> DataFrame:
-    """Upper left corners of sliding windows; the remainder is dropped."""
-    one = spark.range(1)
-    xs = F.explode(F.sequence(F.lit(0), F.lit(width - size), F.lit(stride))) if width >= size else F.explode(F.array().cast("array<int>"))
-    ys = F.explode(F.sequence(F.lit(0), F.lit(height - size), F.lit(stride))) if height >= size else F.explode(F.array().cast("array<int>"))
-    return one.select(xs.alias("x0")).select("x0", ys.alias("y0"))
+def windows(extents: DataFrame, size: int, stride: int) -> DataFrame:
+    """Upper left corners of the sliding windows inside each row's extent (w, h); the remainder is dropped."""
+    starts = lambda c: F.explode(F.when(F.col(c) >= size, F.sequence(F.lit(0), F.col(c) - size, F.lit(stride))))
+    return extents.withColumn("x0", starts("w")).withColumn("y0", starts("h"))
 
 
 def tiles(extents: DataFrame, size: int, stride: int, edge: str = "pad") -> DataFrame:
@@ -35,16 +36,17 @@ def tiles(extents: DataFrame, size: int, stride: int, edge: str = "pad") -> Data
     return out.withColumns({"x0": back("x0", "w"), "y0": back("y0", "h"), "tw": F.least(F.lit(size), F.col("w")), "th": F.least(F.lit(size), F.col("h"))}).distinct()
 
 
-def covering_tiles(df: DataFrame, size: int, stride: int, width: int, height: int) -> DataFrame:
-    """Each pixel with every window that covers it."""
-    last = lambda side: ((side - size) // stride) * stride
+def covering_tiles(df: DataFrame, size: int, stride: int) -> DataFrame:
+    """Each pixel with every window inside the table's extent (from 0 to its largest x and y) that covers it."""
+    far = df.agg(F.max("x").alias("_w"), F.max("y").alias("_h"))  # one row
 
-    def starts(c: str, side: int) -> Column:
+    def starts(c: str, side: str) -> Column:
         lo = F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)).cast("int")
-        hi = F.least(F.floor(F.col(c) / stride), F.lit(last(side) // stride)).cast("int")
+        hi = F.least(F.floor(F.col(c) / stride), F.floor((F.col(side) + 1 - size) / stride)).cast("int")
         return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
 
-    return df.withColumn("x0", F.explode(starts("x", width))).withColumn("y0", F.explode(starts("y", height)))
+    out = df.crossJoin(F.broadcast(far)).withColumn("x0", F.explode(starts("x", "_w"))).withColumn("y0", F.explode(starts("y", "_h")))
+    return out.drop("_w", "_h")
 
 
 def box_kernel(k: int) -> list[tuple[int, int, float]]:
@@ -126,40 +128,57 @@ def class_edges(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     return neighbourhood(df, column, box_kernel(k), mixed.cast("int"), "edge")
 
 
-def runs(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Runs of equal values in each row: (keys, y, value, x1, x2, run id)."""
-    w = Window.partitionBy(*keys, "y", column).orderBy("x")
-    g = df.select(*keys, "x", "y", column).withColumn("_g", F.col("x") - F.row_number().over(w))
-    out = g.groupBy(*keys, "y", column, "_g").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).drop("_g")
-    return out.withColumn("run", F.col("y").cast("long") * (1 << 31) + F.col("x1"))
-
-
-def components(df: DataFrame, column: str, connectivity: int = 8, max_rounds: int = 60) -> DataFrame:
+def _tile_labels(column: str, connectivity: int):
+    """Components within one tile: neighbours of equal value are linked, roots hook onto smaller roots until none differ."""
+    steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if connectivity == 8 else [])]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame["x"].to_numpy(dtype=np.int64), frame["y"].to_numpy(dtype=np.int64)
+        x0, y0 = x.min(), y.min()
+        width, height = x.max() - x0 + 2, y.max() - y0 + 2  # an empty column and row between planes of one value each
+        place = (pd.factorize(frame[column])[0].astype(np.int64) * height + y - y0) * width + x - x0
+        node, where = np.unique(place, return_inverse=True)
+        links = []
+        for dx, dy in steps:
+            to = node + dy * width + dx
+            at = np.minimum(np.searchsorted(node, to), len(node) - 1)
+            links.append(np.column_stack((np.flatnonzero(node[at] == to), at[node[at] == to])))
+        a, b = np.concatenate(links).T
+        root = np.arange(len(node))
+        while (apart := root[a] != root[b]).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while ((up := root[root]) != root).any():
+                root = up
+        first = node[root]
+        component = ((first // width) % height + y0) * (1 << 31) + first % width + x0
+        return frame[["x", "y", column]].assign(component=component[where])
+
+    return run
+
+
+def components(df: DataFrame, column: str, connectivity: int = 8, tile: int = 256) -> DataFrame:
     """(x, y, value, component) of non-null pixels; the component is the smallest y * 2**31 + x of its pixels.
 
-    Rows are compressed to runs; runs of neighbouring rows that touch are edges. Each round every label takes its least
-    neighbour, twice follows its label's label (pointer jumping), and the edges are contracted to labels; so rounds grow with
-    the logarithm of the component size. Each round is checkpointed; only the number of edges left reaches the driver.
+    Tiles of ``tile`` x ``tile`` pixels are labelled each in its task; only pixels at the tiles' rims meet across, and the few labels that touch
+    there are joined to components by rounds over written tables, whose number follows the logarithm of their count.
     """
-    reach = 1 if connectivity == 8 else 0
-    r = runs(df.filter(F.col(column).isNotNull()), column, []).checkpoint()
-    below = r.select((F.col("y") - 1).alias("y"), F.col(column), F.col("x1").alias("b1"), F.col("x2").alias("b2"), F.col("run").alias("other"))
-    touch = r.join(below, ["y", column]).filter((F.col("b1") <= F.col("x2") + reach) & (F.col("b2") >= F.col("x1") - reach))
-    edges = touch.select(F.col("run").alias("a"), F.col("other").alias("b")).checkpoint()
-    labels = r.select("run", F.col("run").alias("label"))
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        for _ in range(2):
-            up = up.join(up.select(F.col("a").alias("m"), F.col("m").alias("mm")), "m", "left").select("a", F.coalesce("mm", "m").alias("m"))
-        up = up.checkpoint()
-        labels = labels.join(up, F.col("label") == F.col("a"), "left").select("run", F.coalesce("m", "label").alias("label")).checkpoint()
-        to = lambda c: up.select(F.col("a").alias(c), F.col("m").alias(f"m{c}"))  # noqa: E731, B023
-        edges = edges.join(to("a"), "a").join(to("b"), "b").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).filter("a <> b").distinct().checkpoint()
-        if not edges.count():
-            break
-    out = r.join(labels, "run")
-    return out.select(F.explode(F.sequence("x1", "x2")).alias("x"), "y", column, F.col("label").alias("component"))
+    rounds = Rounds(df.sparkSession, "components")
+    kinds = dict(df.dtypes)
+    cut = lambda c: F.floor(F.col(c) / tile)
+    tiles = df.filter(F.col(column).isNotNull()).select("x", "y", column, cut("x").alias("_tx"), cut("y").alias("_ty"))
+    local = tiles.groupBy("_tx", "_ty").applyInPandas(_tile_labels(column, connectivity), f"x {kinds['x']}, y {kinds['y']}, `{column}` {kinds[column]}, component long")
+    local = rounds.keep(local, "tiles")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = local.filter(edge("x") | edge("y")).withColumns({"_tx": cut("x"), "_ty": cut("y")})
+    near = spread(rim, ["component"], [k for k in box_kernel(3) if k[0] != 0 or k[1] != 0] if connectivity == 8 else [(1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0)], [column, "_tx", "_ty"])
+    near = near.select("x", "y", column, F.col("component").alias("a"), F.col("_tx").alias("_fx"), F.col("_ty").alias("_fy"))
+    touch = near.join(rim, ["x", "y", column]).filter("_fx <> _tx or _fy <> _ty").select("a", F.col("component").alias("b")).filter("a > b").distinct()
+    edges = rounds.keep(touch, "touch")
+    if edges.isEmpty():
+        return local
+    whole = components_of(edges, rounds).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    return local.join(whole, "component", "left").select("x", "y", column, F.coalesce("_whole", "component").alias("component"))
 
 
 def remove_small(df: DataFrame, column: str, least: int, background: int = 0, connectivity: int = 8) -> DataFrame:
@@ -178,7 +197,7 @@ def ring_of(c: DataFrame, column: str) -> DataFrame:
 
 def replace_small(df: DataFrame, column: str, least: int, connectivity: int = 8) -> DataFrame:
     """Small components take the majority class of their ring, the lowest of those tied; all from the source map."""
-    c = components(df, column, connectivity).checkpoint()
+    c = components(df, column, connectivity)
     small = c.groupBy("component").agg(F.count("*").alias("n"), F.first(column).alias("_own")).filter(F.col("n") < least)
     ring = ring_of(c, column).join(small.select(F.col("component").alias("of"), "_own"), "of").filter(F.col(column) != F.col("_own"))
     best = majority(ring.select(F.col("of").alias("component"), column), ["component"], column).select("component", F.col(column).alias("_new"))
@@ -187,7 +206,7 @@ def replace_small(df: DataFrame, column: str, least: int, connectivity: int = 8)
 
 def fill_holes(df: DataFrame, column: str, most: int, background: int = 0) -> DataFrame:
     """Background components of ``most`` pixels at most, off the edge, with exactly one class around, take that class."""
-    c = components(df, column, 4).checkpoint()
+    c = components(df, column, 4)
     box = df.agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
     holes = c.filter(F.col(column) == background).crossJoin(F.broadcast(box)).groupBy("component").agg(F.count("*").alias("n"), F.bool_or((F.col("x") == F.col("x1")) | (F.col("x") == F.col("x2")) | (F.col("y") == F.col("y1")) | (F.col("y") == F.col("y2"))).alias("edge")).filter((F.col("n") <= most) & ~F.col("edge"))
     ring = ring_of(c, column).join(holes.select(F.col("component").alias("of")), "of").filter(F.col(column) != background)

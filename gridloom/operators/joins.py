@@ -49,16 +49,36 @@ def cells(a: Column, b: Column, size: float) -> Column:
     return F.sequence(F.floor(a / size), F.floor(b / size))
 
 
-def box_candidates(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes (x1, y1, x2, y2 with the suffixes _a and _b) that overlap; boxes meet on the cells they cover.
+def leveled(df: DataFrame, suffix: str, cell: float) -> DataFrame:
+    """Adds ``_level``: the least n with sides of cell * 2**n at most, so a box covers four cells of its level at most."""
+    side = F.greatest(F.col(f"x2{suffix}") - F.col(f"x1{suffix}"), F.col(f"y2{suffix}") - F.col(f"y1{suffix}"), F.lit(cell))
+    return df.withColumn("_level", F.ceil(F.log2(side / cell)).cast("int"))
 
-    A pair counts in one cell only, that of its overlap's lower corner, so nothing needs to be made distinct.
+
+def box_candidates(a: DataFrame, b: DataFrame, cell: float, on: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes (x1, y1, x2, y2 with the suffixes _a and _b) that overlap, of equal ``on``; boxes meet on the cells they cover.
+
+    Cells double with a box's level, so no shape covers more than four of its own level; it also stands in the cells of every coarser
+    level that occurs, and a pair meets on the coarser level of both. It counts in one cell only, that of its
+    overlap's lower corner, so nothing needs to be made distinct.
     """
-    left = a.select(*(F.col(c).alias(f"{c}_a") for c in a.columns)).withColumn("cx", F.explode(cells(F.col("x1_a"), F.col("x2_a"), cell))).withColumn("cy", F.explode(cells(F.col("y1_a"), F.col("y2_a"), cell)))
-    right = b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)).withColumn("cx", F.explode(cells(F.col("x1_b"), F.col("x2_b"), cell))).withColumn("cy", F.explode(cells(F.col("y1_b"), F.col("y2_b"), cell)))
+    on = on or []
+    left = leveled(a.select(*(F.col(c).alias(c if c in on else f"{c}_a") for c in a.columns)), "_a", cell)
+    right = leveled(b.select(*(F.col(c).alias(c if c in on else f"{c}_b") for c in b.columns)), "_b", cell)
+    found = sorted({r[0] for r in left.select("_level").union(right.select("_level")).distinct().collect() if r[0] is not None})  # a few dozen at most
+    if not found:
+        found = [0]
+
+    def placed(df: DataFrame, suffix: str) -> DataFrame:
+        levels = F.filter(F.array(*map(F.lit, found)), lambda n: n >= F.col(f"_own{suffix}"))
+        df = df.withColumnRenamed("_level", f"_own{suffix}").withColumn("_level", F.explode(levels))
+        size = F.pow(F.lit(2.0), F.col("_level")) * cell
+        return df.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"x1{suffix}") / size), F.floor(F.col(f"x2{suffix}") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"y1{suffix}") / size), F.floor(F.col(f"y2{suffix}") / size))))
+
     meet = (F.col("x1_a") < F.col("x2_b")) & (F.col("x1_b") < F.col("x2_a")) & (F.col("y1_a") < F.col("y2_b")) & (F.col("y1_b") < F.col("y2_a"))
-    once = (F.col("cx") == F.floor(F.greatest("x1_a", "x1_b") / cell)) & (F.col("cy") == F.floor(F.greatest("y1_a", "y1_b") / cell))
-    return left.join(right, ["cx", "cy"]).filter(meet & once).drop("cx", "cy")
+    size = F.pow(F.lit(2.0), F.col("_level")) * cell
+    once = (F.col("_level") == F.greatest("_own_a", "_own_b")) & (F.col("cx") == F.floor(F.greatest("x1_a", "x1_b") / size)) & (F.col("cy") == F.floor(F.greatest("y1_a", "y1_b") / size))
+    return placed(left, "_a").join(placed(right, "_b"), [*on, "_level", "cx", "cy"]).filter(meet & once).drop("cx", "cy", "_level", "_own_a", "_own_b")
 
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import box_candidates
+from .rounds import Rounds
 
 METRES_PER_DEGREE = 111320.0
 # Metres of each unit, and kilometres for paths.
@@ -108,19 +109,25 @@ def visible(pairs: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     return pairs.join(hit, "sid", "left_anti")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100, checkpoint_every: int = 2) -> DataFrame:
-    """(source, node, dist, before): relaxation from many sources over directed edges (src, dst, w) until nothing improves."""
-    best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["node"].dataType).alias("before")).checkpoint()
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, dist, before): relaxation from many sources over directed edges (src, dst, w) until nothing improves.
+
+    A round is written to the shared folder. A path has fewer legs than there are nodes; more rounds mean a circle of negative weight, an error.
+    """
+    rounds = Rounds(edges.sparkSession, "paths")
+    edges = rounds.keep(edges.select("src", "dst", "w"), "legs")
+    most = edges.select("src").union(edges.select("dst")).distinct().count() + 1
+    best = rounds.keep(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["node"].dataType).alias("before")), "best")
     frontier = best
-    for _ in range(max_rounds):
+    for _ in range(most):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("before"))
-        found = best.union(step).groupBy("source", "node").agg(F.min(F.struct("dist", "before")).alias("b")).select("source", "node", "b.dist", "b.before").checkpoint()
+        found = rounds.keep(best.union(step).groupBy("source", "node").agg(F.min(F.struct("dist", "before")).alias("b")).select("source", "node", "b.dist", "b.before"), "best")
         old = best.select("source", "node", F.col("dist").alias("_d"))
-        frontier = found.join(old, ["source", "node"], "left").filter(F.col("_d").isNull() | (F.col("dist") < F.col("_d"))).drop("_d").checkpoint()
+        frontier = rounds.keep(found.join(old, ["source", "node"], "left").filter(F.col("_d").isNull() | (F.col("dist") < F.col("_d"))).drop("_d"), "frontier")
         best = found
         if frontier.isEmpty():
-            break
-    return best
+            return best
+    raise ValueError("a circle of negative weight")
 
 
 def path_report(distance_km: Column, speed: float) -> tuple[Column, Column]:

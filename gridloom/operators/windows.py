@@ -40,9 +40,10 @@ def running_matches(df: DataFrame, by: list[str], order: list[Column]) -> DataFr
 
 
 def envelope(df: DataFrame, by: list[str], order: list[Column], column: str) -> DataFrame:
-    """Largest value of this and all later rows."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("envelope", F.max(column).over(w))
+    """Largest value of this and all later rows: a running maximum from the last row on, which looks at each row once."""
+    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    w = Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("envelope", F.max(column).over(w)).drop("_n")
 
 
 def phase_change(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:

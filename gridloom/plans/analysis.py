@@ -15,7 +15,6 @@ from ..operators import vector as vc
 from ..operators import windows as wd
 from ..streaming import files as st
 from .curate import COS
-from .grid import saved
 from .pixels import NDVI_SQL, NDWI_SQL
 from .registry import plan
 from .stats import NBR_SQL
@@ -87,7 +86,7 @@ def v11_haversine(s: DataFrame) -> DataFrame:
 @plan("kg_edges", "WITH RECURSIVE e AS (SELECT src, dst FROM kg_edges UNION ALL SELECT dst, src FROM kg_edges), r AS (SELECT 'r1' AS node, 0 AS d UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.d < 3) SELECT 'r1' AS source, node, CAST(min(d) AS DOUBLE) AS dist FROM r GROUP BY 2")
 def v13_shortest_paths(e: DataFrame) -> DataFrame:
     both = e.select("src", "dst", F.lit(1.0).alias("w")).union(e.select("dst", "src", F.lit(1.0)))
-    return vc.shortest_paths(saved(both), e.sparkSession.createDataFrame([("r1",)], "node string")).select("source", "node", "dist")
+    return vc.shortest_paths(both, e.sparkSession.createDataFrame([("r1",)], "node string")).select("source", "node", "dist")
 
 
 @plan("rect_targets", "SELECT fid, round_even(x1 / 7.0E0, 2) AS km, round_even(x1 / 7.0E0 / 5 * 60, 6) AS minutes FROM rect_targets")

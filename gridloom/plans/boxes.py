@@ -111,7 +111,7 @@ THRESHOLDS = [x / 100 for x in range(50, 100, 5)]
     SELECT label, round_even(avg(ap), 6) AS map FROM (SELECT label, thr, sum(top * (recall - before)) AS ap FROM e GROUP BY 1, 2) GROUP BY 1""",
 )
 def e11_mean_average_precision(p: DataFrame, g: DataFrame) -> DataFrame:
-    pairs = op.iou_pairs(p, g, ["image_id"]).filter("box_id_a = box_id_b").select(C("box_id_a").alias("box_id"), "iou")
+    pairs = paired(p, g).select("box_id", bx.iou(op.side("a"), op.side("b")).alias("iou"))
     flags = p.join(pairs, "box_id", "left").withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     flags = flags.select("label", "thr", "box_id", "score", F.coalesce(C("iou") >= C("thr"), F.lit(False)).alias("tp"))
     totals = g.groupBy("label").agg(F.count("*").alias("n_gt")).withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))

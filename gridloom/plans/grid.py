@@ -29,11 +29,6 @@ def near(agg: str, k: int = 1, src: str = BIN, col: str = "v") -> str:
     return f"(SELECT a.x, a.y, {agg} AS {col} FROM ({src}) a JOIN ({src}) b ON b.x BETWEEN a.x - {k} AND a.x + {k} AND b.y BETWEEN a.y - {k} AND a.y + {k} GROUP BY a.x, a.y)"
 
 
-@plan("scenes", "SELECT CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0 FROM (SELECT unnest(range(0, 512 - 128 + 1, 100)) AS x0) CROSS JOIN (SELECT unnest(range(0, 300 - 128 + 1, 100)) AS y0)")
-def n01_sliding_windows(s: DataFrame) -> DataFrame:
-    return op.windows(512, 300, 128, 100, s.sparkSession)
-
-
 EXT = "SELECT scene_id, CAST(cloud_pct * 5 + 1 AS INT) AS w, CAST(scene_id % 300 + 1 AS INT) AS h FROM scenes"
 
 
@@ -41,6 +36,11 @@ def extents(s: DataFrame) -> DataFrame:
     return s.select("scene_id", (C("cloud_pct") * 5 + 1).cast("int").alias("w"), (C("scene_id") % 300 + 1).cast("int").alias("h"))
 
 
+@plan("scenes", f"SELECT scene_id, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0 FROM (SELECT *, unnest(range(0, h - 64 + 1, 50)) AS y0 FROM (SELECT *, unnest(range(0, w - 64 + 1, 50)) AS x0 FROM ({EXT})))")
+def n01_sliding_windows(s: DataFrame) -> DataFrame:
+    return op.windows(extents(s), 64, 50).select("scene_id", "x0", "y0")
+
+
 @plan("scenes", f"SELECT scene_id, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0 FROM (SELECT *, unnest(range(0, h, 100)) AS y0 FROM (SELECT *, unnest(range(0, w, 100)) AS x0 FROM ({EXT})))")
 def n02_padded_tiles(s: DataFrame) -> DataFrame:
     return op.tiles(extents(s), 128, 100).select("scene_id", "x0", "y0")
@@ -51,9 +51,9 @@ def n03_edge_aligned_tiles(s: DataFrame) -> DataFrame:
     return op.tiles(extents(s), 128, 128, "square").select("scene_id", "x0", "y0")
 
 
-@plan("pixels", "SELECT x, y, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0 FROM pixels CROSS JOIN (SELECT unnest(range(0, 100 - 40 + 1, 30)) AS x0) CROSS JOIN (SELECT unnest(range(0, 100 - 40 + 1, 30)) AS y0) WHERE x >= x0 AND x < x0 + 40 AND y >= y0 AND y < y0 + 40")
+@plan("pixels", "SELECT x, y, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0 FROM pixels CROSS JOIN (SELECT unnest(range(0, 100 - 40 + 1, 30)) AS x0) CROSS JOIN (SELECT unnest(range(0, (SELECT CAST(max(y) AS BIGINT) FROM pixels) + 1 - 40 + 1, 30)) AS y0) WHERE x >= x0 AND x < x0 + 40 AND y >= y0 AND y < y0 + 40")
 def n04_covering_tiles(p: DataFrame) -> DataFrame:
-    return op.covering_tiles(p.select("x", "y"), 40, 30, 100, 100)
+    return op.covering_tiles(p.select("x", "y"), 40, 30)
 
 
 @plan("pixels", "SELECT x // 8 AS tx, y // 8 AS ty, max(gt_class) > 0 AS labelled, count(*) FILTER (gt_class = 3) AS n3, min(gt_class) = max(gt_class) AS single FROM pixels GROUP BY 1, 2")
@@ -102,39 +102,55 @@ def n11_class_edges(p: DataFrame) -> DataFrame:
     return op.class_edges(p.select("x", "y", C("gt_class").alias("v")), "v")
 
 
-def saved(p: DataFrame) -> DataFrame:
-    """Iterative operators cut lineage with checkpoint(): use the session's folder, or a temporary one where none is set."""
-    sc_ = p.sparkSession.sparkContext
-    if sc_.getCheckpointDir() is None:
-        import tempfile
+#: Labels of components in DuckDB: each pixel takes the least label of a neighbour of its value until none changes.
+def parts(source: str, name: str = "k", reach8: bool = True) -> str:
+    steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0) and (reach8 or dx == 0 or dy == 0)]
+    moves = ", ".join(f"({dx}, {dy})" for dx, dy in steps)
+    return f"""{name}(x, y, v, c) USING KEY (x, y) AS (SELECT x, y, v, CAST(y AS BIGINT) * 2147483648 + x AS c FROM ({source})
+  UNION SELECT n.x, n.y, n.v, min(p.c) FROM {name} p CROSS JOIN (VALUES {moves}) s(dx, dy) JOIN recurring.{name} n ON n.x = p.x + s.dx AND n.y = p.y + s.dy AND n.v = p.v AND n.c > p.c GROUP BY n.x, n.y, n.v)"""
 
-        sc_.setCheckpointDir(sc_.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
-    return p
 
+GT = "SELECT x, y, gt_class AS v FROM pixels"
+RING = "SELECT DISTINCT o.c AS of, n.x, n.y, n.v, n.c FROM {k} o CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dx, dy) JOIN {k} n ON n.x = o.x + s.dx AND n.y = o.y + s.dy AND n.c <> o.c"
 
-@plan("pixels")
+
+def replaced(k: str, least: int) -> str:
+    return f"""SELECT x, y, coalesce(b.v, {k}.v) AS v FROM {k} LEFT JOIN (SELECT r.of, r.v FROM ({RING.format(k=k)}) r JOIN (SELECT c, any_value(v) AS own FROM {k} GROUP BY c HAVING count(*) < {least}) s ON s.c = r.of AND s.own <> r.v
+  GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY r.of ORDER BY count(*) DESC, r.v) = 1) b ON b.of = {k}.c"""
+
+
+def filled(k: str, most: int) -> str:
+    return f"""SELECT x, y, coalesce(b.v, {k}.v) AS v FROM {k} LEFT JOIN (SELECT r.of, min(r.v) AS v FROM ({RING.format(k=k)}) r JOIN (SELECT c FROM {k} WHERE v = 0 GROUP BY c
+  HAVING count(*) <= {most} AND min(x) > (SELECT min(x) FROM {k}) AND max(x) < (SELECT max(x) FROM {k}) AND min(y) > (SELECT min(y) FROM {k}) AND max(y) < (SELECT max(y) FROM {k})) h ON h.c = r.of
+  WHERE r.v <> 0 GROUP BY r.of HAVING count(DISTINCT r.v) = 1) b ON b.of = {k}.c"""
+
+
+@plan("pixels", f"WITH RECURSIVE {parts(GT)} SELECT x, y, v, c AS component FROM k")
 def c01_components(p: DataFrame) -> DataFrame:
-    return op.components(saved(p).select("x", "y", C("gt_class").alias("v")), "v")
+    return op.components(p.select("x", "y", C("gt_class").alias("v")), "v")
 
 
-@plan("pixels")
+@plan("pixels", f"WITH RECURSIVE {parts(BIN)} SELECT x, y, CASE WHEN count(*) OVER (PARTITION BY c) < 4 THEN 0 ELSE v END AS v FROM k")
 def c02_remove_small(p: DataFrame) -> DataFrame:
-    return op.remove_small(binary(saved(p)), "v", 4)
+    return op.remove_small(binary(p), "v", 4)
 
 
-@plan("pixels")
+@plan("pixels", f"WITH RECURSIVE {parts(BIN, reach8=False)} {filled('k', 5)}")
 def c03_fill_holes(p: DataFrame) -> DataFrame:
-    return op.fill_holes(binary(saved(p)), "v", 5)
+    return op.fill_holes(binary(p), "v", 5)
 
 
-@plan("pixels")
+@plan("pixels", f"WITH RECURSIVE {parts(GT)} {replaced('k', 4)}")
 def c04_replace_small(p: DataFrame) -> DataFrame:
-    return op.replace_small(saved(p).select("x", "y", C("gt_class").alias("v")), "v", 4)
+    return op.replace_small(p.select("x", "y", C("gt_class").alias("v")), "v", 4)
 
 
-@plan("pixels")
+SMOOTH = "SELECT x, y, v FROM (SELECT a.x, a.y, b.gt_class AS v, count(*) AS n FROM pixels a CROSS JOIN (VALUES (-1), (0), (1)) i(dx) CROSS JOIN (VALUES (-1), (0), (1)) j(dy) JOIN pixels b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY n DESC, v) = 1"
+
+
+@plan("pixels", f"WITH RECURSIVE {parts(SMOOTH, 'k1')}, r AS ({replaced('k1', 4)}), {parts('SELECT * FROM r', 'k2', False)} {filled('k2', 5)}")
 def c05_clean_map(p: DataFrame) -> DataFrame:
-    return op.clean_map(saved(p).select("x", "y", C("gt_class").alias("v")), "v", 3, 4, 5)
+    return op.clean_map(p.select("x", "y", C("gt_class").alias("v")), "v", 3, 4, 5)
 
 
 @plan("regions", "WITH d AS (SELECT region_id, bx + bw / 2.0E0 - img_w / 2.0E0 AS dx, bv + bh / 2.0E0 - img_h / 2.0E0 AS dy FROM regions) SELECT region_id, CASE WHEN abs(dx) < 51.2 AND abs(dy) < 51.2 THEN 'center' ELSE ['right', 'top-right', 'top', 'top-left', 'left', 'bottom-left', 'bottom', 'bottom-right'][CAST((CAST(round_even(atan2(-dy, dx) / (pi() / 4), 0) AS INT) + 8) % 8 AS INT) + 1] END AS word FROM d")
@@ -154,9 +170,12 @@ def c08_crop_box(r: DataFrame) -> DataFrame:
     return r.select("region_id", lo.alias("x1"), hi.alias("x2")).filter("x2 - x1 >= 10")
 
 
-@plan("pixels")
+SIDES = "(VALUES (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) s(dx, dy, ax, ay, bx, bv)"
+
+
+@plan("pixels", f"WITH RECURSIVE {parts('SELECT * FROM (' + BIN + ') WHERE v = 1')} SELECT k.c AS component, k.x + ax AS x1, k.y + ay AS y1, k.x + bx AS x2, k.y + bv AS y2 FROM k CROSS JOIN {SIDES} LEFT JOIN k o ON o.x = k.x + dx AND o.y = k.y + dy WHERE o.c IS NULL OR o.c <> k.c")
 def c09_boundary_edges(p: DataFrame) -> DataFrame:
-    return op.boundary_edges(op.components(binary(saved(p)).filter("v = 1"), "v"), [])
+    return op.boundary_edges(op.components(binary(p).filter("v = 1"), "v"), [])
 
 
 @plan("rect_targets", "SELECT fid, CAST(0 AS INT) AS ring, 5 AS n_points, 0 AS class_id FROM rect_targets")

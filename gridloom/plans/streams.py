@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rounds import shared_folder
 from ..streaming import files as st
 from .registry import ORACLES, QUERIES
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    return f"{base.rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/gridloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def drops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def x02_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x04_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "latest")
     st.upsert_latest(drops(spark, sf_dir).select("user_id", "event_id"), ["user_id"], "event_id", f"{out}/rows", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/rows/v=0").select("user_id", "event_id")
+    return st.newest(spark, f"{out}/rows").select("user_id", "event_id")
 
 
 for run, sql in (

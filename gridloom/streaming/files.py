@@ -43,3 +43,10 @@ def upsert_latest(df: DataFrame, keys: list[str], order: str, folder: str, check
         last.write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot of the last batch that ``upsert_latest`` has merged."""
+    every = spark.read.parquet(folder)
+    last = every.agg(F.max("v")).first()[0]
+    return every.filter(F.col("v") == last).drop("v")

@@ -9,12 +9,6 @@ from gridloom.functions import pixel as px
 from gridloom.operators import boxes, cleaning, curate, grid
 
 
-@pytest.fixture(scope="module")
-def checkpointed(spark, tmp_path_factory):
-    spark.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('check')}")
-    return spark
-
-
 MAP = ["1100", "0010", "2001", "2211"]
 
 
@@ -41,20 +35,80 @@ def flood(rows, reach8=True):
     return out
 
 
+def spiral(n):
+    grid_ = [["0"] * n for _ in range(n)]
+    x, y, dx, dy = 0, 0, 1, 0
+    grid_[0][0] = "1"
+    while True:
+        ahead, two = (x + dx, y + dy), (x + 2 * dx, y + 2 * dy)
+        free = 0 <= ahead[0] < n and 0 <= ahead[1] < n and not (0 <= two[0] < n and 0 <= two[1] < n and grid_[two[1]][two[0]] == "1")
+        if not free:
+            dx, dy = -dy, dx
+            two = (x + 2 * dx, y + 2 * dy)
+            if not (0 <= two[0] < n and 0 <= two[1] < n) or grid_[two[1]][two[0]] == "1":
+                return ["".join(r) for r in grid_]
+            continue
+        x, y = ahead
+        grid_[y][x] = "1"
+
+
+STRIPE = ["010"] * 1000
+COMB = ["1" * 61] + ["10" * 30 + "1"] * 40
+RANDOM = ["".join(c) for c in zip(*[iter("".join(__import__("random").Random(4).choices("0012", k=70 * 50)))] * 70, strict=True)]
+
+
 @pytest.mark.parametrize("connectivity", [4, 8])
-def test_components(checkpointed, connectivity):
-    got = {(r.x, r.y): r.component for r in grid.components(pixels(checkpointed), "v", connectivity).collect()}
-    parts = lambda m: {frozenset(p for p in m if m[p] == c) for c in set(m.values())}
-    assert parts(got) == parts(flood(MAP, connectivity == 8))
+@pytest.mark.parametrize(("rows", "tile"), [(MAP, 2), (MAP, 256), (STRIPE, 16), (spiral(41), 8), (COMB, 7), (RANDOM, 9), (RANDOM, 64)], ids=["map2", "map", "stripe", "spiral", "comb", "random9", "random64"])
+def test_components(spark, rows, tile, connectivity):
+    got = {(r.x, r.y): r.component for r in grid.components(pixels(spark, rows), "v", connectivity, tile).collect()}
+    assert got == flood(rows, connectivity == 8)
+
+
+def test_components_of_moved_and_repeated_pixels(spark):
+    rows = [(x - 300, y - 5, 1) for x in range(600) for y in (0, 2)] + [(0, 3, 1), (0, 3, 1), (7, 90, None)]
+    got = {(r.x, r.y): r.component for r in grid.components(spark.createDataFrame(rows, "x int, y int, v int"), "v", 8, 64).collect()}
+    assert set(got.values()) == {-5 * 2**31 - 300, -3 * 2**31 - 300, 3 * 2**31} and (7, 90) not in got
+
+
+def test_shortest_paths_of_a_long_chain_and_a_negative_circle(spark):
+    from gridloom.operators import vector
+
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, w double")
+    got = {r.node: r.dist for r in vector.shortest_paths(chain, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: float(i) for i in range(13)}
+    with pytest.raises(ValueError, match="negative"):
+        vector.shortest_paths(spark.createDataFrame([(0, 1, -1.0), (1, 0, 0.5)], "src long, dst long, w double"), spark.createDataFrame([(0,)], "node long"))
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    import random
+
+    from gridloom.operators import joins
+
+    rnd = random.Random(3)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            side = 2.0 ** rnd.randint(0, 14)
+            x, y = rnd.uniform(-9000, 9000), rnd.uniform(-9000, 9000)
+            out.append((i, i % 2, x, y, x + rnd.uniform(0, side), y + rnd.uniform(0, side)))
+        return out
+
+    a, b = some(80), some(90)
+    want = {(p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]}
+    schema = "fid int, image int, x1 double, y1 double, x2 double, y2 double"
+    got = [(r.fid_a, r.fid_b) for r in joins.box_candidates(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 50.0, ["image"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
-def test_small_components_take_the_ring_majority(checkpointed):
-    out = {(r.x, r.y): r.v for r in grid.replace_small(pixels(checkpointed, ["111", "121", "111"]), "v", 2).collect()}
+def test_small_components_take_the_ring_majority(spark):
+    out = {(r.x, r.y): r.v for r in grid.replace_small(pixels(spark, ["111", "121", "111"]), "v", 2).collect()}
     assert set(out.values()) == {1}
 
 
-def test_holes(checkpointed):
-    out = {(r.x, r.y): r.v for r in grid.fill_holes(pixels(checkpointed, ["3333", "3003", "3333", "0333"]), "v", 3).collect()}
+def test_holes(spark):
+    out = {(r.x, r.y): r.v for r in grid.fill_holes(pixels(spark, ["3333", "3003", "3333", "0333"]), "v", 3).collect()}
     assert out[1, 1] == 3 and out[0, 3] == 0
 
 
