@@ -32,6 +32,8 @@ from .common import Scratch
 FIELD = "<*>"
 #: Recurring templates up to this number (about 50 bytes each) are broadcast to the lines; more meet them in a shuffle.
 BROADCAST_TEMPLATES = 200_000
+#: Leaves that recur (8 bytes each) are broadcast to the lines up to this number, so that no line is shuffled to be dropped.
+BROADCAST_LEAVES = 3_000_000
 
 
 def masked(tokens: Column) -> Column:
@@ -56,7 +58,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     # leaves that many distinct texts reach; a text counts once
     seen = every.select("leaf", "v", F.size("raw").alias("size")).distinct().groupBy("leaf", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("leaf")
     seen = scratch.keep(seen, "leaves")
-    kept = every.join(seen, "leaf", "left_semi").select("id", "v", "at", "leaf", masked(F.col("raw")).alias("tokens"))
+    kept = every.join(F.broadcast(seen) if seen.count() <= BROADCAST_LEAVES else seen, "leaf", "left_semi").select("id", "v", "at", "leaf", masked(F.col("raw")).alias("tokens"))
     kept = scratch.keep(kept.select("*", F.xxhash64("tokens").alias("body")), "lines")
     # distinct bodies of each leaf with the number of texts that have them
     bodies = kept.select("leaf", "body", "v").distinct().groupBy("leaf", "body").agg(F.count("*").alias("n"))

@@ -209,13 +209,15 @@ def _results(id_type):
                     rows.append((len(raw), 0, 0, raw))
                 else:
                     rows.append(_cut(text, spans))
-            yield pd.DataFrame({"id": frame["id"], "n_bytes": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[3] for r in rows]})
+            # code points left: bytes that don't continue one
+            left = [int((np.frombuffer(r[3], dtype=np.uint8) & 0xC0 != 0x80).sum()) for r in rows]
+            yield pd.DataFrame({"id": frame["id"], "n_bytes": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[3] for r in rows], "n_chars_left": left})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept BINARY) for each row of ``docs``."""
+    """(id, n_bytes, n_removed, n_spans, kept BINARY, n_chars_left) for each row of ``docs``; code points are counted in what is kept."""
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"))
     found = scratch.keep(docs.filter(F.octet_length("text") >= length).select("key", "text").mapInPandas(_heads(length, gram), "h long, key string"), "heads")
@@ -236,5 +238,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop(found, places)
     id_type = docs.schema["id"].dataType.simpleString()
     out = docs.join(marks, "key", "left").select("id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    out = out.mapInPandas(_results(id_type), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = out.mapInPandas(_results(id_type), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, n_chars_left long")
     return out.withColumnRenamed("id", id_col)
