@@ -24,24 +24,64 @@ def final_class(*sources: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(s), F.lit("")) for s in sources))
 
 
+# Task label, how its question begins, and what it holds besides; the first rule that fits decides.
+TASK_RULES = (
+    ("Description", "provide a comprehensive description", ""), ("Description", "describe this image pair", ""),
+    ("CN", "based on the comparison", "detectable land cover transformations involving"), ("CN", "have the regions of", "changed"),
+    ("CtW", "what specific land cover class", "transformed into"), ("CtW", "what have the regions of", "changed to"),
+    ("CfW", "what was the original land cover classification", "currently identified as"), ("CfW", "what did the", "change from"),
+    ("IN", "when comparing the areal extent", "net expansion"), ("IN", "have the regions of", "increased"),
+    ("DN", "when comparing the areal extent", "net reduction"), ("DN", "have the regions of", "decreased"),
+)
+# Style, phrases of which one suffices, each a set that occurs together; "^" marks a beginning, "$" a whole question.
+MCQ_STYLES = (
+    ("change_type", ("type of urban change",), ("type of change",)),
+    ("location_change", ("location-change pair",), ("both location and change",)),
+    ("location", ("^where ",)),
+    ("change", ("^which change",), ("^what change",), ("change happened",), ("land cover change",)),
+)
+QA_STYLES = (
+    ("cn", ("$did any visible change occur?",), ("$did any visible change occur",)),
+    ("ctw", ("^did any region become ",)),
+    ("cfw", ("^did any changed region start as ",)),
+    ("urban", ("construction",), ("urban",), ("expansion",), ("demolition",)),
+)
+CAPTION_STYLES = (
+    ("level1_global", ("urban change pattern",), ("overall urban",)),
+    ("level2_change_type", ("type of urban change",), ("what does it signify",), ("what type of", "change")),
+    ("level3_mask", ("specific change region",), ("change regions and their",), ("characteristics", "region")),
+    ("local", ("north",), ("south",), ("east",), ("west",), ("center",), ("central",), ("middle",), ("upper",), ("lower",), ("left",), ("right",)),
+    ("overall", ("overall",), ("entire",), ("whole",), ("all change",), ("pattern",), ("summary",), ("comprehensive",)),
+)
+
+
 def task_of_question(q: Column) -> Column:
-    """Task label by ordered rules on the lower-cased question."""
-    t = F.lower(F.trim(q))
-    return (
-        F.when(t.startswith("describe") | t.contains("description"), "Description")
-        .when(t.startswith("how many") & t.contains("increase"), "IN").when(t.startswith("how many") & t.contains("decrease"), "DN")
-        .when(t.startswith("is there") | t.startswith("has") | t.contains("any change"), "CN")
-        .when(t.contains("change to"), "CtW").when(t.contains("change from"), "CfW").otherwise("Unknown")
-    )
+    """Task label by ordered rules on the question in lower case with single spaces; Unknown where none fits."""
+    t = F.trim(F.regexp_replace(F.lower(q), r"\s+", " "))
+    out = F.when(t == "", "Unknown")
+    for task, begins, holds in TASK_RULES:
+        out = out.when(t.startswith(begins) & t.contains(holds), task)
+    return out.otherwise("Unknown")
+
+
+def _style(t: Column, rules: tuple, rest: str | None) -> Column:
+    fits = lambda p: t == p[1:] if p[0] == "$" else t.startswith(p[1:]) if p[0] == "^" else t.contains(p)
+    out = None
+    for style, *ways in rules:
+        hit = F.lit(False)
+        for way in ways:
+            together = F.lit(True)
+            for phrase in way:
+                together = together & fits(phrase)
+            hit = hit | together
+        out = F.when(hit, style) if out is None else out.when(hit, style)
+    return out.otherwise(rest)
 
 
 def question_style(kind: Column, q: Column) -> Column:
     """Style class by kind and wording; a qa or mcq question that no rule covers is null (a reject), a caption is local."""
-    t = F.lower(q)
-    yes_no = t.rlike(r"^(is|are|does|do|has|have|was|were)\b")
-    qa = F.when(yes_no, "yes_no").when(t.contains("the"), "open")
-    mcq = F.when(t.contains("where"), "location").when(t.contains("in"), "class")
-    return F.when(kind == "qa", qa).when(kind == "mcq", mcq).when(t.contains("overall"), "global").otherwise("local")
+    t = F.lower(F.trim(q))
+    return F.when(kind == "qa", _style(t, QA_STYLES, None)).when(kind == "mcq", _style(t, MCQ_STYLES, None)).when(kind == "caption", _style(t, CAPTION_STYLES, "local"))
 
 
 def json_payload(answer: Column) -> Column:

@@ -57,11 +57,11 @@ def clip_quantiles(df: DataFrame, columns: list[str], lo: float = 0.005, hi: flo
     return out.select(*(bound(c).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
-def preprocess(df: DataFrame, factor: float = 1e-4, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
+def preprocess(df: DataFrame, factor: float = 1e-4, lo: float = 0.005, hi: float = 0.995, approximate: bool = False) -> DataFrame:
     """Scale, drop empty rows, impute medians (bands and depth), clip bands, cast to float, in that order."""
     bands = bands_of(df)
     more = [c for c in ("depth",) if c in df.columns]
-    out = clip_quantiles(impute_median(drop_empty_rows(scale_bands(df, factor)), bands + more), bands, lo, hi)
+    out = clip_quantiles(impute_median(drop_empty_rows(scale_bands(df, factor)), bands + more, approximate), bands, lo, hi, approximate)
     return out.select(*(F.col(c).cast("float").alias(c) if c in bands else F.col(c) for c in out.columns))
 
 

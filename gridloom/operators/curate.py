@@ -59,7 +59,7 @@ def disagreements(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def coco_tables(regions: DataFrame, classes: DataFrame) -> DataFrame:
     """Annotations with running ids over images then regions; background and unknown classes are skipped; boxes truncate."""
-    rows = regions.join(F.broadcast(classes), "class_name")
+    rows = regions.join(classes, "class_name")
     per_image = rows.groupBy("image_id").agg(F.count("*").alias("_m"))
     base = per_image.select("image_id", (F.sum("_m").over(Window.orderBy("image_id")) - F.col("_m")).alias("_o"))  # a row an image
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy("region_id")) + F.col("_o")
@@ -148,6 +148,35 @@ def nearest_mapping(src: DataFrame, dest: DataFrame) -> DataFrame:
     return b.join(a, "band").groupBy("band", "to_bin").agg(F.min_by("from_bin", F.struct(F.bround(F.abs(F.col("sa") - F.col("sb")), 9), F.col("from_bin"))).alias("from_bin"))
 
 
+def group_mapping(src: DataFrame, dest: DataFrame, scale: int) -> DataFrame:
+    """(band, from_bin, to_bin): source bins between two nearest matches share the destination bins between them, linearly.
+
+    Each destination bin has its nearest source bin; a nearest bin 0 counts as the one before. Where that changes, a group ends: the source
+    bins since the last group fall on the destination bins since the last group. Bins past the last group go to the top, others to 0.
+    """
+    near = nearest_mapping(src, dest).select("band", F.col("to_bin").alias("x"), F.nullif("from_bin", F.lit(0)).alias("y"))
+    w = Window.partitionBy("band").orderBy("x")  # a fixed number of bins a band
+    near = near.withColumn("y", F.coalesce(F.last("y", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    ends = near.withColumn("_was", F.lag("y", 1, 0).over(w)).filter(F.col("y") != F.col("_was"))
+    ends = ends.select("band", "x", "y", F.coalesce(F.lag("x").over(w) + 1, F.lit(0)).alias("x0"), F.coalesce(F.lag("y").over(w) + 1, F.lit(0)).alias("y0"))
+    slope = (F.col("y") - F.col("y0")) / (F.col("x") - F.col("x0") + 1e-7)
+    even = F.bround((F.col("i") - (F.col("y") - slope * F.col("x"))) / (slope + 1e-7) + 0.5, 9)
+    rows = ends.filter("y0 <= y").withColumn("i", F.explode(F.sequence("y0", "y")))
+    value = F.when(F.col("y") == F.col("y0"), (F.col("x0") + F.col("x")) / 2 + 0.5).when(F.col("x0") == F.col("x"), F.col("x").cast("double")).otherwise(even)
+    found = rows.select("band", "i", value.cast("int").alias("v")).groupBy("band", "i").agg(F.max("v").alias("v"))
+    bins = near.groupBy("band").agg(F.max("y").alias("_top")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(scale - 1))))
+    rest = F.when(F.col("i") > F.col("_top"), scale - 1).otherwise(0)
+    return bins.join(found, ["band", "i"], "left").select("band", F.col("i").alias("from_bin"), F.least(F.coalesce("v", rest), F.lit(scale - 1)).alias("to_bin"))
+
+
+def merge_lists(df: DataFrame, main: str, typed: dict[str, str]) -> DataFrame:
+    """One row an ``item`` of the main list, then of the typed lists in their order; items of those without a type get the list's."""
+    given = lambda c, kind: F.transform(F.coalesce(c, F.array()), lambda x: x.withField("type", F.coalesce(x["type"], F.lit(kind))))
+    lists = [F.coalesce(main, F.array()), *(given(F.col(c), k) for c, k in typed.items())]
+    rest = [c for c in df.columns if c not in (main, *typed)]
+    return df.select(*rest, F.explode(F.concat(*lists)).alias("item"))
+
+
 def apply_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Mapped values by band; 0 is never remapped. A mapping has a fixed number of bins a band."""
     out = df.join(mapping.select("band", F.col("to_bin").alias("v"), F.col("from_bin").alias("_m")), ["band", "v"], "left")

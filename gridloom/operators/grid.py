@@ -128,7 +128,7 @@ def class_edges(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     return neighbourhood(df, column, box_kernel(k), mixed.cast("int"), "edge")
 
 
-def _tile_labels(column: str, connectivity: int):
+def tile_labels(column: str, connectivity: int):
     """Components within one tile: neighbours of equal value are linked, roots hook onto smaller roots until none differ."""
     steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if connectivity == 8 else [])]
 
@@ -167,7 +167,7 @@ def components(df: DataFrame, column: str, connectivity: int = 8, tile: int = 25
     kinds = dict(df.dtypes)
     cut = lambda c: F.floor(F.col(c) / tile)
     tiles = df.filter(F.col(column).isNotNull()).select("x", "y", column, cut("x").alias("_tx"), cut("y").alias("_ty"))
-    local = tiles.groupBy("_tx", "_ty").applyInPandas(_tile_labels(column, connectivity), f"x {kinds['x']}, y {kinds['y']}, `{column}` {kinds[column]}, component long")
+    local = tiles.groupBy("_tx", "_ty").applyInPandas(tile_labels(column, connectivity), f"x {kinds['x']}, y {kinds['y']}, `{column}` {kinds[column]}, component long")
     local = rounds.keep(local, "tiles")
     edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
     rim = local.filter(edge("x") | edge("y")).withColumns({"_tx": cut("x"), "_ty": cut("y")})

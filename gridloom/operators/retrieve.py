@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curate import dot, unit
+from .curate import dot, score_batches, unit
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -15,6 +18,67 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int =
     return df.filter(F.length(text) > 0).select(key, text, F.posexplode(starts).alias("chunk_no", "_s")).select(key, "chunk_no", F.substring(F.col(text), F.col("_s") + 1, F.lit(size)).alias("chunk"))
 
 
+def packed(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring parts joined up to ``size`` characters; each chunk begins with the last parts before it, ``overlap`` characters at most."""
+    held: list[str] = []
+    total = 0
+    for part in parts:
+        if held and total + len(part) > size:
+            yield "".join(held)
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.pop(0))
+        held.append(part)
+        total += len(part)
+    if held:
+        yield "".join(held)
+
+
+def cut_text(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
+    """Parts at the first separator that occurs (it begins the part after it), longer ones cut again by the separators after that."""
+    at = next((i for i, s in enumerate(separators) if s and s in text), len(separators) - 1)
+    mark = separators[at]
+    first, *more = text.split(mark) if mark else ["", *text]
+    parts = [p for p in (first, *(mark + x for x in more)) if p]
+    short: list[str] = []
+    for part in parts:
+        if len(part) < size:
+            short.append(part)
+            continue
+        yield from packed(short, size, overlap)
+        short = []
+        if at + 1 < len(separators):
+            yield from cut_text(part, size, overlap, separators[at + 1 :])
+        else:
+            yield part
+    yield from packed(short, size, overlap)
+
+
+def recursive_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", "。", " ", "")) -> DataFrame:
+    """(key, chunk_no, chunk): chunks of whole paragraphs, lines, sentences or words of each text, ``size`` characters at most."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, t in zip(frame[key], frame[text], strict=True):
+                found = [c for c in (x.strip() for x in cut_text(t, size, overlap, separators)) if c]
+                rows += [(k, i, c) for i, c in enumerate(found)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.filter(F.length(text) > 0).select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_no int, chunk string")
+
+
+def upsert_vectors(store: DataFrame, fresh: DataFrame, key: str, embed: Callable[[pd.DataFrame], pd.Series], batch: int = 50, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The store (key, vector) with the fresh rows' vectors put in, and the rows of failed batches (key, error), whose old vectors stay.
+
+    ``embed`` gives a JSON list of numbers for each row of a batch.
+    """
+    made = score_batches(fresh, embed, batch, retries)
+    done = made.filter(F.col("error").isNull()).select(key, F.from_json("result", "array<double>").alias("vector"))
+    return store.join(done.select(key), key, "left_anti").unionByName(done), made.filter(F.col("error").isNotNull()).select(key, "error")
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, least: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank) by cosine. The stated query set is broadcast in one block against all vectors."""
     q = queries.select(F.col("prompt_id").alias("query_id"), unit(F.col("embedding")).alias("_q"))

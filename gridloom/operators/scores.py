@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import components, dilate, tile_labels
+from .joins import box_candidates
+
 
 def class_scores(df: DataFrame, classes: DataFrame) -> DataFrame:
     """Per pixel and class the best of its prompts; a class without prompts scores 0. Classes are a small fixed list."""
@@ -85,3 +89,42 @@ def class_list(df: DataFrame, skip_first: bool = False) -> DataFrame:
     lines = df.select(F.col("line_no"), F.split("line", r"\s*,\s*").alias("w"))
     lines = lines.filter("line_no > 0") if skip_first else lines
     return lines.select(F.col("line_no").alias("class_id"), F.get("w", F.lit(0)).alias("name"), F.explode("w").alias("synonym"))
+
+
+def instance_changes(df: DataFrame, radius: int = 2, most_cover: float = 0.3, least: int = 20) -> DataFrame:
+    """(x, y, changed) of a pixel table with the masks ``t1`` and ``t2`` of two dates.
+
+    An instance (8-neighbours, mask over 0) of one date has changed when the other date's mask, widened by ``radius``, covers less than
+    ``most_cover`` of it and it has ``least`` pixels. Either date counts.
+    """
+    marks = []
+    for own, other in (("t1", "t2"), ("t2", "t1")):
+        wide = dilate(df.select("x", "y", (F.col(other) > 0).cast("int").alias("_cover")), "_cover", 2 * radius + 1) if radius else df.select("x", "y", (F.col(other) > 0).cast("int").alias("_cover"))
+        parts = components(df.filter(F.col(own) > 0).select("x", "y", F.lit(1).alias("_on")), "_on").join(wide, ["x", "y"])
+        changed = parts.groupBy("component").agg(F.avg("_cover").alias("_share"), F.count("*").alias("_area")).filter((F.col("_share") < most_cover) & (F.col("_area") >= least))
+        marks.append(parts.join(changed.select("component"), "component", "left_semi").select("x", "y"))
+    hit = marks[0].union(marks[1]).distinct().withColumn("_hit", F.lit(True))
+    return df.select("x", "y").join(hit, ["x", "y"], "left").select("x", "y", F.coalesce("_hit", F.lit(False)).alias("changed"))
+
+
+def remove_rejected(pixels: DataFrame, instances: DataFrame, column: str = "v", cell: float = 64.0) -> DataFrame:
+    """The class map without the rejected instances (instance, class_id, area, x1, y1, x2, y2, keep): inside an instance's box, the
+    component of its class whose area is closest to the recorded one (the first in raster order of those tied) becomes 0.
+
+    A box is cut out of the source map and labelled in one task; it is an image's size at most. Boxes meet pixels on grid cells.
+    """
+    gone = instances.filter(~F.coalesce("keep", F.lit(True)) & (F.col("class_id") > 0))
+    boxes = gone.select("instance", "class_id", "area", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    unit = pixels.select("x", "y", F.col(column).alias("class_id"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), (F.col("x") + 1.0).alias("x2"), (F.col("y") + 1.0).alias("y2"))
+    inside = box_candidates(unit, boxes, cell, ["class_id"]).select(F.col("instance_b").alias("instance"), F.col("area_b").alias("area"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.lit(1).alias("_on"))
+    label = tile_labels("_on", 8)
+
+    def closest(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = label(frame)
+        size = parts.groupby("component")["x"].transform("size")
+        best = min(zip((size - frame["area"].iloc[0]).abs(), parts["component"], strict=True))[1]
+        return parts.loc[parts["component"] == best, ["x", "y"]]
+
+    kinds = dict(pixels.dtypes)
+    cut = inside.groupBy("instance").applyInPandas(closest, f"x {kinds['x']}, y {kinds['y']}").distinct().withColumn("_gone", F.lit(True))
+    return pixels.join(cut, ["x", "y"], "left").withColumn(column, F.when(F.col("_gone"), 0).otherwise(F.col(column))).drop("_gone")

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def percentiles(c: Column, shares: list[float], approximate: bool) -> Column:
+    """Exact and interpolated; or approximate within 1 in 10,000 ranks, for columns of too many distinct values to hold."""
+    return F.percentile_approx(c, shares, 10000) if approximate else F.percentile(c, F.array(*map(F.lit, shares)))
+
+
 def long_form(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     return df.select(*(keys or []), *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(keys or [], columns, "column", "value")
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max of each column in one pass over the long form."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = percentiles(F.col("value"), [0.25, 0.5, 0.75], approximate)
     out = long_form(df, columns).groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), q.alias("q"), F.max("value").alias("hi"))
     return out.select("column", "n", "mean", "std", "lo", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "hi")
 
@@ -22,10 +27,10 @@ def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.filter("n_missing > 0")
 
 
-def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Values strictly beyond 1.5 interquartile ranges."""
     rows = long_form(df, columns)
-    q = rows.groupBy("column").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = rows.groupBy("column").agg(percentiles(F.col("value"), [0.25, 0.75], approximate).alias("q"))
     q = q.select("column", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))  # one row a column
     beyond = (F.col("value") < F.col("a") - 1.5 * (F.col("b") - F.col("a"))) | (F.col("value") > F.col("b") + 1.5 * (F.col("b") - F.col("a")))
     return rows.join(F.broadcast(q), "column").groupBy("column").agg(F.count_if(beyond).alias("n_outliers"))
@@ -69,9 +74,9 @@ def histogram(df: DataFrame, column: str, scale: int, by: list[str]) -> DataFram
     return full.select(*by, "bin", cnt.cast("long").alias("cnt"))
 
 
-def valid_percentiles(df: DataFrame, column: str, nodata: float, lo: float, hi: float, by: list[str]) -> DataFrame:
+def valid_percentiles(df: DataFrame, column: str, nodata: float, lo: float, hi: float, by: list[str], approximate: bool = False) -> DataFrame:
     """Percentiles (0..100) without nodata; a low end below 0 becomes 0."""
-    q = F.percentile(F.nullif(F.col(column), F.lit(nodata)), F.array(F.lit(lo / 100), F.lit(hi / 100)))
+    q = percentiles(F.nullif(F.col(column), F.lit(nodata)), [lo / 100, hi / 100], approximate)
     return df.groupBy(*by).agg(q.alias("q")).select(*by, F.greatest(F.get("q", F.lit(0)), F.lit(0.0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
@@ -83,16 +88,17 @@ def stretch_8bit(df: DataFrame, column: str, bounds: DataFrame, nodata: float, b
     return df.join(bounds, by).withColumn("byte", out).drop("lo", "hi")
 
 
-def stretch_2_98(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+def stretch_2_98(df: DataFrame, column: str, by: list[str], approximate: bool = False) -> DataFrame:
+    q = df.groupBy(*by).agg(percentiles(F.col(column), [0.02, 0.98], approximate).alias("q"))
     q = q.select(*by, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     v = F.least(F.greatest(F.col(column), F.col("lo")), F.col("hi"))
     byte = F.when(F.col(column).isNotNull(), (F.bround((v - F.col("lo")) * 255 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)), 6)).cast("int"))
     return df.join(q, by).withColumn("byte", byte).drop("lo", "hi")
 
 
-def median_composite(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*(F.median(b).alias(b) for b in bands))
+def median_composite(df: DataFrame, keys: list[str], bands: list[str], approximate: bool = False) -> DataFrame:
+    median = (lambda b: F.percentile_approx(b, 0.5, 10000)) if approximate else F.median
+    return df.groupBy(*keys).agg(*(median(b).alias(b) for b in bands))
 
 
 def batch_coverage(points: DataFrame, scenes: DataFrame, batch: int, thresholds: list[int], cell: float = 0.5) -> DataFrame:
@@ -118,7 +124,7 @@ def class_weights(df: DataFrame, column: str, classes: DataFrame) -> DataFrame:
 
 
 def image_weights(df: DataFrame, weights: DataFrame, image: str, column: str) -> DataFrame:
-    return df.join(F.broadcast(weights.select(column, "weight")), column).groupBy(image).agg(F.sum("weight").alias("weight"))
+    return df.join(weights.select(column, "weight"), column).groupBy(image).agg(F.sum("weight").alias("weight"))
 
 
 def majority(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -133,7 +139,7 @@ def blend(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
 
 def term_frequency(df: DataFrame, column: str, stop: DataFrame, top: int = 20) -> DataFrame:
     words = df.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("term")).filter(F.length("term") >= 2)
-    return words.join(F.broadcast(stop), "term", "left_anti").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
+    return words.join(stop, "term", "left_anti").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -137,20 +137,33 @@ def r01_chunks(d: DataFrame) -> DataFrame:
     return rt.chunks(d, "doc_id", "text").select("doc_id", "chunk_no", F.length("chunk").alias("n"))
 
 
-TOP = f"s AS (SELECT p.prompt_id AS query_id, e.vec_id, round_even({COS}, 9) AS score FROM embeddings e CROSS JOIN prompt_vectors p), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
+@plan("documents")
+def r01_recursive_chunks(d: DataFrame) -> DataFrame:
+    return rt.recursive_chunks(d, "doc_id", "text")
 
 
-@plan("embeddings prompt_vectors", f"WITH {TOP} SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round_even(score, 6) AS score FROM h WHERE rank <= 4")
+@plan("documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0E0 * length(text) ELSE -1.0E0 END AS first, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def r07_upsert_vectors(d: DataFrame) -> DataFrame:
+    store = d.filter("doc_id % 2 = 0").select("doc_id", F.array(F.lit(-1.0)).alias("vector"))
+    fresh = d.filter("doc_id % 3 = 0").select("doc_id", F.length("text").alias("n"))
+    out, _ = rt.upsert_vectors(store, fresh, "doc_id", lambda f: "[" + f["n"].astype(str) + ", 0.5]")
+    return out.select("doc_id", F.get("vector", F.lit(0)).alias("first"), F.size("vector").alias("n"))
+
+
+TOP = f"s AS (SELECT p.prompt_id AS query_id, e.vec_id, round_even({COS}, 9) AS score FROM embeddings e CROSS JOIN query_vectors p), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
+
+
+@plan("embeddings query_vectors", f"WITH {TOP} SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round_even(score, 6) AS score FROM h WHERE rank <= 4")
 def r02_vector_top_k(e: DataFrame, p: DataFrame) -> DataFrame:
     return rt.vector_top_k(e, p).withColumn("score", r6("score"))
 
 
-@plan("embeddings prompt_vectors", f"WITH {TOP}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 17 DESC, rank) AS new_rank FROM h WHERE rank <= 10) SELECT query_id, vec_id, CAST(new_rank AS INT) AS new_rank FROM t WHERE new_rank <= 4")
+@plan("embeddings query_vectors", f"WITH {TOP}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 17 DESC, rank) AS new_rank FROM h WHERE rank <= 10) SELECT query_id, vec_id, CAST(new_rank AS INT) AS new_rank FROM t WHERE new_rank <= 4")
 def r03_rerank(e: DataFrame, p: DataFrame) -> DataFrame:
     return rt.rerank(rt.vector_top_k(e, p, 10), C("vec_id") % 17, 4).select("query_id", "vec_id", "new_rank")
 
 
-@plan("embeddings prompt_vectors", f"WITH {TOP} SELECT query_id, string_agg(printf('[%d] doc%d (score %.3f)', rank, vec_id, score), chr(10) ORDER BY rank) AS context FROM h WHERE rank <= 4 GROUP BY 1")
+@plan("embeddings query_vectors", f"WITH {TOP} SELECT query_id, string_agg(printf('[%d] doc%d (score %.3f)', rank, vec_id, score), chr(10) ORDER BY rank) AS context FROM h WHERE rank <= 4 GROUP BY 1")
 def r04_context(e: DataFrame, p: DataFrame) -> DataFrame:
     return rt.context(rt.vector_top_k(e, p), F.concat(F.lit("doc"), C("vec_id").cast("string")))
 

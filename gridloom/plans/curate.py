@@ -74,14 +74,41 @@ def d10_option_map(r: DataFrame) -> DataFrame:
     return r.select("region_id", F.array_join(F.map_values(tx.option_map(text)), "|").alias("options"))
 
 
-@plan("qa_items", "SELECT sample_id, item_no, CASE WHEN starts_with(t, 'describe') OR contains(t, 'description') THEN 'Description' WHEN starts_with(t, 'how many') AND contains(t, 'increase') THEN 'IN' WHEN starts_with(t, 'how many') AND contains(t, 'decrease') THEN 'DN' WHEN starts_with(t, 'is there') OR starts_with(t, 'has') OR contains(t, 'any change') THEN 'CN' WHEN contains(t, 'change to') THEN 'CtW' WHEN contains(t, 'change from') THEN 'CfW' ELSE 'Unknown' END AS task FROM (SELECT *, lower(trim(question)) AS t FROM qa_items)")
+# Question forms with the label that each must get; {} stands for the item's own words.
+ASKED = [
+    ("Provide a comprehensive description of {}", "Description"), ("  DESCRIBE  this image   pair: {}", "Description"),
+    ("Based on the comparison, are there detectable land cover transformations involving {}?", "CN"), ("Have the regions of {} changed?", "CN"), ("Based on the comparison, what of {}?", "Unknown"),
+    ("What specific land cover class was {} transformed into?", "CtW"), ("What have the regions of {} changed to?", "CtW"),
+    ("What was the original land cover classification of what is currently identified as {}?", "CfW"), ("What did the {} change from?", "CfW"),
+    ("When comparing the areal extent of {}, is there a net expansion?", "IN"), ("Have the regions of {} increased?", "IN"),
+    ("When comparing the areal extent of {}, is there a net reduction?", "DN"), ("Have the regions of {} decreased?", "DN"), ("How many of {}?", "Unknown"), ("   ", "Unknown"),
+]
+STYLED = [
+    ("qa", "Did any visible change occur?", "cn"), ("qa", " did any visible change occur ", "cn"), ("qa", "Did any region become {}?", "ctw"), ("qa", "Did any changed region start as {}?", "cfw"), ("qa", "Was there construction near {}?", "urban"), ("qa", "Is it? {}", None),
+    ("mcq", "Which type of change is {}?", "change_type"), ("mcq", "Which matches both location and change of {}?", "location_change"), ("mcq", "Where is {}?", "location"), ("mcq", "What change is {}?", "change"), ("mcq", "Which land cover change is {}?", "change"), ("mcq", "Tell: {}", None),
+    ("caption", "Describe the urban change pattern: {}", "level1_global"), ("caption", "What type of thing would change at {}?", "level2_change_type"), ("caption", "List characteristics of each region: {}", "level3_mask"), ("caption", "Describe the upper part: {}", "local"), ("caption", "Give a summary: {}", "overall"), ("caption", "Tell: {}", "local"),
+]
+
+
+def quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def asked(q: DataFrame, forms: list[str]) -> DataFrame:
+    """Each item's question in one of the forms, by its numbers."""
+    k = F.pmod(C("sample_id") * 7 + C("item_no"), F.lit(len(forms))).cast("int")
+    return q.withColumn("k", k).withColumn("asked", F.replace(F.get(F.array(*map(F.lit, forms)), C("k")), F.lit("{}"), F.substring("question", 1, 12)))
+
+
+@plan("qa_items", f"SELECT sample_id, item_no, [{', '.join(quoted(x) for _, x in ASKED)}][CAST((sample_id * 7 + item_no) % {len(ASKED)} AS INT) + 1] AS task FROM qa_items")
 def d11_task_of_question(q: DataFrame) -> DataFrame:
-    return q.select("sample_id", "item_no", tx.task_of_question(C("question")).alias("task"))
+    return asked(q, [f for f, _ in ASKED]).select("sample_id", "item_no", tx.task_of_question(C("asked")).alias("task"))
 
 
-@plan("qa_items", r"SELECT sample_id, item_no, CASE WHEN type = 'qa' THEN CASE WHEN regexp_matches(t, '^(is|are|does|do|has|have|was|were)\b') THEN 'yes_no' WHEN contains(t, 'the') THEN 'open' END WHEN type = 'mcq' THEN CASE WHEN contains(t, 'where') THEN 'location' WHEN contains(t, 'in') THEN 'class' END WHEN contains(t, 'overall') THEN 'global' ELSE 'local' END AS style FROM (SELECT *, lower(question) AS t FROM qa_items)")
+@plan("qa_items", f"SELECT sample_id, item_no, [{', '.join(quoted(x) for _, _, x in STYLED)}][CAST((sample_id * 7 + item_no) % {len(STYLED)} AS INT) + 1] AS style FROM qa_items")
 def d12_question_style(q: DataFrame) -> DataFrame:
-    return q.select("sample_id", "item_no", tx.question_style(C("type"), C("question")).alias("style"))
+    rows = asked(q, [f for _, f, _ in STYLED])
+    return rows.select("sample_id", "item_no", tx.question_style(F.get(F.array(*(F.lit(k) for k, _, _ in STYLED)), C("k")), C("asked")).alias("style"))
 
 
 @plan("qa_items", "WITH c AS (SELECT sample_id, count(*) AS n, count(*) FILTER (type = 'qa') AS n_qa, count(*) FILTER (type = 'mcq') AS n_mcq, count(*) FILTER (type = 'caption') AS n_caption, count(*) FILTER (length(trim(answer)) = 0) AS n_empty FROM qa_items GROUP BY 1) SELECT *, array_to_string(list_filter([CASE WHEN n < 3 THEN 'too_few' END, CASE WHEN n_qa = 0 THEN 'no_qa' END, CASE WHEN n_mcq = 0 THEN 'no_mcq' END, CASE WHEN n_caption = 0 THEN 'no_caption' END, CASE WHEN n_empty > 0 THEN 'empty_answer' END], lambda x: x IS NOT NULL), ',') AS broken FROM c")
@@ -89,10 +116,12 @@ def d13_validate_batches(q: DataFrame) -> DataFrame:
     return op.validate_batches(q, 3)
 
 
-@plan("qa_items", "SELECT sample_id, type, count(*) AS n FROM qa_items GROUP BY 1, 2")
+@plan("qa_items", "SELECT sample_id, item_no, CASE WHEN type = 'qa' AND item_no % 2 = 0 THEN NULL ELSE type END AS type, question FROM qa_items")
 def d14_merge_lists(q: DataFrame) -> DataFrame:
-    lists = q.groupBy("sample_id").agg(*(F.collect_list(F.when(C("type") == k, F.struct(F.lit(k).alias("type"), "question"))).alias(k) for k in ("qa", "mcq", "caption")))
-    return lists.select("sample_id", F.explode(F.concat("qa", "mcq", "caption")).alias("item")).groupBy("sample_id", "item.type").agg(F.count("*").alias("n"))
+    """Items of the three lists of a sample; some come without a type, which the mcq and caption lists give them."""
+    item = lambda k: F.struct(F.when(C("item_no") % 2 != 0, F.lit(k)).alias("type"), "item_no", "question")
+    lists = q.groupBy("sample_id").agg(*(F.collect_list(F.when(C("type") == k, item(k))).alias(k) for k in ("qa", "mcq", "caption")))
+    return op.merge_lists(lists, "qa", {"mcq": "mcq", "caption": "caption"}).select("sample_id", "item.item_no", "item.type", "item.question")
 
 
 @plan("regions", "SELECT region_id, CASE region_id % 4 WHEN 3 THEN NULL ELSE CONCAT('[{\"id\":', CAST(region_id AS VARCHAR), '}]') END AS payload FROM regions")
@@ -148,6 +177,19 @@ def d21_nearest_mapping(p: DataFrame) -> DataFrame:
     return op.nearest_mapping(band_histogram(p, "red"), band_histogram(p, "green"))
 
 
+GROUPED = f"""WITH d AS {CDF.format(h=HIST.format(c='green'))}, a AS {CDF.format(h=HIST.format(c='red'))},
+n AS (SELECT d.bin AS x, a.bin AS y FROM d CROSS JOIN a QUALIFY row_number() OVER (PARTITION BY d.bin ORDER BY round_even(abs(a.s - d.s), 9), a.bin) = 1),
+m AS (SELECT x, coalesce(last_value(nullif(y, 0) IGNORE NULLS) OVER (ORDER BY x), 0) AS y FROM n), g AS (SELECT x, y, lag(y, 1, 0) OVER (ORDER BY x) AS was FROM m),
+c AS (SELECT x, y, coalesce(lag(y) OVER (ORDER BY x) + 1, 0) AS y0, coalesce(lag(x) OVER (ORDER BY x) + 1, 0) AS x0 FROM g WHERE y <> was),
+f AS (SELECT i, CASE WHEN y = y0 THEN trunc((x0 + x) / 2.0E0 + 0.5) WHEN x0 = x THEN x ELSE trunc(round_even((i - (y - (y - y0) / (x - x0 + 1e-7) * x)) / ((y - y0) / (x - x0 + 1e-7) + 1e-7) + 0.5, 9)) END AS v FROM (SELECT *, unnest(range(y0, y + 1)) AS i FROM c))
+SELECT 'b' AS band, CAST(k AS INT) AS from_bin, CAST(least(coalesce(max(v), CASE WHEN k > (SELECT max(y) FROM m) THEN 255 ELSE 0 END), 255) AS INT) AS to_bin FROM (SELECT unnest(range(256)) AS k) LEFT JOIN f ON i = k GROUP BY k"""
+
+
+@plan("pixels", GROUPED)
+def d22_group_mapping(p: DataFrame) -> DataFrame:
+    return op.group_mapping(band_histogram(p, "red"), band_histogram(p, "green"), 256)
+
+
 @plan("pixels", "WITH s AS (SELECT CAST(red AS BIGINT) % 200 AS v, count(*) AS n FROM pixels GROUP BY 1), r AS (SELECT CAST(green AS BIGINT) % 97 AS v, count(*) AS n FROM pixels GROUP BY 1), a AS (SELECT v, sum(n) OVER (ORDER BY v) * 1.0E0 / sum(n) OVER () AS q FROM s), b AS (SELECT v, sum(n) OVER (ORDER BY v) * 1.0E0 / sum(n) OVER () AS q FROM r), m AS (SELECT a.v AS value, a.q, (SELECT max(q) FROM b WHERE b.q <= a.q) AS lq, (SELECT min(q) FROM b WHERE b.q >= a.q) AS hq FROM a) SELECT value, round_even(CASE WHEN lq IS NULL THEN (SELECT v FROM b WHERE b.q = hq) WHEN hq IS NULL OR hq = lq THEN (SELECT v FROM b WHERE b.q = lq) ELSE (SELECT v FROM b WHERE b.q = lq) + (m.q - lq) * ((SELECT v FROM b WHERE b.q = hq) - (SELECT v FROM b WHERE b.q = lq)) / (hq - lq) END, 6) AS mapped FROM m")
 def d23_interpolated_mapping(p: DataFrame) -> DataFrame:
     out = op.interpolated_mapping(p.select((C("red").cast("long") % 200).alias("v")), p.select((C("green").cast("long") % 97).alias("v")))

@@ -76,6 +76,7 @@ SELECT c_custkey AS fid, CAST((c_custkey * 17) % 1000 AS DOUBLE) AS x1, CAST((c_
     "rect_masks": """
 SELECT s_suppkey AS fid, CAST((s_suppkey * 37) % 1000 AS DOUBLE) AS x1, CAST((s_suppkey * 41) % 1000 AS DOUBLE) AS y1,
        CAST((s_suppkey * 37) % 1000 + 40 AS DOUBLE) AS x2, CAST((s_suppkey * 41) % 1000 + 30 AS DOUBLE) AS y2, s_name AS kind FROM supplier""",
+    "query_vectors": "SELECT vec_id AS prompt_id, label AS class_id, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "prompt_vectors": "SELECT vec_id AS prompt_id, label AS class_id, embedding FROM embeddings WHERE vec_id < 30",
 }
 

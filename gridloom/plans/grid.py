@@ -244,6 +244,33 @@ def m04_otsu(p: DataFrame) -> DataFrame:
     return sc.otsu(p, "red", ["scene"]).withColumn("threshold", F.bround("threshold", 4))
 
 
+def changed(own: str, other: str, k: str) -> str:
+    wide = f"SELECT a.x, a.y, max(CAST(b.{other} > 0 AS INT)) AS cover FROM two a JOIN two b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY 1, 2"
+    return f"SELECT x, y FROM (SELECT k.x, k.y, avg(cover) OVER (PARTITION BY c) AS share, count(*) OVER (PARTITION BY c) AS area FROM {k} k JOIN ({wide}) w ON w.x = k.x AND w.y = k.y) WHERE share < 0.6 AND area >= 3"
+
+
+TWO = "two AS (SELECT x, y, CASE WHEN gt_class = 1 THEN 1 ELSE 0 END AS t1, CASE WHEN pred_class = 1 AND x % 7 > 1 THEN 1 ELSE 0 END AS t2 FROM pixels)"
+
+
+@plan("pixels", f"WITH RECURSIVE {TWO}, {parts('SELECT x, y, 1 AS v FROM two WHERE t1 > 0', 'ka')}, {parts('SELECT x, y, 1 AS v FROM two WHERE t2 > 0', 'kb')}, h AS ({changed('t1', 't2', 'ka')} UNION {changed('t2', 't1', 'kb')}) SELECT two.x, two.y, h.x IS NOT NULL AS changed FROM two LEFT JOIN h ON h.x = two.x AND h.y = two.y")
+def m05_instance_changes(p: DataFrame) -> DataFrame:
+    two = p.select("x", "y", F.when(C("gt_class") == 1, 1).otherwise(0).alias("t1"), F.when((C("pred_class") == 1) & (C("x") % 7 > 1), 1).otherwise(0).alias("t2"))
+    return sc.instance_changes(two, 1, 0.6, 3)
+
+
+REJECTED = "SELECT region_id AS instance, CAST(1 + region_id % 3 AS INT) AS class_id, 1 + region_id % 9 AS area, bx % 90 AS x1, bv % 90 AS y1, bx % 90 + 8 AS x2, bv % 90 + 6 AS y2, region_id % 4 <> 0 AS keep FROM regions"
+
+
+@plan("pixels regions", f"""WITH RECURSIVE b AS (SELECT * FROM ({REJECTED}) WHERE NOT keep), s AS (SELECT instance AS i, area, x, y FROM pixels JOIN b ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 AND gt_class = class_id),
+  k(i, x, y, area, c) USING KEY (i, x, y) AS (SELECT i, x, y, area, CAST(y AS BIGINT) * 2147483648 + x FROM s UNION SELECT n.i, n.x, n.y, n.area, min(p.c) FROM k p CROSS JOIN (SELECT * FROM (VALUES (-1), (0), (1)) a(dx) CROSS JOIN (VALUES (-1), (0), (1)) e(dy)) JOIN recurring.k n ON n.i = p.i AND n.x = p.x + dx AND n.y = p.y + dy AND n.c > p.c GROUP BY n.i, n.x, n.y, n.area),
+  z AS (SELECT i, c FROM k GROUP BY i, c, area QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(count(*) - area), c) = 1)
+  SELECT x, y, CASE WHEN (x, y) IN (SELECT (k.x, k.y) FROM k JOIN z ON z.i = k.i AND z.c = k.c) THEN 0 ELSE gt_class END AS v FROM pixels""")
+def m10_remove_rejected(p: DataFrame, r: DataFrame) -> DataFrame:
+    k = C("region_id")
+    boxes = r.select(k.alias("instance"), (1 + k % 3).cast("int").alias("class_id"), (1 + k % 9).alias("area"), (C("bx") % 90).alias("x1"), (C("bv") % 90).alias("y1"), (C("bx") % 90 + 8).alias("x2"), (C("bv") % 90 + 6).alias("y2"), (k % 4 != 0).alias("keep"))
+    return sc.remove_rejected(p.select("x", "y", C("gt_class").alias("v")), boxes)
+
+
 @plan("pixels", "SELECT x, y, CASE WHEN gt_class <> 0 AND pred_class <> 0 THEN gt_class ELSE 0 END AS v FROM pixels")
 def m06_agreement(p: DataFrame) -> DataFrame:
     return sc.agreement(p.select("x", "y", C("gt_class").alias("v")), p.select("x", "y", C("pred_class").alias("v")))

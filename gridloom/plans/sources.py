@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import vector as vc
+from ..operators.rounds import shared_folder
 from ..sources import tables as io
 from .registry import plan
 
@@ -37,10 +39,37 @@ def s08_boxes_from_yolo(b: DataFrame) -> DataFrame:
     return io.boxes_from_yolo(b.select("box_id", F.concat(line, F.lit("\nx 1")).alias("t")), "t", ["pipe", "crack"]).select("box_id", "label", "cx")
 
 
-@plan("rect_targets", "SELECT fid, 'POLYGON' AS geometry_type, printf('POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))', CAST(x1 AS INT), CAST(y1 AS INT), CAST(x2 AS INT), CAST(y1 AS INT), CAST(x2 AS INT), CAST(y2 AS INT), CAST(x1 AS INT), CAST(y2 AS INT), CAST(x1 AS INT), CAST(y1 AS INT)) AS geometry_wkt FROM rect_targets")
+FEATURES = "SELECT fid, kind, CASE WHEN fid % 2 = 0 THEN 'even' END AS extra, CASE WHEN fid % 3 = 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type, CASE WHEN fid % 3 = 0 THEN printf('POINT (%d %d)', CAST(x1 AS INT), CAST(y1 AS INT)) ELSE printf('POLYGON ((%d %d, %d %d, %d %d, %d %d))', CAST(x1 AS INT), CAST(y1 AS INT), CAST(x2 AS INT), CAST(y1 AS INT), CAST(x2 AS INT), CAST(y2 AS INT), CAST(x1 AS INT), CAST(y1 AS INT)) END AS geometry_wkt FROM rect_targets"
+
+
+def features(t: DataFrame) -> DataFrame:
+    n = [C(c).cast("int") for c in ("x1", "y1", "x2", "y2")]
+    shape = F.when(C("fid") % 3 == 0, F.format_string('{"type":"Point","coordinates":[%d, %d]}', *n[:2])).otherwise(F.format_string('{"type":"Polygon","coordinates":[[[%d,%d],[%d,%d],[%d,%d,7.5],[%d,%d]]]}', n[0], n[1], n[2], n[1], n[2], n[3], n[0], n[1]))
+    own = F.create_map(F.lit("fid"), C("fid").cast("string"), F.lit("kind"), C("kind"))
+    return t.select("fid", shape.alias("geometry"), F.when(C("fid") % 2 == 0, F.map_concat(own, F.create_map(F.lit("extra"), F.lit("even")))).otherwise(own).alias("properties"))
+
+
+@plan("rect_targets", FEATURES)
 def s12_features_csv(t: DataFrame) -> DataFrame:
-    ring = F.array(*(F.struct(C(a).cast("int").alias("x"), C(b).cast("int").alias("y")) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
-    return io.features_csv(t, vc.wkt_polygon(ring), ["fid"])
+    return io.features_csv(features(t), "fid").withColumn("fid", C("fid").cast("long"))
+
+
+@plan("rect_targets", FEATURES)
+def s12_features_geojson(t: DataFrame) -> DataFrame:
+    """Written as collections, read back by the feature source."""
+    out = f"{shared_folder(t.sparkSession)}/gridloom-features-{uuid.uuid4().hex[:12]}"
+    io.write_features(features(t), out, "fid", "geojson")
+    back = io.features_from_geojson(t.sparkSession.read.text(out, wholetext=True), "value")
+    return back.select(C("properties")["fid"].cast("long").alias("fid"), C("properties")["kind"].alias("kind"), F.try_element_at("properties", F.lit("extra")).alias("extra"), "geometry_type", io.wkt_of(C("geometry")).alias("geometry_wkt"))
+
+
+@plan("documents", "SELECT doc_id, lang, n_chars FROM documents")
+def x05_append_records(d: DataFrame) -> DataFrame:
+    """Two flushes to one folder, read back whole."""
+    out = f"{shared_folder(d.sparkSession)}/gridloom-records-{uuid.uuid4().hex[:12]}"
+    for part in (d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1")):
+        io.append_records(part.select("doc_id", "lang", "n_chars"), out)
+    return d.sparkSession.read.schema(d.select("doc_id", "lang", "n_chars").schema).json(out)
 
 
 @plan("boxes_gt", """SELECT image_id, CONCAT('{"id":', CAST(image_id AS VARCHAR), ',"conversations":[{"from":"user","value":"find"},{"from":"assistant","value":"<obj>[', string_agg(printf('{\\"label\\":\\"%s\\",\\"bbox\\":[%d,%d,%d,%d]}', label, x1, y1, x2, y2), ',' ORDER BY box_id), ']</obj>"}]}') AS record FROM boxes_gt GROUP BY 1""")

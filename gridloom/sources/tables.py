@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def read_table(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCO
     for e in encodings:
         names = [r["path"] for r in probed.filter(F.col("encoding") == e).select("path").collect()]  # file names only
         if names:
-            if e != "utf-8":  # Spark reads these only with the JVM's charsets allowed, when the rows are read too
+            if e != "utf-8" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+                # Spark reads these only with the JVM's charsets allowed, when the rows are read too: it has to stay set for the session
                 spark.conf.set("spark.sql.legacy.javaCharsets", "true")
             part = spark.read.csv(names, header=True, inferSchema=True, encoding=e).withColumn("source", F.col("_metadata.file_path"))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -137,20 +139,53 @@ def write_csv(df: DataFrame, path: str, decimals: int = 6, last: str | None = No
     fixed_decimals(df, decimals, last).write.option("maxRecordsPerFile", most_rows).csv(path, header=True)
 
 
-def features_csv(df: DataFrame, wkt: Column, properties: list[str]) -> DataFrame:
-    """Property columns, then geometry type and WKT."""
-    return df.select(*properties, F.split_part(wkt, F.lit("("), F.lit(1)).alias("geometry_type"), wkt.alias("geometry_wkt"))
+def wkt_of(geometry: Column) -> Column:
+    """WKT of a GeoJSON geometry text; a third coordinate is left out."""
+    number = r"\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*"
+    kind, places = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    pairs = F.regexp_replace(places, rf"\[{number},{number}(?:,{number})?\]", "$1 $2")
+    body = F.regexp_replace(F.translate(pairs, "[]", "()"), r"\s*,\s*", ", ")
+    return F.concat(F.upper(kind), F.lit(" "), F.when(kind == "Point", F.concat(F.lit("("), body, F.lit(")"))).otherwise(body))
 
 
-def write_features(df: DataFrame, path: str, wkt: Column, properties: list[str], fmt: str) -> None:
+def features_csv(df: DataFrame, order: str, geometry: str = "geometry", properties: str = "properties") -> DataFrame:
+    """One column a property, in the order in which the names are first seen (rows by ``order``), then geometry type and WKT."""
+    seen = df.select(order, F.posexplode(F.map_keys(properties)).alias("_at", "_name")).groupBy("_name").agg(F.min(F.struct(order, "_at")).alias("_first"))
+    names = [r["_name"] for r in seen.orderBy("_first").collect()]  # column names
+    return df.select(*(F.try_element_at(properties, F.lit(n)).alias(n) for n in names), F.get_json_object(geometry, "$.type").alias("geometry_type"), wkt_of(F.col(geometry)).alias("geometry_wkt"))
+
+
+def collections(df: DataFrame, geometry: str = "geometry", properties: str = "properties") -> DataFrame:
+    """Lines of text that make each partition a feature collection."""
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.coalesce(F.to_json(properties), F.lit("{}")), F.lit("}"))
+
+    def wrap(frames):
+        between = '{"type":"FeatureCollection","features":['
+        for frame in frames:
+            if len(frame):
+                lines = frame["value"].tolist()
+                yield pd.DataFrame({"value": [f"{between}{lines[0]}", *(f",{x}" for x in lines[1:])]})
+                between = ","
+        yield pd.DataFrame({"value": ["]}" if between == "," else f"{between}]}}"]})
+
+    return df.select(feature.alias("value")).mapInPandas(wrap, "value string")
+
+
+def write_features(df: DataFrame, path: str, order: str, fmt: str, geometry: str = "geometry", properties: str = "properties") -> None:
+    """CSV with WKT, or GeoJSON: every file is a feature collection."""
     if fmt == "csv":
-        features_csv(df, wkt, properties).write.csv(path, header=True)
+        features_csv(df, order, geometry, properties).write.csv(path, header=True)
     elif fmt in ("geojson", "json"):
-        df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), wkt.alias("wkt"))).alias("value")).write.text(path)
+        collections(df, geometry, properties).write.text(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 
 
+def append_records(df: DataFrame, folder: str) -> None:
+    """Adds rows to a folder of JSON lines; files are added whole, none is written again."""
+    df.write.mode("append").json(folder)
+
+
 def write_stats(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
