@@ -343,3 +343,31 @@ def test_instance_changes_and_rejections_do_something(spark):
     assert plans.m05_instance_changes(pixels).filter("changed").count() > 0
     before = pixels.filter("gt_class > 0").count()
     assert 0 < before - plans.m10_remove_rejected(pixels, regions).filter("v > 0").count() < before
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_is_optimal(seed):
+    import numpy as np
+
+    from gridloom.operators import assign
+
+    rng = np.random.default_rng(seed)
+    gain = rng.random((rng.integers(1, 6), rng.integers(1, 6))) * (rng.random((1, 1)) < 2)
+    got = assign.assignment(gain)
+    wide = gain if gain.shape[0] <= gain.shape[1] else gain.T
+    best = max(sum(wide[i, j] for i, j in enumerate(way)) for way in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+    assert len(got) == min(gain.shape) and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) and abs(sum(gain[i, j] for i, j in got) - best) < 1e-9
+
+
+def test_association_of_detections_and_tracks(spark):
+    from gridloom.operators import assign
+
+    pairs = spark.createDataFrame([(1, 10, 0.9), (2, 10, 0.8), (2, 11, 0.7), (3, 12, 0.4)], "a long, b long, iou double")
+    det = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.9), (1, 3, 0.9), (1, 4, 0.1), (2, 5, 0.1)], "image_id long, box_id long, score double")
+    trk = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (3, 13)], "image_id long, box_id long")
+    out = {k: sorted(map(tuple, v.collect())) for k, v in assign.associate(pairs, det, trk, 0.5, 0.5, 0.5).items()}
+    assert out["matched"] == [(1, 10, 0.9), (2, 11, 0.7)] and len(out["over"]) == 3
+    assert [r[:2] for r in out["new"]] == [(1, 3), (2, 5)] and out["unmatched"] == [(1, 12)]
+    counts = assign.presence_counts(pairs, det, trk, spark.createDataFrame([(1,), (2,), (3,), (4,)], "image_id long"), 0.5)
+    row = assign.presence_scores(counts).first()
+    assert (row.il_tp, row.il_tn, row.il_fp, row.il_fn, row.tp, row.fp, row.fn) == (1, 2, 0, 1, 2, 1, 2)
