@@ -128,6 +128,8 @@ def test_op2_base_columns_and_viterbi(spark, docs, rows):
             if grams[tuple(w[i : i + 3])] > 1:
                 mark[i] = mark[i + 1] = mark[i + 2] = 1
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(mark))
+        lines = text.split("\n")
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text)) and r.n_dup_lines == sum(x in lines[:i] and bool(re.search(r"[^\x20\x09-\x0d]", x)) for i, x in enumerate(lines))
         assert r.base_failed == (len(w) < 50 or 100 * sum(mark) > 50 * len(w)) and r.kept == (not r.base_failed)
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -136,6 +138,28 @@ def test_op2_base_columns_and_viterbi(spark, docs, rows):
         assert tuple(line_labels.viterbi(score, step)) == best
 
 
+def test_op2_fitted_field_marks_lines_within_documents(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeinrstl") for _ in range(rnd.randint(3, 8)))
+    good = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
+    junk = lambda: " | ".join(word().upper() + "$$$" for _ in range(12))
+    rows = [(i, "\n".join(good() for _ in range(8)), 1) for i in range(40)] + [(100 + i, "\n".join([good() for _ in range(2)] + [junk() for _ in range(6)]), 0) for i in range(40)]
+    planted = [(200 + i, "\n".join([good() for _ in range(5)] + [junk() for _ in range(3)] + [good() for _ in range(4)]), None) for i in range(10)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + planted] + [(None, good()), (999, "dup\ndup\n\n\n#*|")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    known = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "quality")
+    weights, step = line_labels.fit(known)
+    out = {r.doc_id: r for r in line_labels.quality_rules(docs, labels).collect()}
+    assert (out[999].n_symbols, out[999].n_dup_lines) == (3, 1)
+    for i, text, _ in planted + rows[38:42]:
+        x, _ = line_labels.line_features(text)
+        score = x @ weights.T
+        best = max(itertools.product((0, 1), repeat=len(x)), key=lambda y: sum(score[k, y[k]] for k in range(len(x))) + sum(step[a, b] for a, b in itertools.pairwise(y)))
+        assert tuple(out[i].labels) == best
+    assert all(0 < out[i].content_share < 1 and list(out[i].labels) == [0] * 5 + [1] * 3 + [0] * 4 and out[i].kept for i, _, _ in planted)
+    assert all(out[i].kept == (i < 100) for i, _, _ in rows) and all(0 < out[i].content_share < 0.5 for i in range(100, 140))
+
+
 def cheapest(roles):
     legal = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 
