@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
+from ..operators import area_scores
 from ..operators import boxes as op
 from .joins import IOU_SQL, RUN, running
 from .registry import plan
@@ -119,6 +120,16 @@ def e11_mean_average_precision(p: DataFrame, g: DataFrame) -> DataFrame:
     return ap.groupBy("label").agg(r6(F.avg("ap")).alias("map"))
 
 
+@plan("boxes_pred boxes_gt")
+def e17_area_scores(p: DataFrame, g: DataFrame) -> DataFrame:
+    return area_scores.area_scores(p, g).select("label", "area", "thr", "n_gt", *(r6(c).alias(c) for c in ("ap", "recall_1", "recall_10", "recall_100")))
+
+
+@plan("boxes_pred boxes_gt")
+def e17_area_summary(p: DataFrame, g: DataFrame) -> DataFrame:
+    return area_scores.area_summary(area_scores.area_scores(p, g)).withColumn("value", r6("value"))
+
+
 BEST = f"""WITH {IOU_SQL}, s AS (SELECT *, inter * 1.0E0 / (sa + sb - inter) AS iou FROM i), p1 AS (SELECT a, b, iou FROM s JOIN boxes_pred p ON p.box_id = s.a WHERE iou > 0.45 AND p.score > 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY iou DESC, b) = 1),
   m AS (SELECT a, b FROM p1 QUALIFY row_number() OVER (PARTITION BY b ORDER BY iou DESC, a) = 1)"""
 

@@ -371,3 +371,72 @@ def test_association_of_detections_and_tracks(spark):
     counts = assign.presence_counts(pairs, det, trk, spark.createDataFrame([(1,), (2,), (3,), (4,)], "image_id long"), 0.5)
     row = assign.presence_scores(counts).first()
     assert (row.il_tp, row.il_tn, row.il_fp, row.il_fn, row.tp, row.fp, row.fn) == (1, 2, 0, 1, 2, 1, 2)
+
+
+def brute_area_scores(pred, gt, area, t, most):
+    """{label: (ap, recall)} by the rule's own loops over images."""
+    from gridloom.operators.area_scores import AREAS
+
+    lo, hi = AREAS[area]
+    size = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    out = {}
+    for label in {g["label"] for g in gt}:
+        rows, n_gt = [], sum(g["label"] == label and lo <= size(g) <= hi for g in gt)
+        for image in sorted({b["image_id"] for b in pred + gt}):
+            mine = lambda bs: [b for b in bs if (b["label"], b["image_id"]) == (label, image)]
+            truth = sorted(mine(gt), key=lambda g: (not lo <= size(g) <= hi, g["box_id"]))
+            used = set()
+            for d in sorted(mine(pred), key=lambda d: (-d["score"], d["box_id"]))[:most]:
+                best, at = t, None
+                for g in truth:
+                    ignored = not lo <= size(g) <= hi
+                    if g["box_id"] in used:
+                        continue
+                    if at and lo <= size(at) <= hi and ignored:
+                        break
+                    iou = brute_iou([d[k] for k in ("x1", "y1", "x2", "y2")], [g[k] for k in ("x1", "y1", "x2", "y2")])
+                    if iou >= best:
+                        best, at = iou, g
+                if at:
+                    used.add(at["box_id"])
+                if lo <= size(at or d) <= hi:
+                    rows.append((-d["score"], image, d["box_id"], at is not None))
+        if not n_gt:
+            continue
+        tp, curve = 0, []
+        for n, row in enumerate(sorted(rows), 1):
+            tp += row[3]
+            curve.append((tp, tp / n))
+        ap = sum(max([p for hit, p in curve if hit * 100 >= k * n_gt], default=0.0) for k in range(101)) / 101
+        out[label] = (ap, tp / n_gt)
+    return out
+
+
+def test_area_scores_by_brute_force(spark):
+    from gridloom.operators import area_scores as op
+
+    rng = random.Random(5)
+    gt, pred = [], []
+    for i in range(150):
+        x, y, w, h = rng.randrange(300), rng.randrange(300), rng.choice([12, 30, 34, 60, 97, 130]), rng.choice([12, 30, 34, 60, 97, 130])
+        gt.append({"image_id": i % 4, "label": "abc"[i % 3], "box_id": i, "x1": x, "y1": y, "x2": x + w, "y2": y + h})
+        for k in range(rng.randrange(4)):
+            b = [x + rng.randrange(-3, 4), y + rng.randrange(-3, 4), x + w + rng.randrange(-3, 4), y + h + rng.randrange(-3, 4)]
+            pred.append({"image_id": i % 4, "label": "abc"[i % 3] if rng.random() < 0.9 else "d", "box_id": 10 * i + k, "score": rng.randrange(20) / 20, **dict(zip(("x1", "y1", "x2", "y2"), b))})
+    kinds = "image_id long, label string, box_id long, x1 int, y1 int, x2 int, y2 int"
+    frames = spark.createDataFrame([tuple(b[c] for c in ("image_id", "label", "box_id", "x1", "y1", "x2", "y2", "score")) for b in pred] + [(0, "a", None, 1, 1, 5, 5, 0.9)], kinds + ", score double"), spark.createDataFrame([tuple(b.values()) for b in gt], kinds)
+    scores = op.area_scores(*frames)
+    got = {(r.label, r.area, r.thr): r for r in scores.collect()}
+    for area in op.AREAS:
+        for t in (0.5, 0.75, 0.9):
+            want = {m: brute_area_scores(pred, gt, area, t, m) for m in op.MOST}
+            assert {k[0] for k in got if k[1:] == (area, t)} == set(want[100])
+            for label, (ap, recall) in want[100].items():
+                row = got[label, area, t]
+                assert abs(row.ap - ap) < 1e-9 and abs(row.recall_100 - recall) < 1e-9
+                # fewer detections take the same matches
+                assert row.recall_1 <= row.recall_10 <= row.recall_100 and abs(row.recall_1 - want[1][label][1]) < 1e-9
+    summary = {r.metric: r.value for r in op.area_summary(scores).collect()}
+    assert abs(summary["AP"] - sum(r.ap for k, r in got.items() if k[1] == "all") / sum(k[1] == "all" for k in got)) < 1e-9
+    none = op.area_summary(op.area_scores(frames[0], frames[1].limit(0)))
+    assert {r.value for r in none.collect()} == {-1.0} and len(summary) == 12
