@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .assign import grouped, mark_lone
 from .boxes import SIDES, iou_pairs
-from .rounds import Rounds, components_of
+from .rounds import Rounds
 
 # fixed values of the rule
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
@@ -57,13 +58,13 @@ def area_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
     rounds = Rounds(pred.sparkSession, "area-scores")
     found = rounds.keep(pred.select(*named, "score", size.alias("size")).dropna().withColumn("rank", rank).filter(F.col("rank") <= MOST[-1]), "detections")
     pairs = iou_pairs(found.select(*named, "score"), truth.select(*named, "size"), ["image_id", "label"]).filter(F.col("iou") >= THRESHOLDS[0])
-    pairs = rounds.keep(pairs.select(F.col("box_id_a").cast("long").alias("a"), F.col("box_id_b").cast("long").alias("b"), F.col("score_a").cast("double").alias("score"), F.col("size_b").alias("gt_area"), F.col("iou").cast("double")), "pairs")
-    groups = components_of(pairs.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b")), rounds)
-    own = groups.filter("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("a"), "component")
-    hits = pairs.join(own, "a").groupBy("component").applyInPandas(lambda f: _match(f), "box_id long, area string, thr double, inside boolean")
-
+    pairs = pairs.select(F.col("box_id_a").cast("long").alias("a"), F.col("box_id_b").cast("long").alias("b"), F.col("score_a").cast("double").alias("score"), F.col("size_b").alias("gt_area"), F.col("iou").cast("double"))
+    pairs = rounds.keep(mark_lone(pairs), "pairs")
     levels = lambda df: df.withColumn("area", F.explode(F.array(*map(F.lit, AREAS))))
     steps = lambda df: df.withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+    hits = grouped(pairs.filter("not lone").drop("lone"), rounds).groupBy("component").applyInPandas(_match, "box_id long, area string, thr double, inside boolean")
+    hits = hits.union(steps(levels(pairs.filter("lone"))).filter("iou >= thr").select(F.col("a").alias("box_id"), "area", "thr", in_range(F.col("gt_area"), F.col("area"))))
+
     keys = ["label", "area", "thr"]
     totals = steps(levels(truth).filter(in_range(F.col("size"), F.col("area"))).groupBy("label", "area").agg(F.count("*").alias("n_gt")))
     rows = steps(levels(found)).join(hits, ["box_id", "area", "thr"], "left").filter(F.coalesce("inside", in_range(F.col("size"), F.col("area"))))

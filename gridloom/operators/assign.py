@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rounds import Rounds, components_of
@@ -55,13 +55,25 @@ def _solve(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "iou"]).astype({"a": "int64", "b": "int64", "iou": "float64"})
 
 
+def mark_lone(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with ``lone``: neither side occurs in another pair, so the pair is a group by itself and needs no search."""
+    n = lambda c: F.count("*").over(Window.partitionBy(c))
+    return pairs.withColumn("_a", n("a")).withColumn("lone", (F.col("_a") == 1) & (n("b") == 1)).drop("_a")
+
+
+def grouped(pairs: DataFrame, rounds: Rounds) -> DataFrame:
+    """Pairs (a, b, ...) with the connected group ``component`` they belong to; ids of the two sides may clash."""
+    groups = components_of(pairs.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b")), rounds)
+    return pairs.join(groups.filter("node % 2 = 0").select(F.expr("node div 2").alias("a"), "component"), "a")
+
+
 def optimal_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b, iou) of the assignment with the largest sum of IoU, from pairs of ids with their IoU over 0."""
     rounds = Rounds(pairs.sparkSession, "assign")
-    pairs = rounds.keep(pairs.select("a", "b", "iou").filter("iou > 0"), "pairs")
-    groups = components_of(pairs.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b")), rounds)
-    rows = pairs.join(groups.select((F.col("node") / 2).cast("long").alias("a"), "component", (F.col("node") % 2).alias("_side")).filter("_side = 0").drop("_side"), "a")
-    return rows.groupBy("component").applyInPandas(_solve, "a long, b long, iou double")
+    pairs = rounds.keep(mark_lone(pairs.select("a", "b", "iou").filter("iou > 0")), "pairs")
+    rows = grouped(pairs.filter("not lone").drop("lone"), rounds)
+    alone = pairs.filter("lone").select(*(F.col(c).cast(k) for c, k in (("a", "long"), ("b", "long"), ("iou", "double"))))
+    return alone.union(rows.groupBy("component").applyInPandas(_solve, "a long, b long, iou double"))
 
 
 def associate(pairs: DataFrame, detections: DataFrame, tracks: DataFrame, threshold: float = 0.5, threshold_track: float = 0.5, least_new: float = 0.0) -> dict[str, DataFrame]:
