@@ -132,3 +132,23 @@ def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_repair import repair_roles
 
     return repair_roles(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_slot_hard_negatives"] = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor, other AS pos, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, pos AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, pos ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, ps AS positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps
+QUALIFY row_number() OVER (PARTITION BY p.anchor, pos ORDER BY score DESC, other) <= 3
+"""
