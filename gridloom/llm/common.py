@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Text handled at once inside a task, in characters; bounds the numpy temporaries.
 CHUNK_CHARS = 500_000
@@ -69,6 +70,19 @@ def chunks(frame: pd.DataFrame, text: str, most: int = CHUNK_CHARS) -> Iterator[
             yield frame.iloc[a:b]
 
 
+def map_exact(df: DataFrame, ids: list[str], run, rest: str) -> DataFrame:
+    """``df.mapInPandas(run, ids + rest)`` with the integers of the columns ``ids`` kept exact.
+
+    pandas holds an integer column with a null as doubles, which rounds every number beyond 2**53 beside the null. So these columns
+    cross as decimal strings (or None) and are cast back; ``run`` sees and returns strings. Columns of ``ids`` that are no integers cross as they are.
+    """
+    kinds = {c: df.schema[c].dataType for c in ids}
+    text = {c for c, kind in kinds.items() if isinstance(kind, IntegralType)}
+    sent = df.select(*(F.col(c).cast("string").alias(c) if c in text else F.col(c) for c in df.columns))
+    out = sent.mapInPandas(run, ", ".join([*(f"{c} {'string' if c in text else kind.simpleString()}" for c, kind in kinds.items()), rest]))
+    return out.select(*(F.col(c).cast(kinds[c]).alias(c) if c in text else F.col(c) for c in out.columns))
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int, *columns: str) -> DataFrame:
     """At most ``most`` rows of each value of ``by``, those of the least hash of ``columns``.
 
