@@ -44,6 +44,16 @@ SELECT o_orderkey AS box_id, o_custkey % 200 AS image_id,
        (o_orderkey * 7) % 900 + o_orderkey % 9 AS x1, (o_orderkey * 13) % 900 + o_orderkey % 7 AS y1,
        (o_orderkey * 7) % 900 + 20 + o_orderkey % 80 + o_orderkey % 5 AS x2, (o_orderkey * 13) % 900 + 20 + o_orderkey % 60 + o_orderkey % 6 AS y2,
        ((o_orderkey * 31) % 1000) / 1000.0E0 AS score
+FROM orders WHERE o_orderkey % 4 <> 0""",
+    "track_truth": """
+SELECT o_orderkey AS det, o_custkey % 10 AS seq, o_custkey AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS track, o_orderpriority AS cls,
+       (o_orderkey * 7) % 160 AS x1, (o_orderkey * 13) % 160 AS y1, (o_orderkey * 7) % 160 + 20 + o_orderkey % 40 AS x2, (o_orderkey * 13) % 160 + 20 + o_orderkey % 30 AS y2
+FROM orders""",
+    "track_found": """
+SELECT o_orderkey AS det, o_custkey % 10 AS seq, o_custkey AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS track,
+       CASE WHEN o_orderkey % 17 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS cls,
+       (o_orderkey * 7) % 160 + o_orderkey % 9 AS x1, (o_orderkey * 13) % 160 + o_orderkey % 7 AS y1,
+       (o_orderkey * 7) % 160 + 20 + o_orderkey % 40 + o_orderkey % 5 AS x2, (o_orderkey * 13) % 160 + 20 + o_orderkey % 30 + o_orderkey % 6 AS y2
 FROM orders WHERE o_orderkey % 4 <> 0""",
     "kg_nodes": """
 SELECT CONCAT('r', CAST(r_regionkey AS STRING)) AS id, 'region' AS label, r_name AS name FROM region
