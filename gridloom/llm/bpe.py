@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_exact
 
 #: Distinct pieces a worker remembers.
 CACHE_PIECES = 200_000
@@ -247,7 +247,6 @@ def _encode(path: str, with_ids: bool):
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids, n_tokens, decoded) of each row, or with ``digests`` (id, n_tokens, ids_sha256, decoded_sha256)."""
-    kind = docs.schema[id_col].dataType.simpleString()
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, n_tokens long, decoded string"
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_encode(path, not digests), f"id {kind}, {columns}")
-    return out.withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_exact(texts, ["id"], _encode(path, not digests), columns).withColumnRenamed("id", id_col)

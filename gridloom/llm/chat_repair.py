@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_exact
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -182,13 +182,13 @@ def repair_roles(conversations: DataFrame, piece: int = 512) -> DataFrame:
     spark = conversations.sparkSession
     scratch = Scratch(spark, "chat")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    conv = conversations.schema["conv_id"].dataType.simpleString()
     turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
     turns = turns.withColumn("piece", F.floor(F.coalesce("turn", F.lit(-1)) / piece))
     order = ["conv", "piece", F.col("turn").asc_nulls_first(), "role", "text"]
-    costs = turns.drop("text").repartition(parts, "conv", "piece").sortWithinPartitions(*order[:-1]).mapInPandas(_pieces, f"conv {conv}, piece long, cost array<double>")
-    cuts = costs.repartition(parts, "conv").sortWithinPartitions("conv", "piece").mapInPandas(_cuts, f"conv {conv}, piece long, first int, last int, closes boolean, total double")
+    costs = turns.drop("text").repartition(parts, "conv", "piece").sortWithinPartitions(*order[:-1]).drop("turn")
+    costs = map_exact(costs, ["conv"], _pieces, "piece long, cost array<double>")
+    cuts = map_exact(costs.repartition(parts, "conv").sortWithinPartitions("conv", "piece"), ["conv"], _cuts, "piece long, first int, last int, closes boolean, total double")
     cuts = scratch.keep(cuts.select(F.col("conv").alias("of"), F.col("piece").alias("nth"), "first", "last", "closes", "total"), "cuts")
     known = turns.join(cuts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("nth"))).drop("of", "nth")
-    out = known.repartition(parts, "conv", "piece").sortWithinPartitions(*order).mapInPandas(_repair, f"conv {conv}, turn long, role string, {RESULT}")
+    out = map_exact(known.repartition(parts, "conv", "piece").sortWithinPartitions(*order), ["conv", "turn"], _repair, f"role string, {RESULT}")
     return out.withColumnRenamed("conv", "conv_id")

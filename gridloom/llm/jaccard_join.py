@@ -27,43 +27,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Scratch, chunks, connected_components
+from .common import Scratch, chunks, connected_components, map_exact
+from .counting import PACKED, RUN_KEYS, frequent, packed, segment_bits
 
 #: Long lists known to the tasks: the most frequent shingles, 8 bytes each. Shingles beyond it only cost time.
 MOST_LONG = 500_000
 #: Candidate ids up to this number (16 bytes each) are broadcast to the texts; more of them meet the texts in a shuffle.
 BROADCAST_IDS = 500_000
-#: Bytes of counted fingerprints that one group gathers at most, on average.
-BUCKET_BYTES = 16_000_000
 
 
-def _packed(width: int, bits: int):
+def _runs(width: int, bits: int):
+    """Packed runs of all shingles of each document; a shingle sends one entry a run, however many documents have it."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for frame in frames:
             for part in chunks(frame, "text"):
-                h = np.concatenate(hashing.shingle_sets(part["text"].tolist(), width)).view(np.uint64)
-                bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                payload = (h[order] >> np.uint64(32 - bits)).astype(np.uint32)
-                ids, at = np.unique(bucket[order], return_index=True)
-                yield pd.DataFrame({"bucket": ids.astype(np.int64), "data": [x.tobytes() for x in np.split(payload, at[1:])] if len(ids) else []})
+                held += hashing.shingle_sets(part["text"].tolist(), width)
+                size += sum(len(s) for s in held[-len(part) :])
+                if size >= RUN_KEYS:
+                    yield packed(np.concatenate(held).view(np.uint64), bits)
+                    held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held).view(np.uint64), bits)
 
     return run
 
 
 def long_lists(docs: DataFrame, width: int, short_list: int, chars: int, scratch: Scratch) -> np.ndarray:
     """Fingerprints (sorted int64) of the shingles in more than ``short_list`` documents, the ``MOST_LONG`` longest at most."""
-    bits = int(min(30, max(6, np.ceil(np.log2(max(1, chars * 0.8 / BUCKET_BYTES))))))
-
-    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(np.frombuffer(b"".join(frame["data"]), dtype=np.uint32))
-        at = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1)) if len(x) else np.empty(0, dtype=np.int64)
-        n = np.diff(np.append(at, len(x)))
-        keep = n > short_list
-        return pd.DataFrame({"mark": (np.int64(key[0]) << 32) | x[at][keep].astype(np.int64), "df": n[keep].astype(np.int64)})
-
-    packed = docs.select("text").mapInPandas(_packed(width, bits), "bucket long, data binary")
-    found = scratch.keep(packed.groupBy("bucket").applyInPandas(count, "mark long, df long"), "long")
+    bits = segment_bits(chars / 5)
+    runs = docs.select("text").mapInPandas(_runs(width, bits), PACKED)
+    found = scratch.keep(frequent(runs, short_list + 1).withColumnRenamed("n", "df"), "long")
     steps = sorted(found.groupBy(F.floor(F.log2("df") * 4).alias("step")).count().collect(), reverse=True)
     total, least = 0, None
     for step, n in steps:
@@ -103,7 +98,7 @@ def _prefixes(width: int, percent: int, long_marks):
     return run
 
 
-PREFIX = "id long, n long, k1 long, k2 long, prefix array<long>, late int, last long"
+PREFIX = "n long, k1 long, k2 long, prefix array<long>, late int, last long"
 
 
 def _search(short_list: int, percent: int):
@@ -201,7 +196,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     marks = spark.sparkContext.broadcast(long_lists(docs, width, short_list, chars, scratch))
-    every = scratch.keep(docs.mapInPandas(_prefixes(width, percent, marks), PREFIX), "prefixes")
+    every = scratch.keep(map_exact(docs, ["id"], _prefixes(width, percent, marks), PREFIX), "prefixes")
     classes = every.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     reps = every.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"], "left_semi").dropDuplicates(["id"])

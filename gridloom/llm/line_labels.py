@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded_sample, chunks
+from .common import bounded_sample, chunks, map_exact
 
 # Byte classes: letters (bytes past ASCII count as such), capitals, digits, marks of markup, other punctuation.
 CLASSES = np.zeros((5, 256), dtype=np.int64)
@@ -224,6 +224,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("quality")).filter("id is not null").dropDuplicates(["id"])
     # labelled texts: the small table of labels decides by id; only a bounded number of texts comes back
     model = spark.sparkContext.broadcast(fit(texts.join(known, "id"), per_class))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = texts.mapInPandas(_judge(model, min_words, max_repeat, min_share), f"id {kind}, {RESULT}")
-    return out.withColumnRenamed("id", id_col)
+    return map_exact(texts, ["id"], _judge(model, min_words, max_repeat, min_share), RESULT).withColumnRenamed("id", id_col)

@@ -147,10 +147,14 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "recompression")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
+    # a row is named by its id, and by its text only where an id has several
+    shared_ids = scratch.keep(docs.groupBy("ord").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("ord", F.lit(True).alias("several")), "ids")
+    few = shared_ids.count() <= BROADCAST_RANGES
+    docs = docs.join(F.broadcast(shared_ids) if few else shared_ids, "ord", "left").select("id", "ord", F.when(F.col("several"), F.col("v")).otherwise(0).alias("v"), "text")
     # copies of whole texts, but for those of the least id
-    keys = docs.filter("text is not null").select("ord", "v", F.xxhash64(F.lit(1), "text").alias("w"))
-    twice = keys.groupBy("v", "w").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi")
-    copies = scratch.keep(keys.join(twice, ["v", "w"]).filter("ord > lo").select("ord", "v").distinct(), "copies")
+    keys = docs.filter("text is not null").select("ord", "v", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    twice = keys.groupBy("t1", "t2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi")
+    copies = scratch.keep(keys.join(twice, ["t1", "t2"]).filter("ord > lo").select("ord", "v").distinct(), "copies")
     few = copies.count() <= BROADCAST_RANGES
     texts = docs.join(F.broadcast(copies) if few else copies, ["ord", "v"], "left_anti").select("ord", "v", "text")
     # anchors in documents of different ids

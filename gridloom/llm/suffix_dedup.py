@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Scratch, chunks
+from .common import Scratch, chunks, map_exact
 
 #: Anchors sorted at once in a task; a head with more is sorted alone.
 BATCH_ANCHORS = 20_000
@@ -196,24 +196,21 @@ def _cut(text: str | None, spans) -> tuple[int, int, int, str]:
     return len(raw), int(gone.sum()), int((edges == 1).sum()), kept
 
 
-def _results(id_type):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text, spans, whole in zip(frame["text"], frame["spans"], frame["whole"], strict=True):
-                if whole:
-                    n = len((text or "").encode())
-                    rows.append((n, n, 1, b""))
-                elif spans is None or not len(spans):
-                    raw = (text or "").encode()
-                    rows.append((len(raw), 0, 0, raw))
-                else:
-                    rows.append(_cut(text, spans))
-            # code points left: bytes that don't continue one
-            left = [int((np.frombuffer(r[3], dtype=np.uint8) & 0xC0 != 0x80).sum()) for r in rows]
-            yield pd.DataFrame({"id": frame["id"], "n_bytes": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[3] for r in rows], "n_chars_left": left})
-
-    return run
+def _results(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for text, spans, whole in zip(frame["text"], frame["spans"], frame["whole"], strict=True):
+            if whole:
+                n = len((text or "").encode())
+                rows.append((n, n, 1, b""))
+            elif spans is None or not len(spans):
+                raw = (text or "").encode()
+                rows.append((len(raw), 0, 0, raw))
+            else:
+                rows.append(_cut(text, spans))
+        # code points left: bytes that don't continue one
+        left = [int((np.frombuffer(r[3], dtype=np.uint8) & 0xC0 != 0x80).sum()) for r in rows]
+        yield pd.DataFrame({"id": frame["id"], "n_bytes": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[3] for r in rows], "n_chars_left": left})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32) -> DataFrame:
@@ -236,7 +233,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = firsts.join(spans, "key", "left").select("key", (F.col("copies") > 1).alias("whole"), F.when(F.col("copies") == 1, F.col("spans")).alias("spans")).filter("whole or spans is not null")
     marks = scratch.keep(marks, "marks")
     scratch.drop(found, places)
-    id_type = docs.schema["id"].dataType.simpleString()
     out = docs.join(marks, "key", "left").select("id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    out = out.mapInPandas(_results(id_type), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, n_chars_left long")
+    out = map_exact(out, ["id"], _results, "n_bytes long, n_removed long, n_spans long, kept binary, n_chars_left long")
     return out.withColumnRenamed("id", id_col)

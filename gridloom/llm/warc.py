@@ -85,11 +85,11 @@ def _write(folder: str, roll_bytes: int, date: str):
             out, part, count, crc = None, part + 1, 0, 0
 
         for frame in frames:
-            for page_id, url, html, refers in zip(frame["page_id"].astype(object), frame["url"], frame["html"], frame["refers"].astype(object), strict=True):
+            for page_id, url, html, refers in zip(frame["page_id"], frame["url"], frame["html"], frame["refers"], strict=True):
                 if out is None:
                     name = f"pages-{shard:05d}-{part:05d}.warc.gz"
                     out = Committed(folder, name)
-                data = record(None if pd.isna(page_id) else int(page_id), url, (html or "").encode("utf-8", "surrogatepass"), None if pd.isna(refers) else int(refers), date)
+                data = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date)
                 out.write(data)
                 count, crc = count + 1, zlib.crc32(data, crc)
                 if out.size >= roll_bytes:
@@ -134,13 +134,14 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, block
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+#: Ids are text outside Spark, for pandas would round a nullable integer beyond 2**53.
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
 
 
 def _read(folder: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
-        table = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        table = lambda rows: pd.DataFrame(rows, columns=names, dtype=object).astype({"payload_bytes": "int64"})
         for frame in frames:
             for name, count, size, crc in zip(frame["name"], frame["records"], frame["bytes"], frame["crc32"], strict=True):
                 rows = []
@@ -153,7 +154,7 @@ def _read(folder: str):
                         if head["WARC-Block-Digest"] != f"sha1:{sha1(block)}" or response and (sha1(payload) != digest or len(payload) != length):
                             raise ValueError(f"{name}: a record differs from its digest")
                         page, refers = head.get("X-Page-Id"), head.get("X-Refers-To-Page")
-                        rows.append((page and int(page), length, digest, head["WARC-Type"], refers and int(refers), head["WARC-Target-URI"]))
+                        rows.append((page, length, digest, head["WARC-Type"], refers, head["WARC-Target-URI"]))
                         count -= 1
                         if len(rows) >= 5000:
                             yield table(rows)
@@ -184,7 +185,8 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the files that the manifest lists, which are dealt to as many tasks."""
     files = manifest.select("name", "records", "bytes", "crc32")
-    return files.repartition(max(1, manifest.count()), "name").mapInPandas(_read(folder), RECORD)
+    out = files.repartition(max(1, manifest.count()), "name").mapInPandas(_read(folder), RECORD)
+    return out.select(*(F.col(c).cast("long").alias(c) if c in ("page_id", "refers_to") else c for c in out.columns))
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
