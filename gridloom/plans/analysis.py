@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as px
 from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import joins as jn
+from ..operators import overlay as ov
 from ..operators import retrieve as rt
 from ..operators import temporal as tm
 from ..operators import vector as vc
@@ -239,3 +240,60 @@ T1 = f"least({_part('bx - ax', 'ax', 'm.x1', 'm.x2', False)}, {_part('bv - av',
 def v12_visible(t: DataFrame, m: DataFrame) -> DataFrame:
     s = t.select(C("fid").alias("sid"), C("x1").alias("ax"), C("y1").alias("ay"), (C("x2") + 20).alias("bx"), (C("y2") - 35).alias("by"))
     return vc.visible(s, m, 50.0).select("sid")
+
+
+def rings(*points: tuple[str, str]) -> Column:
+    """One ring of the points (SQL of x, SQL of y)."""
+    return F.array(F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in points)))
+
+
+BOX = (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))
+#: A diamond in the box's middle, as wide as high.
+DIAMOND = (("x1", "y1 + 4"), ("x1 + 4", "y1"), ("x1 + 8", "y1 + 4"), ("x1 + 4", "y1 + 8"))
+
+
+def boxes(t: DataFrame) -> DataFrame:
+    return t.select("fid", "kind", rings(*BOX).alias("rings"))
+
+
+@plan("rect_targets rect_masks", f"WITH {CUT} SELECT fid, kind, area FROM a JOIN rect_targets USING (fid)")
+def v07_clip_polygons(t: DataFrame, m: DataFrame) -> DataFrame:
+    return ov.clip(boxes(t), boxes(m), 64.0).select("fid", "kind", "area")
+
+
+@plan("rect_targets rect_masks", f"WITH {CUT} SELECT fid, kind, (x2 - x1) * (y2 - y1) - coalesce(area, 0) AS area FROM rect_targets LEFT JOIN a USING (fid) WHERE (x2 - x1) * (y2 - y1) - coalesce(area, 0) > 0")
+def v08_erase_polygons(t: DataFrame, m: DataFrame) -> DataFrame:
+    return ov.erase(boxes(t), boxes(m), 64.0).select("fid", "kind", "area")
+
+
+# Diamonds whose corners lie on the lattice: quarter cells, cut by both diagonals of each lattice square, are wholly in or out.
+QUARTERS = "SELECT unnest([0.5E0, 0.25E0, 0.75E0, 0.5E0]) AS qx, unnest([0.25E0, 0.5E0, 0.5E0, 0.75E0]) AS qy"
+
+
+@plan("rect_targets", f"WITH d AS (SELECT kind, x1 + 4 AS cx, y1 + 4 AS cy, unnest(range(-4, 4)) AS i FROM rect_targets), e AS (SELECT kind, cx, cy, i, unnest(range(-4, 4)) AS j FROM d), q AS ({QUARTERS}), c AS (SELECT DISTINCT kind, cx + i + qx AS x, cy + j + qy AS y FROM e CROSS JOIN q WHERE abs(i + qx) + abs(j + qy) < 4) SELECT kind, count(*) * 0.25E0 AS area FROM c GROUP BY 1")
+def v09_dissolve_diamonds(t: DataFrame) -> DataFrame:
+    return ov.dissolve(t.select("kind", rings(*DIAMOND).alias("rings")), ["kind"], 64.0)
+
+
+@plan("rect_targets", "SELECT kind, count(*) * 1.0E0 AS area FROM (SELECT DISTINCT kind, x, y FROM (SELECT kind, y1, y2, unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT))) AS x FROM rect_targets), LATERAL (SELECT unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y)) GROUP BY 1")
+def v09_dissolve_rings(t: DataFrame) -> DataFrame:
+    """The area that the outlines enclose equals that of the union."""
+    outlines = ov.dissolved_rings(boxes(t), ["kind"], 64.0).select("kind", F.explode("rings").alias("ring"))
+    n = F.size("ring")
+    each = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.get("ring", i)["x"] * F.get("ring", (i + 1) % n)["y"] - F.get("ring", (i + 1) % n)["x"] * F.get("ring", i)["y"])
+    return outlines.groupBy("kind").agg(F.sum(each / 2).alias("area"))
+
+
+CHORDS = "2 * 2 * 8 * sin(pi() / 16)"
+
+
+@plan("rect_targets", f"SELECT fid, round_even((x2 - x1) * 4 + {CHORDS}, 4) AS area FROM rect_targets")
+def v06_line_buffer(t: DataFrame) -> DataFrame:
+    line = t.select("fid", F.lit("LineString").alias("type"), rings(("x1", "y1"), ("x2", "y1")).alias("rings"))
+    return ov.dissolve(ov.buffered(line, F.lit(2.0), 8).select("fid", "rings"), ["fid"], 64.0).select("fid", F.bround("area", 4).alias("area"))
+
+
+@plan("rect_targets", f"SELECT fid, round_even((x2 - x1) * (y2 - y1) + 4 * (x2 - x1 + y2 - y1) + {CHORDS}, 4) AS area FROM rect_targets")
+def v06_polygon_buffer(t: DataFrame) -> DataFrame:
+    shape = t.select("fid", F.lit("Polygon").alias("type"), rings(*BOX).alias("rings"))
+    return ov.dissolve(ov.buffered(shape, F.lit(2.0), 8).select("fid", "rings"), ["fid"], 64.0).select("fid", F.bround("area", 4).alias("area"))
