@@ -1,6 +1,7 @@
 """Deterministic sharded WARC output, and its reading.
 
-Records are range-sorted by page and each range is a shard. A shard's task writes gzip members of one record each
+Records are sorted by page (those of one page by a hash of url and html) and cut into shards of equal payload bytes. The cuts come from the exact
+bytes before each record, so shards and files depend on the records alone, not on how the input lies in files or tasks. A shard's task writes gzip members of one record each
 (no time stamps), rolls to the next file when the compressed size passes ``roll_bytes``, makes headers
 and digests anew, and commits each file from a temporary name. The manifest is a Parquet table
 written last: a reader takes only files that it lists, so leftovers of lost tasks never count. Reading checks each file's size,
@@ -16,6 +17,7 @@ columns are read.
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -24,8 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -33,6 +34,8 @@ from .files import Committed, open_input
 
 #: Groups of equal payloads up to this number (about 100 bytes each) are broadcast to the pages; more are shuffled.
 BROADCAST_GROUPS = 100_000
+#: Shards at most; their first keys (16 bytes each) go to the driver and to tasks.
+MOST_SHARDS = 100_000
 SPACE_OF_IDS = uuid.UUID("5c0f5a52-7f0e-5b0e-9e39-2f6a1d0c7a11")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,7 +78,7 @@ MANIFEST = "shard int, part int, name string, records long, bytes long, crc32 lo
 
 def _write(folder: str, roll_bytes: int, date: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, part, out, count, crc = TaskContext.get().partitionId(), 0, None, 0, 0
+        shard, part, out, count, crc = -1, 0, None, 0, 0
         done = []
 
         def close() -> None:
@@ -85,7 +88,11 @@ def _write(folder: str, roll_bytes: int, date: str):
             out, part, count, crc = None, part + 1, 0, 0
 
         for frame in frames:
-            for page_id, url, html, refers in zip(frame["page_id"], frame["url"], frame["html"], frame["refers"], strict=True):
+            for of, page_id, url, html, refers in zip(frame["shard"].tolist(), frame["page_id"], frame["url"], frame["html"], frame["refers"], strict=True):
+                if of != shard:
+                    if out is not None:
+                        close()
+                    shard, part = of, 0
                 if out is None:
                     name = f"pages-{shard:05d}-{part:05d}.warc.gz"
                     out = Committed(folder, name)
@@ -166,20 +173,53 @@ def _read(folder: str):
     return run
 
 
+def shard_starts(keys: DataFrame, shard_bytes: int, scratch: Scratch) -> list[tuple[int, int]]:
+    """The first (k1, k2) of each shard, by the exact bytes of all records (k1, k2, size) before it.
+
+    Records are placed by a range sort; where its partitions begin doesn't matter, for only sums over whole partitions and
+    within one are added up.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keys.repartitionByRange(parts, "k1", "k2").sortWithinPartitions("k1", "k2").withColumn("at", F.monotonically_increasing_id())
+    placed = scratch.keep(placed, "placed").withColumn("part", F.shiftright("at", 33))
+    sums = placed.groupBy("part").agg(F.sum("size").alias("bytes"))
+    before = sums.select("part", (F.sum("bytes").over(Window.orderBy("part")) - F.col("bytes")).alias("before"))  # a row a partition
+    inside = F.sum("size").over(Window.partitionBy("part").orderBy("at")) - F.col("size")
+    offset = placed.withColumn("inside", inside).join(F.broadcast(before), "part").select("k1", "k2", F.floor((F.col("before") + F.col("inside")) / shard_bytes).alias("shard"))
+    first = offset.groupBy("shard").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    return sorted((r["k"]["k1"], r["k"]["k2"]) for r in first.collect())
+
+
+def shard_of(starts: list[tuple[int, int]]):
+    """A column function: the number of the shard that a key falls into."""
+
+    @F.pandas_udf("int")
+    def find(k1: pd.Series, k2: pd.Series) -> pd.Series:
+        return pd.Series([max(0, bisect.bisect_right(starts, k) - 1) for k in zip(k1.tolist(), k2.tolist(), strict=True)], dtype="int32")
+
+    return find
+
+
 def write_warc(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int = 64 << 20, least_bytes: int = 0, shard_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write the archive and return its manifest, a committed table."""
+    """Write the archive and return its manifest, a committed table. Shards grow beyond ``shard_bytes`` once there would be over ``MOST_SHARDS``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    none = F.col("page_id").isNull()
+    # null ids last; the second key tells records of one page apart
+    order = {"k1": F.coalesce("page_id", F.lit(2**63 - 1)), "k2": F.xxhash64("url", "html").bitwiseAND(F.lit(2**62 - 1)) + F.when(none, F.lit(2**62)).otherwise(F.lit(0))}
     keys = pages.select("page_id", F.sha2(payload, 256).alias("key"), F.length(payload).alias("size"))
     groups = keys.filter(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("key", "last")
     groups = scratch.keep(groups, "groups")
     few = groups.count() <= BROADCAST_GROUPS
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    full = pages.withColumn("key", F.sha2(payload, 256)).join(F.broadcast(groups) if few else groups, "key", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers")
-    ranged = full.select("page_id", "url", "html", refers).repartitionByRange(shards, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url", "html")
-    return scratch.keep(ranged.mapInPandas(_write(folder, roll_bytes, date), MANIFEST), "manifest")
+    sizes = pages.withColumns(order).select("k1", "k2", F.length(payload).cast("long").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    starts = shard_starts(sizes, max(shard_bytes, -(-total // MOST_SHARDS)), scratch)
+    full = pages.withColumns(order).withColumn("key", F.sha2(payload, 256)).join(F.broadcast(groups) if few else groups, "key", "left")
+    refers = F.when(none | (F.col("page_id") < F.col("last")), F.col("last"))
+    dealt = full.select("k1", "k2", "page_id", "url", "html", refers.alias("refers")).withColumn("shard", shard_of(starts)("k1", "k2"))
+    dealt = dealt.repartitionById(max(1, len(starts)), "shard").sortWithinPartitions("shard", "k1", "k2", "url", "html")
+    dealt = dealt.select("shard", F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers").cast("string").alias("refers"))
+    return scratch.keep(dealt.mapInPandas(_write(folder, roll_bytes, date), MANIFEST), "manifest")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_ids_through_the_pipeline(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         out = [r.doc_id for r in stage(spark, kept, "/root/testdata/sf0.001").collect()]
         assert set(out) <= set(IDS) and (name == "ngram_jaccard_join" or name == "line_dedup" or len(out) == 4)
+
+
+def test_op4_shards_do_not_depend_on_the_layout(spark):
+    from gridloom.llm.common import Scratch
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice([i, i, i, 5, None]), f"u{i % 7}", "x" * rnd.randrange(600)) for i in range(20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for layout in (pages.coalesce(1), pages.repartition(7), pages.repartition(3, "url"), pages.repartition(3, "url")):
+        scratch = Scratch(spark, "layout")
+        manifest = warc.write_warc(layout, f"{scratch.root}/archive", scratch, roll_bytes=20_000, shard_bytes=300_000)
+        found.append(sorted(map(tuple, manifest.collect())))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert len({r[0] for r in found[0]}) == 21 and len(found[0]) > 21
+    assert sum(r[3] for r in found[0]) == len(rows)
