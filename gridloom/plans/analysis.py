@@ -284,7 +284,7 @@ def v09_dissolve_rings(t: DataFrame) -> DataFrame:
     return outlines.groupBy("kind").agg(F.sum(each / 2).alias("area"))
 
 
-CHORDS = "2 * 2 * 8 * sin(pi() / 16)"
+CHORDS = "16 * 2 * 2 * sin(pi() / 16)"
 
 
 @plan("rect_targets", f"SELECT fid, round_even((x2 - x1) * 4 + {CHORDS}, 4) AS area FROM rect_targets")
