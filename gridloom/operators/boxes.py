@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from .joins import box_candidates
+from .ranks import largest_after, next_row, placed, running_sums
+from .rounds import Rounds
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -100,28 +102,27 @@ def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 def average_precision(flags: DataFrame, totals: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Step AP: rows with a flag ``tp`` in order, ``totals`` with n_gt per key; precision envelope times the rises of recall."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = flags.join(totals, keys).withColumns({"tps": F.sum(F.col("tp").cast("long")).over(run), "n": F.count("*").over(run)})
-    rows = rows.withColumns({"recall": F.coalesce(F.try_divide(F.col("tps") * 1.0, F.col("n_gt")), F.lit(0.0)), "precision": F.col("tps") / F.col("n")})
-    back = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"top": F.max("precision").over(back), "before": F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy("n")), F.lit(0.0))})
+    rounds = Rounds(flags.sparkSession, "precision")
+    rows = placed(flags.join(totals, keys), [*keys, *order], rounds)
+    rows = running_sums(rows, keys, {"tps": F.col("tp").cast("long"), "n": F.lit(1)})
+    share = lambda hits: F.coalesce(F.try_divide(hits * 1.0, F.col("n_gt")), F.lit(0.0))
+    rows = rows.withColumns({"recall": share(F.col("tps")), "before": share(F.col("tps") - F.col("tp").cast("long")), "precision": F.col("tps") / F.col("n")})
+    rows = largest_after(rows, keys, "precision", "top")
     ap = rows.groupBy(*keys).agg(F.sum(F.col("top") * (F.col("recall") - F.col("before"))).alias("ap"))
     return totals.join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def interpolated_precision(flags: DataFrame, totals: DataFrame, keys: list[str], order: list, eps: float = 1e-16) -> DataFrame:
     """AP as the trapezoid over 101 recall points of the interpolated precision envelope, with end points (0, 1) and (1, 0)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = flags.join(totals, keys).withColumns({"tps": F.sum(F.col("tp").cast("long")).over(run), "n": F.count("*").over(run)})
-    rows = rows.select(*keys, (F.col("tps") / (F.col("n_gt") + eps)).alias("r"), (F.col("tps") / F.col("n")).alias("p"), F.col("n").alias("at"))
+    rounds = Rounds(flags.sparkSession, "interpolated")
+    rows = placed(flags.join(totals, keys), [*keys, *order], rounds)
+    rows = running_sums(rows, keys, {"tps": F.col("tp").cast("long"), "n": F.lit(1)})
+    rows = rows.select(*keys, (F.col("tps") / (F.col("n_gt") + eps)).alias("r"), (F.col("tps") / F.col("n")).alias("p"), F.col("n").cast("long").alias("at"))
     ends = totals.select(*keys, F.explode(F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(0).cast("long").alias("at")), F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(1 << 60).alias("at")))).alias("e")).select(*keys, "e.*")
-    rows = rows.unionByName(ends)
-    o = Window.partitionBy(*keys).orderBy("at")
-    rows = rows.withColumn("p", F.max("p").over(Window.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = placed(rows.unionByName(ends), [*keys, "at"], rounds)
+    rows = largest_after(rows, keys, "p", "top").drop("p").withColumnRenamed("top", "p")
     # recall points lie between a row and the next one; equal recalls take the last row, as interpolation does
-    rows = rows.withColumns({"r2": F.lead("r").over(o), "p2": F.lead("p").over(o)})
+    rows = next_row(rows, keys, ["r", "p"], "next").withColumns({"r2": F.col("next.r"), "p2": F.col("next.p")})
     points = F.explode(F.sequence(F.ceil(F.bround(F.col("r") * 100, 9)), F.floor(F.bround(F.least("r2", F.lit(1.0)) * 100, 9))))
     spans = rows.filter((F.col("r2") > F.col("r")) & (F.ceil(F.bround(F.col("r") * 100, 9)) <= F.floor(F.bround(F.least("r2", F.lit(1.0)) * 100, 9)))).withColumn("k", points)
     at = F.col("p") + (F.col("k") / 100 - F.col("r")) * (F.col("p2") - F.col("p")) / (F.col("r2") - F.col("r"))

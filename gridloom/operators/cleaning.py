@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pixels import bands_of, scale_bands
+from .stats import column_quantiles
 
 
 def finite(c: Column) -> Column:
@@ -42,17 +43,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Missing values become the column's median (interpolated, or approximate for very large inputs)."""
-    median = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approximate else F.median
-    one = df.agg(*(median(c).alias(f"_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(one))  # one row
-    return out.select(*(F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))
+    out = df.crossJoin(F.broadcast(column_quantiles(df, columns, [0.5], approximate)))  # one row
+    return out.select(*(F.coalesce(c, F.get(f"_{c}", F.lit(0))).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def clip_quantiles(df: DataFrame, columns: list[str], lo: float = 0.005, hi: float = 0.995, approximate: bool = False) -> DataFrame:
     """Values beyond the column's quantiles become the quantile; all columns in one aggregation."""
-    quantiles = (lambda c: F.percentile_approx(c, [lo, hi], 10000)) if approximate else (lambda c: F.percentile(c, F.array(F.lit(lo), F.lit(hi))))
-    one = df.agg(*(quantiles(c).alias(f"_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(one))  # one row
+    out = df.crossJoin(F.broadcast(column_quantiles(df, columns, [lo, hi], approximate)))  # one row
     bound = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, F.get(f"_{c}", F.lit(0))), F.get(f"_{c}", F.lit(1))))
     return out.select(*(bound(c).alias(c) if c in columns else F.col(c) for c in df.columns))
 

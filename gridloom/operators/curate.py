@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed, running_sums
+from .rounds import Rounds
+
 #: Count rules of the exact splits: (train, validation, test) from the number of rows.
 SPLIT_RULES: dict[str, Callable[[int], tuple[int, int, int]]] = {
     "truncate": lambda n: (int(n * 0.7), int(n * 0.2), n - int(n * 0.7) - int(n * 0.2)),
@@ -43,8 +46,11 @@ def bucket_split(df: DataFrame, key: str, weights: tuple[float, float, float] =
 
 
 def sample_per_split(df: DataFrame, split: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(split).orderBy(seeded_order(key, seed), key)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    """The first ``n`` rows of each split in seeded order. Each of 64 parts of a split keeps its first ones before they meet."""
+    order = [seeded_order(key, seed), F.col(key)]
+    part = F.pmod(F.xxhash64(seeded_order(key, seed)), F.lit(64))
+    first = df.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(split, "_part").orderBy(*order))).filter(F.col("_n") <= n)
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(split).orderBy(*order))).filter(F.col("_n") <= n).drop("_n", "_part")
 
 
 def oversample(df: DataFrame, rare: Column, variants: int = 7, augmented: Column | None = None) -> DataFrame:
@@ -61,7 +67,7 @@ def coco_tables(regions: DataFrame, classes: DataFrame) -> DataFrame:
     """Annotations with running ids over images then regions; background and unknown classes are skipped; boxes truncate."""
     rows = regions.join(classes, "class_name")
     per_image = rows.groupBy("image_id").agg(F.count("*").alias("_m"))
-    base = per_image.select("image_id", (F.sum("_m").over(Window.orderBy("image_id")) - F.col("_m")).alias("_o"))  # a row an image
+    base = running_sums(placed(per_image, ["image_id"], Rounds(regions.sparkSession, "coco")), [], {"_end": "_m"}).select("image_id", (F.col("_end") - F.col("_m")).alias("_o"))
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy("region_id")) + F.col("_o")
     return rows.join(base, "image_id").select(rank.cast("long").alias("id"), "image_id", "category_id", "region_id", F.col("bx").cast("int").alias("x"), F.col("bv").cast("int").alias("y"), F.col("bw").cast("int").alias("w"), F.col("bh").cast("int").alias("h"), (F.col("bw") * F.col("bh")).alias("area"))
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed, running_sums, unplaced
 from .rounds import Rounds, components_of
 from .stats import majority
 
@@ -243,4 +244,5 @@ def dihedral(df: DataFrame, size: int) -> DataFrame:
 
 def mosaic_offsets(images: DataFrame) -> DataFrame:
     """x offset of each image side by side in list order (no, width)."""
-    return images.withColumn("offset", F.coalesce(F.sum("width").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row an image
+    rows = running_sums(placed(images, ["no"], Rounds(images.sparkSession, "mosaic")), [], {"offset": "width"})
+    return unplaced(rows.withColumn("offset", F.col("offset") - F.col("width")))

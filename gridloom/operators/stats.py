@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+from .rounds import Rounds
 
-def percentiles(c: Column, shares: list[float], approximate: bool) -> Column:
-    """Exact and interpolated; or approximate within 1 in 10,000 ranks, for columns of too many distinct values to hold."""
-    return F.percentile_approx(c, shares, 10000) if approximate else F.percentile(c, F.array(*map(F.lit, shares)))
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], approximate: bool = False) -> DataFrame:
+    """(by, q): exact and interpolated, by ranks of distinct values; or approximate within 1 in 10,000 ranks, in one pass."""
+    if approximate:
+        return rows.groupBy(*by).agg(F.percentile_approx(value, shares, 10000).alias("q"))
+    return quantiles(rows, by, value, shares, Rounds(rows.sparkSession, "quantiles"))
 
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -16,12 +21,19 @@ def long_form(df: DataFrame, columns: list[str], keys: list[str] | None = None)
 
 
 def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles, max of each column in one pass over the long form."""
-    q = percentiles(F.col("value"), [0.25, 0.5, 0.75], approximate)
-    out = long_form(df, columns).groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), q.alias("q"), F.max("value").alias("hi"))
+    """count, mean, std, min, quartiles, max of each column over the long form."""
+    rows = long_form(df, columns)
+    q = percentiles(rows, ["column"], "value", [0.25, 0.5, 0.75], approximate)  # one row a column
+    out = rows.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).join(F.broadcast(q), "column", "left")
     return out.select("column", "n", "mean", "std", "lo", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "hi")
 
 
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float], approximate: bool = False) -> DataFrame:
+    """One row: for each column ``_<column>``, the array of its quantiles."""
+    q = percentiles(long_form(df, columns), ["column"], "value", shares, approximate)
+    return q.agg(*(F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"_{c}") for c in columns))
+
+
 def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
     out = long_form(df, columns).groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), (100.0 * F.count_if(F.col("value").isNull()) / F.count("*")).alias("pct"))
     return out.filter("n_missing > 0")
@@ -30,7 +42,7 @@ def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Values strictly beyond 1.5 interquartile ranges."""
     rows = long_form(df, columns)
-    q = rows.groupBy("column").agg(percentiles(F.col("value"), [0.25, 0.75], approximate).alias("q"))
+    q = percentiles(rows, ["column"], "value", [0.25, 0.75], approximate)
     q = q.select("column", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))  # one row a column
     beyond = (F.col("value") < F.col("a") - 1.5 * (F.col("b") - F.col("a"))) | (F.col("value") > F.col("b") + 1.5 * (F.col("b") - F.col("a")))
     return rows.join(F.broadcast(q), "column").groupBy("column").agg(F.count_if(beyond).alias("n_outliers"))
@@ -76,8 +88,9 @@ def histogram(df: DataFrame, column: str, scale: int, by: list[str]) -> DataFram
 
 def valid_percentiles(df: DataFrame, column: str, nodata: float, lo: float, hi: float, by: list[str], approximate: bool = False) -> DataFrame:
     """Percentiles (0..100) without nodata; a low end below 0 becomes 0."""
-    q = percentiles(F.nullif(F.col(column), F.lit(nodata)), [lo / 100, hi / 100], approximate)
-    return df.groupBy(*by).agg(q.alias("q")).select(*by, F.greatest(F.get("q", F.lit(0)), F.lit(0.0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    rows = df.select(*by, F.nullif(F.col(column), F.lit(nodata)).alias("value"))
+    q = df.select(*by).distinct().join(percentiles(rows, by, "value", [lo / 100, hi / 100], approximate), by, "left")
+    return q.select(*by, F.greatest(F.get("q", F.lit(0)), F.lit(0.0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
 def stretch_8bit(df: DataFrame, column: str, bounds: DataFrame, nodata: float, by: list[str], variant: str = "floor") -> DataFrame:
@@ -89,7 +102,7 @@ def stretch_8bit(df: DataFrame, column: str, bounds: DataFrame, nodata: float, b
 
 
 def stretch_2_98(df: DataFrame, column: str, by: list[str], approximate: bool = False) -> DataFrame:
-    q = df.groupBy(*by).agg(percentiles(F.col(column), [0.02, 0.98], approximate).alias("q"))
+    q = df.select(*by).distinct().join(percentiles(df, by, column, [0.02, 0.98], approximate), by, "left")
     q = q.select(*by, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     v = F.least(F.greatest(F.col(column), F.col("lo")), F.col("hi"))
     byte = F.when(F.col(column).isNotNull(), (F.bround((v - F.col("lo")) * 255 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)), 6)).cast("int"))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank, largest_after, placed, running_sums, unplaced
+from .rounds import Rounds
+
 
 def axis_ranks(df: DataFrame, column: str, name: str, descending: bool = False) -> DataFrame:
     """Rank of each distinct coordinate. Only the distinct values are ranked, never the pixels."""
     order = F.col(column).desc() if descending else F.col(column)
-    return df.select(column).distinct().withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = global_rank(df.select(column).distinct(), [order], name, Rounds(df.sparkSession, "axis"))
+    return ranked.withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def grid_index(df: DataFrame, value: str, order: Column) -> DataFrame:
@@ -35,15 +39,13 @@ def cumulative(df: DataFrame, by: list[str], order: str, count: str, inclusive:
 
 def running_matches(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Running true and false positives of rows with a flag ``tp``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"tps": F.sum(F.col("tp").cast("long")).over(w), "fps": F.sum(1 - F.col("tp").cast("long")).over(w)})
+    rows = placed(df, [*by, *order], Rounds(df.sparkSession, "matches"))
+    return unplaced(running_sums(rows, by, {"tps": F.col("tp").cast("long"), "fps": 1 - F.col("tp").cast("long")}))
 
 
 def envelope(df: DataFrame, by: list[str], order: list[Column], column: str) -> DataFrame:
-    """Largest value of this and all later rows: a running maximum from the last row on, which looks at each row once."""
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    w = Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("envelope", F.max(column).over(w)).drop("_n")
+    """Largest value of this and all later rows."""
+    return unplaced(largest_after(placed(df, [*by, *order], Rounds(df.sparkSession, "envelope")), by, column, "envelope"))
 
 
 def phase_change(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
