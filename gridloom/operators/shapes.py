@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import box_candidates
+
 
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Points kept, with a stack instead of recursion."""
@@ -39,15 +41,20 @@ def simplify(df: DataFrame, key: str, tolerance: float) -> DataFrame:
     return df.select(key, "xs", "ys").mapInPandas(run, f"{key} {kind}, xs array<double>, ys array<double>")
 
 
-def invalid_rings(df: DataFrame, key: str) -> DataFrame:
-    """Keys of rings (edges key, no, x1, y1, x2, y2) that are open, have fewer than four points, or cross themselves."""
+def invalid_rings(df: DataFrame, key: str, cell: float = 64.0) -> DataFrame:
+    """Keys of rings (edges key, no, x1, y1, x2, y2) that are open, have fewer than four points, or cross themselves.
+
+    Edges of a ring meet on the grid cells that their bounds cover, so a ring of many edges isn't joined with itself.
+    """
     n = df.groupBy(key).agg(F.count("*").alias("n"), F.max_by(F.struct("x2", "y2"), "no").alias("last"), F.min_by(F.struct("x1", "y1"), "no").alias("first"))
     short = n.filter((F.col("n") < 3) | (F.col("first.x1") != F.col("last.x2")) | (F.col("first.y1") != F.col("last.y2"))).select(key)
-    a, b = df.alias("a"), df.alias("b")
+    ends = F.struct("x1", "y1", "x2", "y2").alias("e")
+    bounds = df.select(key, "no", ends, *(f(a, b).alias(n) for f, a, b, n in ((F.least, "x1", "x2", "x1"), (F.least, "y1", "y2", "y1"), (F.greatest, "x1", "x2", "x2"), (F.greatest, "y1", "y2", "y2"))))
+    met = box_candidates(bounds, bounds, cell, [key]).filter("no_a < no_b")
 
-    def side(p: str, q: str, r: str, x: str, y: str):
-        return (F.col(f"{q}.x2") - F.col(f"{p}.x1")) * (F.col(y) - F.col(f"{p}.y1")) - (F.col(f"{q}.y2") - F.col(f"{p}.y1")) * (F.col(x) - F.col(f"{p}.x1"))
+    def side(p: str, x: str, y: str):
+        """On which side of edge p a point lies."""
+        return (F.col(f"{p}.x2") - F.col(f"{p}.x1")) * (F.col(y) - F.col(f"{p}.y1")) - (F.col(f"{p}.y2") - F.col(f"{p}.y1")) * (F.col(x) - F.col(f"{p}.x1"))
 
-    cross = (side("a", "a", "b", "b.x1", "b.y1") * side("a", "a", "b", "b.x2", "b.y2") < 0) & (side("b", "b", "a", "a.x1", "a.y1") * side("b", "b", "a", "a.x2", "a.y2") < 0)
-    hit = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.no") < F.col("b.no")) & cross).select(F.col(f"a.{key}").alias(key))
-    return short.union(hit).distinct()
+    apart = lambda p, q: side(p, f"{q}.x1", f"{q}.y1") * side(p, f"{q}.x2", f"{q}.y2") < 0
+    return short.union(met.filter(apart("e_a", "e_b") & apart("e_b", "e_a")).select(key)).distinct()

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as px
+from ..functions import sql as sf
 from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import joins as jn
 from ..operators import overlay as ov
 from ..operators import retrieve as rt
+from ..operators import shapes as sh
 from ..operators import temporal as tm
 from ..operators import vector as vc
 from ..operators import windows as wd
@@ -297,3 +299,32 @@ def v06_line_buffer(t: DataFrame) -> DataFrame:
 def v06_polygon_buffer(t: DataFrame) -> DataFrame:
     shape = t.select("fid", F.lit("Polygon").alias("type"), rings(*BOX).alias("rings"))
     return ov.dissolve(ov.buffered(shape, F.lit(2.0), 8).select("fid", "rings"), ["fid"], 64.0).select("fid", F.bround("area", 4).alias("area"))
+
+
+def ring_edges(t: DataFrame, corners: Column) -> DataFrame:
+    """Edges (fid, no, x1, y1, x2, y2) between the corners, the last to the first."""
+    each = t.select("fid", F.posexplode(corners).alias("no", "a"), corners.alias("ring"))
+    b = F.get("ring", F.pmod(C("no") + 1, F.size("ring")))
+    return each.select("fid", "no", C("a.x").alias("x1"), C("a.y").alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+
+@plan("rect_targets", "SELECT fid FROM rect_targets WHERE fid % 7 = 0 OR fid % 11 = 0")
+def v02_ring_validity(t: DataFrame) -> DataFrame:
+    """Every seventh ring has two corners swapped and crosses itself, every eleventh lacks its last edge."""
+    a, b, c, d = (F.struct(C(x).alias("x"), C(y).alias("y")) for x, y in BOX)
+    edges = ring_edges(t, F.when(C("fid") % 7 == 0, F.array(a, c, b, d)).otherwise(F.array(a, b, c, d)))
+    return sh.invalid_rings(edges.filter("fid % 11 <> 0 or no < 3"), "fid", 16.0)
+
+
+@plan("rect_targets", "SELECT fid, CASE WHEN fid % 5 > 2 THEN 4 ELSE 3 END AS n_points FROM rect_targets")
+def c10_simplify(t: DataFrame) -> DataFrame:
+    """A bend of ``fid % 5`` off the straight line goes up to a tolerance of 2, one of 50 stays."""
+    line = t.select("fid", F.array("x1", (C("x1") + C("x2")) / 2, "x2", C("x2") + 1).alias("xs"), F.array("y1", C("y1") + C("fid") % 5, "y1", C("y1") + 50).alias("ys"))
+    return sh.simplify(line, "fid", 2.0).select("fid", F.size("xs").alias("n_points"))
+
+
+@plan("pixels", f"SELECT x, y, round_even({NDVI_SQL}, 6) AS v, round_even(2 * 6371.0E0 * asin(sqrt(pow(sin(radians(30.0E0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(30.0E0)) * pow(sin(radians(100.0E0 - lon) / 2), 2))), 4) AS km, round_even(4.0E0 / (16 + (x + 4) * 4 - 4), 6) AS iou FROM pixels")
+def sql_functions(p: DataFrame) -> DataFrame:
+    """Column functions called by name in SQL text."""
+    sf.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT x, y, bround(ndvi(red, nir), 6) AS v, bround(haversine_km(lon, lat, 100.0, 30.0), 4) AS km, bround(box_iou(0, 0, 4, 4, 3, 0, x + 7, 4), 6) AS iou FROM {p}", p=p)

@@ -14,6 +14,91 @@ from .registry import plan
 C = F.col
 
 
+def new_folder(df: DataFrame, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(df.sparkSession)}/gridloom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@plan("documents", "SELECT doc_id, printf('样本%d', doc_id) AS name, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 1 THEN source END AS src FROM documents")
+def s01_read_table(d: DataFrame) -> DataFrame:
+    """Delimited files of two encodings and different columns, found by a glob and united by name."""
+    out, spark = new_folder(d, "tables"), d.sparkSession
+    rows = d.select("doc_id", F.format_string("样本%d", "doc_id").alias("name"), "lang", C("source").alias("src"))
+    rows.filter("doc_id % 2 = 0").drop("src").write.csv(f"{out}/utf", header=True)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows.filter("doc_id % 2 = 1").drop("lang").write.csv(f"{out}/other", header=True, encoding="gbk")
+    back, rejects = io.read_table(spark, f"{out}/*/*.csv")
+    return back.select(C("doc_id").cast("long").alias("doc_id"), "name", "lang", "src").join(rejects.select(F.lit(None).cast("long").alias("doc_id")), "doc_id", "left_anti")
+
+
+@plan("documents", "SELECT doc_id, lang, n_chars FROM documents")
+def s04_json_lines(d: DataFrame) -> DataFrame:
+    out = new_folder(d, "lines")
+    d.select("doc_id", "lang", "n_chars").write.json(out)
+    return io.read_json(d.sparkSession, out).select("doc_id", "lang", C("n_chars").cast(d.schema["n_chars"].dataType).alias("n_chars"))
+
+
+@plan("documents", "SELECT CAST(doc_id AS VARCHAR) AS line, lang FROM documents")
+def s06_document_files(d: DataFrame) -> DataFrame:
+    """Whole files of a folder tree; a file a language, cut into its lines again."""
+    out = new_folder(d, "corpus")
+    d.select(C("doc_id").cast("string").alias("value"), "lang").write.partitionBy("lang").text(out)
+    files = io.read_documents(d.sparkSession, [out], "*.txt")
+    lines = files.select(F.regexp_extract("source", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line <> ''").select("line", "lang")
+
+
+@plan("boxes_gt", "SELECT image_id, label, CAST(x1 AS INT) AS x1, CAST(y2 AS INT) AS y2, 1000 AS width FROM boxes_gt")
+def s07_boxes_from_voc(b: DataFrame) -> DataFrame:
+    """A box and an empty one of each annotation; the empty ones go."""
+    shape = "<object><name>%s</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>"
+    xml = F.format_string(f"<annotation><size><width>1000</width><height>900</height></size>{shape}{shape}</annotation>", "label", "x1", "y1", "x2", "y2", F.lit("none"), "x1", "y1", "x1", "y2")
+    return io.boxes_from_voc(b.select("image_id", xml.alias("t")), "t").select("image_id", "label", "x1", "y2", "width")
+
+
+@plan("rect_targets", "SELECT fid, CASE WHEN fid % 2 = 0 THEN 'lava' ELSE 'dolomite' END AS label, CASE WHEN fid % 2 = 0 THEN 1 ELSE 2 END AS class_id, 4 AS n_points, x2 AS third_x FROM rect_targets")
+def s09_features_from_labelme(t: DataFrame) -> DataFrame:
+    """Polygons only: the other shapes of a file are skipped."""
+    points = "[[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f]]"
+    text = F.format_string('{"shapes":[{"label":"%s","shape_type":"polygon","points":' + points + '},{"label":"line","shape_type":"line","points":[[0,0],[1,1]]}]}', F.when(C("fid") % 2 == 0, "lava").otherwise("dolomite"), "x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")
+    out = io.features_from_labelme(t.select("fid", text.alias("t")), "t", {"lava": 1, "dolomite": 2})
+    return out.select("fid", "label", "class_id", F.size("points").alias("n_points"), C("points")[2][0].alias("third_x"))
+
+
+@plan("pixels", "SELECT lon AS longitude, lat AS latitude, red, green, blue, nir FROM pixels")
+def s10_read_pixels(p: DataFrame) -> DataFrame:
+    out = new_folder(p, "pixels")
+    p.select(C("lon").alias("longitude"), C("lat").alias("latitude"), "red", "green", "blue", "nir", "scene").write.parquet(out)
+    return io.read_pixels(p.sparkSession, out).select(*io.ORDINARY_COLUMNS)
+
+
+@plan("pixels", "SELECT CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y, printf('%.6f', red) AS red, CAST(water_mask AS VARCHAR) AS water_mask, printf('%.6f', nir) AS nir FROM pixels")
+def s11_write_csv(p: DataFrame) -> DataFrame:
+    """Fixed decimals as text, the mask column last."""
+    out = new_folder(p, "csv")
+    io.write_csv(p.select("x", "water_mask", "y", "red", "nir"), out, last="water_mask", most_rows=5000)
+    back = p.sparkSession.read.csv(out, header=True)
+    return back.select("x", "y", "red", "nir", C(back.columns[-1]).alias("water_mask"))
+
+
+@plan("pixels", "SELECT scene, count(*) AS n, max(red) AS hi FROM pixels GROUP BY 1")
+def s13_write_stats(p: DataFrame) -> DataFrame:
+    out = new_folder(p, "stats")
+    io.write_stats(p.groupBy("scene").agg(F.count("*").alias("n"), F.max("red").alias("hi")), out)
+    return io.read_json(p.sparkSession, out).select(C("scene").cast("int").alias("scene"), "n", "hi")
+
+
+@plan("boxes_gt", "SELECT box_id AS id, image_id, label AS name, x2 - x1 AS w FROM boxes_gt")
+def s14_write_coco(b: DataFrame) -> DataFrame:
+    """Three line files, joined by id when they are read."""
+    out = new_folder(b, "coco")
+    names = b.select(C("label").alias("name")).distinct().select(F.xxhash64("name").alias("id"), "name")
+    io.write_coco(b.select(C("image_id").alias("id")).distinct(), b.select(C("box_id").alias("id"), "image_id", F.xxhash64("label").alias("category_id"), (C("x2") - C("x1")).alias("w")), names, out)
+    part = lambda name: io.read_json(b.sparkSession, f"{out}/{name}")
+    rows = part("annotations").join(part("categories").withColumnRenamed("id", "category_id"), "category_id").join(part("images").withColumnRenamed("id", "image_id"), "image_id")
+    return rows.select("id", "image_id", "name", "w")
+
+
 @plan("documents", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents")
 def s02_union_files(d: DataFrame) -> DataFrame:
     return io.union_files([d.filter("doc_id % 2 = 0").select("doc_id", "lang"), d.filter("doc_id % 2 = 1").select("doc_id", "source")])

@@ -41,7 +41,16 @@ def x04_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.newest(spark, f"{out}/rows").select("user_id", "event_id")
 
 
+def x03_stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark's delay spans the table, so no row is late."""
+    out = folder(spark, "daily")
+    st.keep_daily_statistics(drops(spark, sf_dir), "ts", "value", f"{out}/rows", f"{out}/progress", "3650 days").awaitTermination()
+    days = st.newest_days(spark, f"{out}/rows")
+    return days.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", F.bround("mean", 6).alias("mean"), "lo", "hi")
+
+
 for run, sql in (
+    (x03_stream_statistics, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(value) AS n, round_even(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1"),
     (x01_file_drop, "SELECT event_id, user_id, value FROM events"),
     (x02_drop_repeats, "SELECT DISTINCT user_id, event_type FROM events"),
     (x04_upsert_latest, "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1"),
