@@ -1,12 +1,10 @@
 """Box matching, suppression and evaluation.
 
-Greedy rules are sequential inside one image (and class); Spark deals images to tasks and a small helper walks each image.
+Greedy rules are settled in rounds over the overlapping pairs, so no task holds an image; what is left of each round is written.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,37 +25,43 @@ def iou_pairs(a: DataFrame, b: DataFrame, on: list[str], cell: float = 64.0) ->
     return box_candidates(a, b, cell, on).withColumn("iou", bx.iou(side("a"), side("b")))
 
 
-def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU matrix of boxes [n, 4] and [m, 4]."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    both = np.maximum(w, 0) * np.maximum(h, 0)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    union = size(a)[:, None] + size(b)[None, :] - both
-    return np.divide(both, union, out=np.zeros_like(both, dtype=float), where=union > 0)
-
-
 def suppress(df: DataFrame, order: str, threshold: float, strict: bool, keys: list[str], most: int | None = None) -> DataFrame:
     """Greedy suppression: walk boxes by ``order`` (descending, then box_id), keep those below the threshold with all kept.
 
-    ``strict`` keeps only IoU < threshold, else IoU <= threshold. The group of one image and class is the unit of work.
+    ``strict`` keeps only IoU < threshold, else IoU <= threshold. Only pairs over the threshold are looked at, in rounds: a box that no
+    open box comes before is kept, and what it overlaps goes. A round settles many boxes of every image at a time, so an image of any
+    number of boxes is dealt to many tasks; rounds are as many as the longest chain of boxes that wait for each other. A box_id names a box.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([order, "box_id"], ascending=[False, True], kind="stable")
-        boxes = frame[list(SIDES)].to_numpy(dtype=float)
-        kept: list[int] = []
-        for i in range(len(boxes)):
-            if kept:
-                over = _iou(boxes[i : i + 1], boxes[kept])[0].max()
-                if over >= threshold if strict else over > threshold:
-                    continue
-            kept.append(i)
-            if most and len(kept) >= most:
-                break
-        return frame.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(one, df.schema)
+    rounds = Rounds(df.sparkSession, "suppress")
+    rows = rounds.keep(df, "boxes")
+    slim = rows.select(*keys, "box_id", F.col(order).alias("by"), *SIDES)
+    pairs = iou_pairs(slim, slim, keys).filter((F.col("by_a") > F.col("by_b")) | (F.col("by_a") == F.col("by_b")) & (F.col("box_id_a") < F.col("box_id_b")))
+    open_ = rounds.keep(pairs.filter(F.col("iou") >= threshold if strict else F.col("iou") > threshold).select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b")), "pairs")
+    gone = None
+    while not open_.isEmpty():
+        firm = open_.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        dead = rounds.keep(firm.select("b").distinct(), "dead")
+        gone = dead if gone is None else gone.union(dead)
+        open_ = rounds.keep(open_.join(dead, "b", "left_anti").join(dead.withColumnRenamed("b", "a"), "a", "left_anti"), "pairs")
+    kept = rows if gone is None else rows.join(gone.withColumnRenamed("b", "box_id"), "box_id", "left_anti").select(df.columns)
+    if most is None:
+        return kept
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), "box_id")
+    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
+def mutual_choices(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """(a, b) of a one-to-one greedy choice over edges (a, b, ra, rb), where ra and rb rank an edge for its two ends, the largest first.
+
+    In each round the edges that are the best of both their ends are taken, and both ends leave; so far ends are settled at a time.
+    """
+    chosen, now = None, rounds.keep(edges, "edges")
+    while not now.isEmpty():
+        best_a, best_b = now.groupBy("a").agg(F.max_by("b", "ra").alias("b")), now.groupBy("b").agg(F.max_by("a", "rb").alias("a"))
+        hit = rounds.keep(best_a.join(best_b, ["a", "b"]).select("a", "b"), "hits")
+        chosen = hit if chosen is None else chosen.union(hit)
+        now = rounds.keep(now.join(hit.select("a"), "a", "left_anti").join(hit.select("b"), "b", "left_anti"), "edges")
+    return edges.select("a", "b").limit(0) if chosen is None else chosen
 
 
 def area_nms(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -76,23 +80,12 @@ def score_nms(df: DataFrame, least: float = 0.25, threshold: float = 0.45, agnos
 
 def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float, order: str = "box_id", descending: bool = False) -> DataFrame:
     """(image_id, box_id, gt_id): each prediction in order takes the best free box of its label with IoU >= threshold, the first of ties."""
-    def one(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([order, "box_id"], ascending=[not descending, True], kind="stable")
-        g = g.sort_values("box_id", kind="stable")
-        rows = []
-        used = np.zeros(len(g), dtype=bool)
-        table = _iou(p[list(SIDES)].to_numpy(float), g[list(SIDES)].to_numpy(float)) if len(p) and len(g) else np.zeros((len(p), len(g)))
-        for i, box in enumerate(p["box_id"].tolist()):
-            free = np.where(used, -1.0, table[i])
-            j = int(free.argmax()) if len(g) else -1
-            if j >= 0 and free[j] >= threshold and free[j] > 0:
-                used[j] = True
-                rows.append((key[0], box, int(g["box_id"].iloc[j])))
-            else:
-                rows.append((key[0], box, None))
-        return pd.DataFrame(rows, columns=["image_id", "box_id", "gt_id"]).astype({"gt_id": "Int64"})
-
-    return pred.groupBy("image_id", "label").cogroup(gt.groupBy("image_id", "label")).applyInPandas(one, "image_id long, box_id long, gt_id long")
+    sign = F.lit(1) if descending else F.lit(-1)
+    slim = pred.select("image_id", "label", "box_id", (F.col(order) * sign).alias("by"), *SIDES)
+    edges = iou_pairs(slim, gt.select("image_id", "label", "box_id", *SIDES), ["image_id", "label"]).filter(F.col("iou") >= threshold)
+    edges = edges.select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"), F.struct("iou", -F.col("box_id_b")).alias("ra"), F.struct("by_a", -F.col("box_id_a")).alias("rb"))
+    chosen = mutual_choices(edges, Rounds(pred.sparkSession, "greedy")).select(F.col("a").alias("box_id"), F.col("b").alias("gt_id"))
+    return pred.select("image_id", "box_id").join(chosen, "box_id", "left").select("image_id", "box_id", "gt_id")
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -152,23 +145,22 @@ def detection_confusion(pred: DataFrame, gt: DataFrame, conf: float = 0.25, thre
 def greedy_confusion(pred: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion by the class-agnostic greedy over all pairs of an image, best IoU first (then later prediction, later ground truth)."""
 
-    def one(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p, g = p.sort_values("box_id"), g.sort_values("box_id")
-        rows, used_p, used_g = [], set(), set()
-        if len(p) and len(g):
-            table = _iou(p[list(SIDES)].to_numpy(float), g[list(SIDES)].to_numpy(float))
-            at = np.argwhere(table >= threshold)
-            for i, j in sorted(map(tuple, at), key=lambda ij: (-table[ij], -ij[0], -ij[1])):
-                if i not in used_p and j not in used_g:
-                    used_p.add(i)
-                    used_g.add(j)
-                    rows.append((g["label"].iloc[j], p["label"].iloc[i]))
-        rows += [("background", x) for i, x in enumerate(p["label"]) if i not in used_p]
-        rows += [(x, "background") for j, x in enumerate(g["label"]) if j not in used_g]
-        return pd.DataFrame(rows, columns=["gt_label", "pred_label"])
-
-    rows = pred.groupBy("image_id").cogroup(gt.groupBy("image_id")).applyInPandas(one, "gt_label string, pred_label string")
-    return rows.groupBy("gt_label", "pred_label").agg(F.count("*").alias("n"))
+    edges = iou_pairs(pred.select("image_id", "box_id", *SIDES), gt.select("image_id", "box_id", *SIDES), ["image_id"]).filter(F.col("iou") >= threshold)
+    rank = F.struct("iou", "box_id_a", "box_id_b")
+    chosen = mutual_choices(edges.select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"), rank.alias("ra"), rank.alias("rb")), Rounds(pred.sparkSession, "confusion"))
+    p, g = pred.select(F.col("box_id").alias("a"), F.col("label").alias("pred_label")), gt.select(F.col("box_id").alias("b"), F.col("label").alias("gt_label"))
+    hit = chosen.join(p, "a").join(g, "b").select("gt_label", "pred_label")
+    alarm = p.join(chosen, "a", "left_anti").select(F.lit("background").alias("gt_label"), "pred_label")
+    miss = g.join(chosen, "b", "left_anti").select("gt_label", F.lit("background").alias("pred_label"))
+    return hit.union(alarm).union(miss).groupBy("gt_label", "pred_label").agg(F.count("*").alias("n"))
+
+
+def true_positives(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(thr, box_id) of the predictions that are right at each IoU threshold: a prediction stands for its best box of its label, and of the
+    predictions that stand for one box the first by id counts."""
+    pairs = iou_pairs(pred, gt, ["image_id", "label"]).select("box_id_a", "box_id_b", "iou").withColumn("thr", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= thr")
+    best = pairs.groupBy("thr", "box_id_a").agg(F.max_by("box_id_b", F.struct("iou", -F.col("box_id_b"))).alias("box_id_b"))
+    return best.groupBy("thr", "box_id_b").agg(F.min("box_id_a").alias("box_id")).select("thr", "box_id")
 
 
 def pixel_confusion(df: DataFrame, gt: str, pred: str, n_classes: int) -> DataFrame:

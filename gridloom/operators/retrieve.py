@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curate import dot, score_batches, unit
+from .curate import score_batches, unit
+from .rounds import Rounds
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -79,15 +81,114 @@ def upsert_vectors(store: DataFrame, fresh: DataFrame, key: str, embed: Callable
     return store.join(done.select(key), key, "left_anti").unionByName(done), made.filter(F.col("error").isNotNull()).select(key, "error")
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, least: float | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine. The stated query set is broadcast in one block against all vectors."""
-    q = queries.select(F.col("prompt_id").alias("query_id"), unit(F.col("embedding")).alias("_q"))
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("_v")).crossJoin(F.broadcast(q))
-    scored = rows.select("query_id", "vec_id", F.bround(dot(F.col("_v"), F.col("_q")), 9).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+#: Centres that vectors gather around (a bounded sample goes to the driver), vectors of a block and queries of a chunk, on average.
+CENTRES, BLOCK, CHUNK = 256, 4096, 4096
+#: Distances are compared with this slack, so rounding never skips a block.
+SLACK = 1e-6
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all unit vectors of a from all of b."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+
+
+def _gathered(centres: np.ndarray, splits: int):
+    """Each vector's block: its nearest centre, and a part of it by the vector's id."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                far = _far(_stacked(frame["v"]), centres)
+                near = far.argmin(axis=1)
+                yield pd.DataFrame({"centre": near.astype(np.int64), "part": frame["h"].to_numpy() % splits, "vec_id": frame["vec_id"], "v": frame["v"], "far": far[np.arange(len(far)), near]})
+
+    return run
+
+
+def _reached(centres: np.ndarray, radius: np.ndarray, chunks_: int):
+    """The centres that may hold a vector nearer to a query than ``within``; without one the nearest that has vectors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            far = np.where(radius < 0, np.inf, _far(_stacked(frame["q"]), centres))
+            within = frame["within"].to_numpy()
+            hit = far - radius <= within[:, None] + SLACK
+            hit[np.isnan(within)] = far[np.isnan(within)] == far[np.isnan(within)].min(axis=1, keepdims=True)
+            i, c = np.nonzero(hit & np.isfinite(far))
+            yield pd.DataFrame({"centre": c.astype(np.int64), "chunk": frame["h"].to_numpy()[i] % chunks_, "query_id": frame["query_id"].to_numpy()[i], "q": frame["q"].to_numpy()[i], "within": within[i], "gap": far[i, c]})
+
+    return run
+
+
+def _best(k: int):
+    """The k best vectors of a block for each query whose reach it is in."""
+
+    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "vec_id", "score"]
+        if len(block):
+            queries = queries[~(queries["gap"] - block["far"].max() > queries["within"] + SLACK)]
+        if not len(queries) or not len(block):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        block = block.sort_values("vec_id", kind="stable")
+        score = np.round(_stacked(queries["q"]) @ _stacked(block["v"]).T, 9)
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(queries)), top.shape[1])
+        return pd.DataFrame(dict(zip(names, (queries["query_id"].to_numpy()[row], block["vec_id"].to_numpy()[top.ravel()], score[row, top.ravel()]), strict=True)))
+
+    return run
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, least: float | None = None, centres: int = CENTRES, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k largest cosines, ties to the smaller id; exact.
+
+    Vectors gather in blocks around centres. A query searches its nearest centre's blocks first; with the k-th score found there it needs only
+    blocks that can hold a nearer vector: by the triangle inequality those whose centre is no farther than that distance and their radius
+    together. Blocks and chunks of queries meet in cells of bounded size, and only k rows a query leave a cell. Vectors that are null are left out.
+    """
+    rounds = Rounds(vectors.sparkSession, "search")
+    v = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", unit(F.col("embedding")).alias("v"), F.abs(F.xxhash64("vec_id") % (1 << 40)).alias("h"))
+    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("prompt_id").alias("query_id"), unit(F.col("embedding")).alias("q"), F.abs(F.xxhash64("prompt_id") % (1 << 40)).alias("h"))
+    sample = v.orderBy("h", "vec_id").limit(centres).collect()
+    scheme = "query_id {}, vec_id {}, score double".format(*(df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (v, "vec_id"))))
+    if not sample:
+        return vectors.sparkSession.createDataFrame([], f"{scheme}, rank int")
+    middle = np.array([r["v"] for r in sample])
+    splits, chunks_ = max(1, -(-v.count() // (block * len(middle)))), max(1, -(-q.count() // chunk))
+    kind = v.schema["vec_id"].dataType.simpleString()
+    blocks = rounds.keep(v.mapInPandas(_gathered(middle, splits), f"centre long, part long, vec_id {kind}, v array<double>, far double"), "blocks")
+    radius = np.full(len(middle), -1.0)
+    for r in blocks.groupBy("centre").agg(F.max("far").alias("far")).collect():  # a row a centre
+        radius[r["centre"]] = r["far"]
+    asked = f"centre long, chunk long, query_id {q.schema['query_id'].dataType.simpleString()}, q array<double>, within double, gap double"
+
+    def search(these: DataFrame, but: DataFrame | None) -> DataFrame:
+        reach = these.mapInPandas(_reached(middle, radius, chunks_), asked)
+        if but is not None:
+            reach = reach.join(but, ["query_id", "centre"], "left_anti")
+        cells = reach.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
+        spread = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks_ - 1).cast("long"))))
+        keys = ["centre", "part", "chunk"]
+        found = cells.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_best(k), scheme)
+        return top_of(found)
+
+    def top_of(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    first = q.withColumn("within", F.lit(None).cast("double"))
+    near = rounds.keep(first.mapInPandas(_reached(middle, radius, chunks_), asked).select("query_id", "centre"), "near")
+    start = rounds.keep(search(first, None).drop("rank"), "first")
+    # the distance of the k-th vector found; with fewer found anything may be nearer (unit vectors are 2 apart at most)
+    bound = start.groupBy("query_id").agg(F.when(F.count("*") == k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).otherwise(3.0).alias("within"))
+    rest = search(q.join(bound, "query_id", "left").withColumn("within", F.coalesce("within", F.lit(3.0))), near)
+    out = top_of(start.union(rest.drop("rank")))
+    return out if least is None else out.filter(F.col("score") >= least)
 
 
 def rerank(hits: DataFrame, second: Column, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import area_scores
 from ..operators import boxes as op
-from .joins import IOU_SQL, RUN, running
+from .joins import IOU_SQL, RUN, flagged, hits_sql
 from .registry import plan
 
 C = F.col
@@ -75,11 +75,10 @@ def e07_greedy_match(p: DataFrame, g: DataFrame) -> DataFrame:
     return op.greedy_match(p, g, 0.5)
 
 
-@plan("boxes_pred boxes_gt", "WITH c AS (SELECT label, count(*) FILTER (p = 1 AND g = 1) AS tp, count(*) FILTER (p = 1 AND g = 0) AS fp, count(*) FILTER (p = 0 AND g = 1) AS fn FROM (SELECT label, box_id, max(p) AS p, max(g) AS g FROM (SELECT label, box_id, 1 AS p, 0 AS g FROM boxes_pred UNION ALL SELECT label, box_id, 0, 1 FROM boxes_gt) GROUP BY 1, 2) GROUP BY 1), r AS (SELECT label, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp * 1.0E0 / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp * 1.0E0 / (tp + fn) END AS r FROM c) SELECT label, tp, fp, fn, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r")
+@plan("boxes_pred boxes_gt", f"WITH {hits_sql('0.75E0')}, c AS (SELECT g.label, (SELECT count(*) FROM hits JOIN boxes_pred p ON p.box_id = a WHERE p.label = g.label) AS tp, (SELECT count(*) FROM boxes_pred p WHERE p.label = g.label) AS np, count(*) AS ng FROM boxes_gt g GROUP BY 1), r AS (SELECT label, tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np = 0 THEN 0 ELSE tp * 1.0E0 / np END AS p, CASE WHEN ng = 0 THEN 0 ELSE tp * 1.0E0 / ng END AS r FROM c) SELECT label, tp, fp, fn, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r")
 def e08_precision_recall(p: DataFrame, g: DataFrame) -> DataFrame:
-    rows = p.select("label", "box_id", F.lit(1).alias("p"), F.lit(0).alias("g")).union(g.select("label", "box_id", F.lit(0), F.lit(1)))
-    rows = rows.groupBy("label", "box_id").agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    c = rows.groupBy("label").agg(F.count_if((C("p") == 1) & (C("g") == 1)).alias("tp"), F.count_if((C("p") == 1) & (C("g") == 0)).alias("fp"), F.count_if((C("p") == 0) & (C("g") == 1)).alias("fn"))
+    c = flagged(p, g).groupBy("label").agg(F.count_if("tp").alias("tp"), F.count_if(~C("tp")).alias("fp"))
+    c = g.groupBy("label").agg(F.count("*").alias("n_gt")).join(c, "label", "left").na.fill(0, ["tp", "fp"]).withColumn("fn", C("n_gt") - C("tp"))
     return c.select("label", "tp", "fp", "fn", *(r6(v).alias(k) for k, v in op.precision_recall(C("tp"), C("fp"), C("fn")).items()))
 
 
@@ -88,14 +87,14 @@ AP = f"WITH {RUN}, t AS (SELECT label, count(*) AS n_gt FROM boxes_gt GROUP BY 1
 
 @plan("boxes_pred boxes_gt", f"{AP} SELECT label, round_even(sum(top * (recall - before)), 6) AS ap FROM e GROUP BY 1")
 def e09_average_precision(p: DataFrame, g: DataFrame) -> DataFrame:
-    flags = p.select("label", "box_id", "score", (C("box_id") % 3 != 0).alias("tp"))
+    flags = flagged(p, g)
     totals = g.groupBy("label").agg(F.count("*").alias("n_gt"))
     return op.average_precision(flags, totals, ["label"], [F.desc("score"), C("box_id")]).withColumn("ap", r6("ap"))
 
 
 @plan("boxes_pred boxes_gt")
 def e10_interpolated_precision(p: DataFrame, g: DataFrame) -> DataFrame:
-    flags = p.select("label", "box_id", "score", (C("box_id") % 3 != 0).alias("tp"))
+    flags = flagged(p, g)
     totals = g.groupBy("label").agg(F.count("*").alias("n_gt"))
     return op.interpolated_precision(flags, totals, ["label"], [F.desc("score"), C("box_id")]).withColumn("ap", r6("ap"))
 
@@ -105,16 +104,15 @@ THRESHOLDS = [x / 100 for x in range(50, 100, 5)]
 
 @plan(
     "boxes_pred boxes_gt",
-    f"""WITH {IOU_SQL}, m AS (SELECT a, b, inter * 1.0E0 / (sa + sb - inter) AS iou FROM i WHERE a = b), t AS (SELECT unnest([{', '.join(f'{t}E0' for t in THRESHOLDS)}]) AS thr),
-    f AS (SELECT p.label, thr, p.box_id, p.score, coalesce(iou >= thr, false) AS tp FROM boxes_pred p CROSS JOIN t LEFT JOIN m ON m.a = p.box_id), n AS (SELECT label, count(*) AS n_gt FROM boxes_gt GROUP BY 1),
+    f"""WITH {hits_sql(', '.join(f'{t}E0' for t in THRESHOLDS))},
+    f AS (SELECT p.label, thrs.thr, p.box_id, p.score, hits.a IS NOT NULL AS tp FROM boxes_pred p CROSS JOIN thrs LEFT JOIN hits ON hits.a = p.box_id AND hits.thr = thrs.thr), n AS (SELECT label, count(*) AS n_gt FROM boxes_gt GROUP BY 1),
     r AS (SELECT f.*, n_gt, sum(CAST(tp AS INT)) OVER w AS tps, count(*) OVER w AS n FROM f JOIN n USING (label) WINDOW w AS (PARTITION BY label, thr ORDER BY score DESC, box_id ROWS UNBOUNDED PRECEDING)),
     e AS (SELECT label, thr, tps * 1.0E0 / n_gt AS recall, max(tps * 1.0E0 / n) OVER (PARTITION BY label, thr ORDER BY score DESC, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top, coalesce(lag(tps * 1.0E0 / n_gt) OVER (PARTITION BY label, thr ORDER BY score DESC, box_id), 0) AS before FROM r)
     SELECT label, round_even(avg(ap), 6) AS map FROM (SELECT label, thr, sum(top * (recall - before)) AS ap FROM e GROUP BY 1, 2) GROUP BY 1""",
 )
 def e11_mean_average_precision(p: DataFrame, g: DataFrame) -> DataFrame:
-    pairs = paired(p, g).select("box_id", bx.iou(op.side("a"), op.side("b")).alias("iou"))
-    flags = p.join(pairs, "box_id", "left").withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    flags = flags.select("label", "thr", "box_id", "score", F.coalesce(C("iou") >= C("thr"), F.lit(False)).alias("tp"))
+    hits = op.true_positives(p, g, THRESHOLDS).withColumn("tp", F.lit(True))
+    flags = p.select("label", "box_id", "score").withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS)))).join(hits, ["thr", "box_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
     totals = g.groupBy("label").agg(F.count("*").alias("n_gt")).withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     ap = op.average_precision(flags, totals, ["label", "thr"], [F.desc("score"), C("box_id")])
     return ap.groupBy("label").agg(r6(F.avg("ap")).alias("map"))
@@ -213,9 +211,4 @@ def e27_masks_to_boxes(p: DataFrame) -> DataFrame:
 
 @plan("boxes_pred boxes_gt", f"WITH {IOU_SQL}, s AS (SELECT a, b, inter * 1.0E0 / (sa + sb - inter) AS iou FROM i JOIN boxes_pred p ON p.box_id = a JOIN boxes_gt g ON g.box_id = b WHERE p.label = g.label), t AS (SELECT unnest([0.5E0, 0.75E0, 0.9E0]) AS thr), p1 AS (SELECT thr, a, b FROM s CROSS JOIN t WHERE iou >= thr QUALIFY row_number() OVER (PARTITION BY thr, a ORDER BY iou DESC, b) = 1), m AS (SELECT thr, a FROM p1 QUALIFY row_number() OVER (PARTITION BY thr, b ORDER BY a) = 1) SELECT thr, count(*) AS tp FROM m GROUP BY 1")
 def e29_true_positive_flags(p: DataFrame, g: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    pairs = op.iou_pairs(p, g, ["image_id", "label"]).withColumn("thr", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))).filter("iou >= thr")
-    one = pairs.withColumn("n", F.row_number().over(Window.partitionBy("thr", "box_id_a").orderBy(F.desc("iou"), "box_id_b"))).filter("n = 1")
-    two = one.withColumn("n", F.row_number().over(Window.partitionBy("thr", "box_id_b").orderBy("box_id_a"))).filter("n = 1")
-    return two.groupBy("thr").agg(F.count("*").alias("tp"))
+    return op.true_positives(p, g, [0.5, 0.75, 0.9]).groupBy("thr").agg(F.count("*").alias("tp"))

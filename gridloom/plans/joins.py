@@ -127,21 +127,36 @@ def w04_cumulative_inclusive(p: DataFrame) -> DataFrame:
     return wop.cumulative(bins_of(p), ["scene"], "bin", "cnt", True).select("scene", "bin", r6("cdf").alias("cdf"))
 
 
-RUN = "m AS (SELECT label, box_id, score, box_id % 3 <> 0 AS tp FROM boxes_pred), r AS (SELECT *, CAST(sum(CAST(tp AS INT)) OVER w AS BIGINT) AS tps, CAST(sum(1 - CAST(tp AS INT)) OVER w AS BIGINT) AS fps FROM m WINDOW w AS (PARTITION BY label ORDER BY score DESC, box_id ROWS UNBOUNDED PRECEDING))"
+def hits_sql(thresholds: str) -> str:
+    """CTEs up to hits (thr, a): a prediction stands for its best box of its label; the first prediction of a box counts."""
+    return f"""{IOU_SQL}, s AS (SELECT a, b, inter * 1.0E0 / (sa + sb - inter) AS iou FROM i JOIN boxes_pred p ON p.box_id = a JOIN boxes_gt g ON g.box_id = b WHERE p.label = g.label AND inter > 0),
+  thrs AS (SELECT unnest([{thresholds}]) AS thr), p1 AS (SELECT thr, a, b FROM s CROSS JOIN thrs WHERE iou >= thr QUALIFY row_number() OVER (PARTITION BY thr, a ORDER BY iou DESC, b) = 1),
+  hits AS (SELECT thr, min(a) AS a FROM p1 GROUP BY thr, b)"""
 
 
-def running(p: DataFrame) -> DataFrame:
-    return wop.running_matches(p.select("label", "box_id", "score", (C("box_id") % 3 != 0).alias("tp")), ["label"], [F.desc("score"), C("box_id")])
+RUN = f"{hits_sql('0.75E0')}, m AS (SELECT label, box_id, score, box_id IN (SELECT a FROM hits) AS tp FROM boxes_pred), r AS (SELECT *, CAST(sum(CAST(tp AS INT)) OVER w AS BIGINT) AS tps, CAST(sum(1 - CAST(tp AS INT)) OVER w AS BIGINT) AS fps FROM m WINDOW w AS (PARTITION BY label ORDER BY score DESC, box_id ROWS UNBOUNDED PRECEDING))"
 
 
-@plan("boxes_pred", f"WITH {RUN} SELECT label, box_id, tps, fps FROM r")
-def w05_running_matches(p: DataFrame) -> DataFrame:
-    return running(p).select("label", "box_id", "tps", "fps")
+def flagged(p: DataFrame, g: DataFrame) -> DataFrame:
+    """Predictions with a flag whether they are right at an IoU of 0.75."""
+    from ..operators.boxes import true_positives
 
+    hits = true_positives(p, g, [0.75]).select("box_id", F.lit(True).alias("tp"))
+    return p.select("label", "box_id", "score").join(hits, "box_id", "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
 
-@plan("boxes_pred", f"WITH {RUN}, q AS (SELECT *, tps * 1.0E0 / (tps + fps) AS precision FROM r) SELECT label, box_id, round_even(max(precision) OVER (PARTITION BY label ORDER BY score DESC, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS envelope FROM q")
-def w06_precision_envelope(p: DataFrame) -> DataFrame:
-    q = running(p).withColumn("precision", C("tps") / (C("tps") + C("fps")))
+
+def running(p: DataFrame, g: DataFrame) -> DataFrame:
+    return wop.running_matches(flagged(p, g), ["label"], [F.desc("score"), C("box_id")])
+
+
+@plan("boxes_pred boxes_gt", f"WITH {RUN} SELECT label, box_id, tps, fps FROM r")
+def w05_running_matches(p: DataFrame, g: DataFrame) -> DataFrame:
+    return running(p, g).select("label", "box_id", "tps", "fps")
+
+
+@plan("boxes_pred boxes_gt", f"WITH {RUN}, q AS (SELECT *, tps * 1.0E0 / (tps + fps) AS precision FROM r) SELECT label, box_id, round_even(max(precision) OVER (PARTITION BY label ORDER BY score DESC, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS envelope FROM q")
+def w06_precision_envelope(p: DataFrame, g: DataFrame) -> DataFrame:
+    q = running(p, g).withColumn("precision", C("tps") / (C("tps") + C("fps")))
     return wop.envelope(q, ["label"], [F.desc("score"), C("box_id")], "precision").select("label", "box_id", r6("envelope").alias("envelope"))
 
 

@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,27 @@ def test_area_scores_by_brute_force(spark):
     assert abs(summary["AP"] - sum(r.ap for k, r in got.items() if k[1] == "all") / sum(k[1] == "all" for k in got)) < 1e-9
     none = op.area_summary(op.area_scores(frames[0], frames[1].limit(0)))
     assert {r.value for r in none.collect()} == {-1.0} and len(summary) == 12
+
+
+def test_blocked_search_is_exact(spark):
+    from gridloom.operators import retrieve
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 8))
+    rows = [(i, (middles[i % 12] + 0.05 * rng.normal(size=8)).tolist()) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)] + [(2000, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "prompt_id")
+    known = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if v]
+    want = set()
+    for i, x in known:
+        if i % 20 == 0:
+            best = sorted((-round(float(x @ y), 9), j) for j, y in known)[:4]
+            want |= {(i, j, r) for r, (_, j) in enumerate(best, 1)}
+    for sizes in ({}, {"centres": 9, "block": 10, "chunk": 7}, {"centres": 1}):
+        assert {(r.query_id, r.vec_id, r.rank) for r in retrieve.vector_top_k(vectors, queries, **sizes).collect()} == want
+    assert retrieve.vector_top_k(vectors.limit(0), queries).count() == 0
+    # clusters far from a query are not searched
+    middle = np.stack([known[i][1] for i in range(12)])
+    reached = next(retrieve._reached(middle, np.full(12, 0.1), 1)(iter([__import__("pandas").DataFrame({"query_id": [0], "q": [known[12][1]], "h": [0], "within": [0.2]})])))
+    assert 1 <= len(reached) < 12
