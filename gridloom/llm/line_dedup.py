@@ -7,9 +7,9 @@ at least ``similarity`` % of its tokens. A template that recurs in ``min_docs``
 lines are dropped, but for the first in order of (document, line) when ``keep_first``. Unlike a tree
 grown line by line, the result depends on no order, so leaves are counted by grouped sums and no group is gathered.
 
-With ``long_tokens`` a line of that many tokens is boilerplate from ``long_docs`` distinct texts on, and its whole masked
-line is a template too, so a passage is found whatever else is in its leaf. With ``share`` a line also has the template of
-its relative constants: tokens in ``share`` % of the texts of their leaf at least (and in two). A field of few
+A line of ``long_tokens`` tokens is boilerplate from ``long_docs`` distinct texts on, and its whole masked
+line is a template too, so a passage is found whatever else is in its leaf (0: no such rule). A line also has the template of
+its relative constants: tokens in ``share`` % of the texts of their leaf at least, and in two (0: no such templates). A field of few
 values stays a field there at every size of the corpus. A line goes if one of its templates recurs and it isn't the first
 of that one; the lines that share templates keep one at least.
 
@@ -90,7 +90,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     return gone.select("id", "v", "at").distinct()
 
 
-def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 10, similarity: int = 60, keep_first: bool = True, long_tokens: int = 0, long_docs: int = 2, share: int = 0) -> DataFrame:
+def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 10, similarity: int = 60, keep_first: bool = True, long_tokens: int = 20, long_docs: int = 2, share: int = 20) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from the text."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("v"))

@@ -93,11 +93,14 @@ l AS (SELECT doc_id, v, i - 1 AS ln, list_transform(list_filter(regexp_split_to_
 k AS (SELECT doc_id, v, ln, toks, len(toks) AS size, toks[1:3] AS lead FROM l WHERE len(toks) >= 4),
 b AS (SELECT size, lead, toks, count(DISTINCT v) AS n FROM k GROUP BY ALL),
 p AS (SELECT size, lead, toks, n, j AS place, toks[j] AS token FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM b)),
-c AS (SELECT size, lead, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 10),
-f AS (SELECT size, lead, toks, list((place, token) ORDER BY place) AS constants FROM p JOIN c USING (size, lead, place, token) GROUP BY ALL HAVING 100 * count(*) >= 60 * size),
-m AS (SELECT k.doc_id, k.v, k.ln, k.size, k.lead, f.constants FROM k JOIN f USING (size, lead, toks)),
-o AS (SELECT size, lead, constants, min((doc_id, ln)) AS first FROM m GROUP BY ALL HAVING count(DISTINCT v) >= 10),
-g AS (SELECT doc_id, list(ln) AS gone FROM m JOIN o USING (size, lead, constants) WHERE (doc_id, ln) <> first GROUP BY doc_id),
+t AS (SELECT size, lead, sum(n) AS total FROM b GROUP BY ALL),
+s AS (SELECT size, lead, place, token, sum(n) AS m FROM p WHERE token <> '<*>' GROUP BY ALL),
+c AS (SELECT 'plain' AS kind, size, lead, place, token FROM s WHERE m >= 10 UNION ALL SELECT 'share', size, lead, place, token FROM s JOIN t USING (size, lead) WHERE m >= 2 AND 100 * m >= 20 * total),
+f AS (SELECT kind, size, lead, toks, list((place, token) ORDER BY place) AS constants FROM p JOIN c USING (size, lead, place, token) GROUP BY ALL HAVING 100 * count(*) >= 60 * size
+      UNION ALL SELECT 'whole', size, lead, toks, list((place, token) ORDER BY place) FROM p WHERE size >= 20 GROUP BY ALL HAVING 100 * count(*) FILTER (token <> '<*>') >= 60 * size),
+m AS (SELECT k.doc_id, k.v, k.ln, f.kind, k.size, k.lead, f.constants FROM k JOIN f USING (size, lead, toks)),
+o AS (SELECT kind, size, lead, constants, min((doc_id, ln)) AS first FROM m GROUP BY ALL HAVING count(DISTINCT v) >= CASE WHEN size >= 20 THEN 2 ELSE 10 END),
+g AS (SELECT doc_id, list(DISTINCT ln) AS gone FROM m JOIN o USING (kind, size, lead, constants) WHERE (doc_id, ln) <> first GROUP BY doc_id),
 r AS (SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text FROM base LEFT JOIN g USING (doc_id))
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_left, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines_left, sha256(text) AS text_sha256 FROM r
 """

@@ -99,18 +99,20 @@ def test_op1_edges(docs):
     assert "logged in" in left[0] and not any("logged in" in left[i] for i in range(1, 12))
 
 
-def test_pipeline_drops_repeated_passages_and_templates_at_every_size(spark):
+@pytest.mark.parametrize("by", ["query", "pipeline"])
+def test_repeated_passages_and_templates_go_at_every_size(spark, by):
     import corpus_pipeline
 
+    drop = line_dedup.drop_template_lines if by == "query" else lambda docs: corpus_pipeline.drop_lines(spark, docs, FOLDER)
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("aeinrstl") for _ in range(8))
     passages = {k: " ".join(word() for _ in range(50)) for k in (2, 3, 9)}
     planted = [(100 * k + i, f"{word()} {word()}\n{p}\n{word()}") for k, p in passages.items() for i in range(k)]
     planted += [(5000 + i, " ".join(word() for _ in range(30)) + "\n" + " ".join(str(rnd.randint(0, 99)) for _ in range(25))) for i in range(30)]
-    for n in (60, 400):
+    for n in (60, 400, 1000):
         pages = [(10000 + i, f"{word()}\nRead more about events in city{'abcdefghijklmnopqrst'[i % 20]} during month{'abcdefghijklmnopqrst'[i // 3 % 20]} on our news page") for i in range(n)]
         docs = spark.createDataFrame([(i, t, len(t)) for i, t in planted + pages], "doc_id long, text string, n_chars int")
-        left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, FOLDER).collect()}
+        left = {r.doc_id: r.text for r in drop(docs).collect()}
         assert [i for i, t in left.items() if "Read more" in t] == [10000] and len(left) == len(planted) + n
         for k, p in passages.items():
             assert [i for i, t in left.items() if p in t] == [100 * k]
