@@ -15,6 +15,7 @@ from ..operators import retrieve as rt
 from ..operators import shapes as sh
 from ..operators import temporal as tm
 from ..operators import vector as vc
+from ..operators import visibility as vs
 from ..operators import windows as wd
 from ..streaming import files as st
 from .curate import COS
@@ -328,3 +329,16 @@ def sql_functions(p: DataFrame) -> DataFrame:
     """Column functions called by name in SQL text."""
     sf.register(p.sparkSession)
     return p.sparkSession.sql("SELECT x, y, bround(ndvi(red, nir), 6) AS v, bround(haversine_km(lon, lat, 100.0, 30.0), 4) AS km, bround(box_iou(0, 0, 4, 4, 3, 0, x + 7, 4), 6) AS iou FROM {p}", p=p)
+
+
+SEEN = f"""v AS (SELECT fid * 4 + k AS vid, CASE WHEN k IN (0, 3) THEN x1 ELSE x2 END AS x, CASE WHEN k IN (0, 1) THEN y1 ELSE y2 END AS y FROM rect_masks CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) n),
+  s AS (SELECT a.vid AS a, b.vid AS b, a.x AS ax, a.y AS av, b.x AS bx, b.y AS bv, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS w FROM v a JOIN v b ON a.vid < b.vid WHERE abs(a.x - b.x) <= 120 AND abs(a.y - b.y) <= 120)"""
+
+
+@plan("rect_masks", f"WITH {SEEN} SELECT a, b, round_even(w, 6) AS w FROM s WHERE w <= 120 AND w > 0 AND NOT EXISTS (SELECT 1 FROM rect_masks m WHERE {T0} < {T1} AND NOT (ax BETWEEN m.x1 AND m.x2 AND bx BETWEEN m.x1 AND m.x2 AND av BETWEEN m.y1 AND m.y2 AND bv BETWEEN m.y1 AND m.y2))")
+def v12_visibility_graph(m: DataFrame) -> DataFrame:
+    """Corners of the masks that see each other past the masks, up to a distance of 120."""
+    corners = F.array(*(F.struct(C(x).alias("x"), C(y).alias("y")) for x, y in BOX))
+    vertices = m.select("fid", F.posexplode(corners).alias("k", "p")).select((C("fid") * 4 + C("k")).alias("vid"), "p.x", "p.y")
+    graph = vs.visibility_graph(vertices, m.select(rings(*BOX).alias("rings")), 120.0, 50.0)
+    return graph.filter("src < dst and w > 0").select(C("src").alias("a"), C("dst").alias("b"), r6("w").alias("w"))

@@ -170,3 +170,32 @@ def test_buffers_by_distance_sampling(spark):
         assert abs(got[i] - by_sampling(test, -6, 14)) < 0.01 * got[i]
     whole = [r.area for r in overlay.dissolve(pieces, [], 5.0).collect()]
     assert abs(whole[0] - by_sampling(lambda x, y: np.logical_or.reduce([f(x, y) for f in near.values()]), -6, 14)) < 0.01 * whole[0]
+
+
+def test_visibility_past_obstacles(spark):
+    from gridloom.operators import vector, visibility
+
+    shapes_ = [(1, "Polygon", [box(2.0, -5.0, 4.0, 5.0)]), (2, "Polygon", [[(6.0, 0.0), (8.0, 3.0), (10.0, 0.0), (8.0, 1.5)]]), (3, "LineString", [[(5.0, 6.0), (5.0, 9.0)]]), (4, "Point", [[(0.0, 3.0)]])]
+    df = spark.createDataFrame(shapes_, "fid long, type string, rings array<array<struct<x: double, y: double>>>")
+    obstacles = visibility.obstacle_rings(df, 0.5, 0.25, 4.0).cache()
+    assert obstacles.count() == 4
+    rnd = random.Random(8)
+    points = [(0.0, 0.0), (12.0, 0.0), (2.0, 5.0), (4.0, 5.0), (2.0, -5.0), (4.0, -5.0)] + [(rnd.uniform(-3, 13), rnd.uniform(-8, 10)) for _ in range(25)]
+    vertices = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "vid long, x double, y double")
+    polygons = [as_rings(r.rings) for r in obstacles.collect()]
+    t = (np.arange(4000) + 0.5) / 4000
+
+    def blocked(a, b):
+        x, y = a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])
+        return any(0.002 < inside(x, y, q).mean() < 0.998 for q in polygons)
+
+    for cell in (3.0, 40.0):
+        got = {(r.src, r.dst) for r in visibility.visibility_graph(vertices, obstacles, 12.5, cell).collect()}
+        for (i, a), (j, b) in itertools.combinations(enumerate(points), 2):
+            if math.dist(a, b) <= 12.5 and len({*a} & {*b} & {2.0, 4.0, 5.0, -5.0}) == 0:
+                assert ((i, j) in got) == (not blocked(a, b)) and ((j, i) in got) == ((i, j) in got), (a, b)
+    # along a side of an obstacle is free, through it is not
+    assert {(2, 3), (3, 5), (4, 5)} <= got and (0, 1) not in got
+    graph = visibility.visibility_graph(vertices.filter("vid < 6"), obstacles, 30.0, 3.0)
+    way = {r.node: r.dist for r in vector.shortest_paths(graph, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert math.isclose(way[1], math.dist((0, 0), (2, -5)) + 2 + math.dist((4, -5), (12, 0)), rel_tol=1e-9)
