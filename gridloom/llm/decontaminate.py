@@ -11,7 +11,6 @@ containment of the shingles' words. A partition of window length w serves all it
 
 Documents of fewer shingles than any item needs are skipped. Items or documents with fewer than ``width`` words, null or empty ones
 match nothing. Repeated items give a row each. Rows with a null id are searched like others.
-X
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Item MinHashes, and then candidate pairs, up to this number (16 bytes each) are broadcast; more of them are shuffled.
+#: Item MinHashes with their items, candidate pairs, and the items' shingles are each broadcast up to this many numbers of 8 bytes; more of them are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -110,13 +109,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     # too short a document has no window in a partition
     sets = [F.when(F.size("hashes") >= least_of[n], F.array_distinct(keyed(n))).otherwise(F.array().cast("array<long>")) for n in lengths]
     probes = hashed.select("id", "v", F.explode_outer(F.concat(*sets)).alias("h"))
-    rows = wanted.count()
-    hits = probes.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted.hint("merge"), "h")
+    wide = wanted.agg(F.coalesce(F.sum(F.size("items") + 2), F.lit(0))).first()[0]  # repeated items make long lists
+    hits = probes.join(F.broadcast(wanted) if wide <= BROADCAST_ROWS else wanted.hint("merge"), "h")
     pairs = hits.select(F.col("id").alias("of"), F.col("v").alias("w"), F.explode("items").alias("item")).distinct()
     likely = Scratch(docs.sparkSession, "contained").keep(pairs.groupBy("of", "w").agg(F.collect_set("item").alias("found")), "likely")
     few = likely.agg(F.coalesce(F.sum(F.size("found") + 2), F.lit(0))).first()[0] <= BROADCAST_ROWS
     found = docs.withColumn("v", F.xxhash64("text")).join(F.broadcast(likely) if few else likely, F.col("id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("w")))
     found = found.select("id", words(F.col("text")).alias("tokens"), "found").select("id", shingle_texts(F.col("tokens"), width).alias("has"), F.explode("found").alias("item"))
     small = items.select("item", F.col("shingles").alias("needs"))
-    exact = found.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, "item").select("id", "item", F.size("needs").alias("n_item"), F.size(F.array_intersect("has", "needs")).alias("n_shared"))
+    heavy = small.agg(F.coalesce(F.sum(5 * F.size("needs") + 2), F.lit(0))).first()[0]  # a shingle is about five numbers long
+    exact = found.join(F.broadcast(small) if heavy <= BROADCAST_ROWS else small, "item").select("id", "item", F.size("needs").alias("n_item"), F.size(F.array_intersect("has", "needs")).alias("n_shared"))
     return exact.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_shared")
