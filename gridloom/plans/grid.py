@@ -130,6 +130,14 @@ def c01_components(p: DataFrame) -> DataFrame:
     return op.components(p.select("x", "y", C("gt_class").alias("v")), "v")
 
 
+@plan("pixels", f"WITH RECURSIVE {parts(GT)} SELECT c AS component, any_value(v) AS v, count(*) AS area, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, round_even(avg(x), 6) AS cx, round_even(avg(y), 6) AS cy FROM k GROUP BY c")
+def a18_component_statistics(p: DataFrame) -> DataFrame:
+    """Area, bounds and centroid of every connected region."""
+    rows = op.components(p.select("x", "y", C("gt_class").alias("v")), "v")
+    centre = lambda c: F.bround(F.avg(c), 6)
+    return rows.groupBy("component").agg(F.first("v").alias("v"), F.count("*").alias("area"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), centre("x").alias("cx"), centre("y").alias("cy"))
+
+
 @plan("pixels", f"WITH RECURSIVE {parts(BIN)} SELECT x, y, CASE WHEN count(*) OVER (PARTITION BY c) < 4 THEN 0 ELSE v END AS v FROM k")
 def c02_remove_small(p: DataFrame) -> DataFrame:
     return op.remove_small(binary(p), "v", 4)
@@ -228,17 +236,21 @@ def m02_discrete(p: DataFrame) -> DataFrame:
     return sc.discrete(scores(p), 0.3)
 
 
-@plan("pixels")
-def m03_change_energy(p: DataFrame) -> DataFrame:
-    rows = p.select("x", "y", "gt_class", ((C("red") % 100) / 100).alias("s1"), ((C("green") % 100) / 100).alias("s2"), ((C("blue") % 100) / 100).alias("feature"))
-    return sc.change_energy(rows.withColumnRenamed("gt_class", "class_id"))
-
-
 OTSU = """WITH b AS (SELECT scene, min(red) AS lo, max(red) AS hi FROM pixels GROUP BY 1), h AS (SELECT scene, least(floor((red - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM pixels JOIN b USING (scene) GROUP BY 1, 2),
 m AS (SELECT scene, bin, n, lo + (bin + 0.5) * (hi - lo) / 256 AS mid FROM h), c AS (SELECT *, sum(n) OVER w AS n0, sum(n * mid) OVER w AS s0, sum(n) OVER (PARTITION BY scene) AS nt, sum(n * mid) OVER (PARTITION BY scene) AS st FROM m WINDOW w AS (PARTITION BY scene ORDER BY bin))
 SELECT scene, round_even(mid, 4) AS threshold FROM c WHERE nt > n0 QUALIFY row_number() OVER (PARTITION BY scene ORDER BY round_even(n0 * (nt - n0) * pow(s0 / n0 - (st - s0) / (nt - n0), 2), 3) DESC, bin) = 1"""
 
 
+ENERGY = "SELECT x, y, gt_class AS class_id, greatest((red % 100) / 100.0E0, (green % 100) / 100.0E0) * abs((green % 100) / 100.0E0 - (red % 100) / 100.0E0) * ((blue % 100) / 100.0E0) AS energy FROM pixels"
+LIMITS = OTSU.replace("pixels", "e").replace("red", "energy").replace("scene", "class_id").replace("round_even(mid, 4)", "mid")
+
+
+@plan("pixels", f"WITH e AS ({ENERGY}), t AS ({LIMITS}) SELECT x, y, max(class_id) AS class_id FROM e JOIN t USING (class_id) WHERE energy > greatest(threshold, 0.01E0) GROUP BY 1, 2")
+def m03_change_energy(p: DataFrame) -> DataFrame:
+    rows = p.select("x", "y", "gt_class", ((C("red") % 100) / 100).alias("s1"), ((C("green") % 100) / 100).alias("s2"), ((C("blue") % 100) / 100).alias("feature"))
+    return sc.change_energy(rows.withColumnRenamed("gt_class", "class_id"))
+
+
 @plan("pixels", OTSU)
 def m04_otsu(p: DataFrame) -> DataFrame:
     return sc.otsu(p, "red", ["scene"]).withColumn("threshold", F.bround("threshold", 4))
