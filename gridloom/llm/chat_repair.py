@@ -5,7 +5,7 @@ automaton of legal turns finds the cheapest repair of each conversation: a turn
 opens a new turn or is merged into the previous one of its role, and empty turns are inserted where one is missing.
 The repaired turns are rendered with role headers.
 
-Steps through the automaton compose, so a long conversation is cut in pieces of ``piece`` turn numbers: each piece gives the
+Steps through the automaton compose, so a long conversation is cut in pieces of ``piece`` turns: each piece gives the
 least cost between each pair of states, the pieces' costs give the states at the cuts, and each piece is then
 repaired on its own. No task holds more of a conversation than one piece and a small matrix per piece.
 
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed, running_sums, unplaced
+from ..operators.rounds import Rounds
 from .common import Scratch, map_exact
 
 ROLES = ("system", "user", "assistant")
@@ -182,10 +184,12 @@ def repair_roles(conversations: DataFrame, piece: int = 512) -> DataFrame:
     spark = conversations.sparkSession
     scratch = Scratch(spark, "chat")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = turns.withColumn("piece", F.floor(F.coalesce("turn", F.lit(-1)) / piece))
-    order = ["conv", "piece", F.col("turn").asc_nulls_first(), "role", "text"]
-    costs = turns.drop("text").repartition(parts, "conv", "piece").sortWithinPartitions(*order[:-1]).drop("turn")
+    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text", F.monotonically_increasing_id().alias("salt"))
+    # pieces by the number of a turn in its conversation, so a conversation of any size and equal turn numbers are cut too
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "salt"]
+    turns = unplaced(running_sums(placed(turns, order, Rounds(spark, "turns")), ["conv"], {"nth": F.lit(1)})).drop("salt").withColumn("piece", F.floor((F.col("nth") - 1) / piece))
+    order = ["conv", "piece", "nth"]
+    costs = turns.select("conv", "piece", "nth", "role").repartition(parts, "conv", "piece").sortWithinPartitions(*order).drop("nth")
     costs = map_exact(costs, ["conv"], _pieces, "piece long, cost array<double>")
     cuts = map_exact(costs.repartition(parts, "conv").sortWithinPartitions("conv", "piece"), ["conv"], _cuts, "piece long, first int, last int, closes boolean, total double")
     cuts = scratch.keep(cuts.select(F.col("conv").alias("of"), F.col("piece").alias("nth"), "first", "last", "closes", "total"), "cuts")

@@ -77,3 +77,45 @@ def test_op4_shards_do_not_depend_on_the_layout(spark):
     assert found[0] == found[1] == found[2] == found[3]
     assert len({r[0] for r in found[0]}) == 21 and len(found[0]) > 21
     assert sum(r[3] for r in found[0]) == len(rows)
+
+
+def test_op3_pieces_do_not_depend_on_turn_numbers(spark):
+    """Null, repeated and equal turn numbers, null texts, repeated rows and a null conversation: cut or whole, the repair is the same."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, None]), rnd.choice([None, 4, 4, 9]), rnd.choice(["user", "assistant", "System ", "tool", None]), rnd.choice([None, "", "x", "y"])) for _ in range(120)]
+    rows += rows[:9]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole, cut = ([sorted(map(str, chat_repair.repair_roles(turns, piece=n).collect())) for n in (10**6, 3)])
+    assert len(whole) == len(rows) and whole == cut
+    assert chat_repair.repair_roles(turns.limit(0)).count() == 0
+
+
+def test_op9_votes_by_plain_loops():
+    """The family with most won pairs first, then the language of that family; ties by the sum of margins, then by name."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    letters = {"en": "etaoinsh", "de": "enisratd", "fr": "esaitnru", "es": "eaosrnid", "it": "eaionlrt"}
+    text = lambda lang, n=30: " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    langs = [lang for lang in letters for _ in range(12)]
+    model = language_id.Model(np.stack([language_id.counts(text(lang)) for lang in langs]), langs)
+    assert len(model.families) < len(letters)
+
+    def vote(machines, names, v):
+        won, total, margins = Counter(), Counter(), {n: [] for n in names}
+        for (a, b), w in zip(*machines, strict=True):
+            m = float(np.dot(w[:-1], v) + w[-1])
+            won[names[a] if m >= 0 else names[b]] += 1
+            for k, s in ((a, m), (b, -m)):
+                total[names[k]] += s
+                margins[names[k]].append(s)
+        best = sorted(names, key=lambda n: (-won[n], -total[n], names.index(n)))[0]
+        return best, 1 / (1 + np.exp(-4 * min(margins[best]))) if margins[best] else 1.0
+
+    for _ in range(60):
+        t = text(rnd.choice(list(letters)), 6)
+        v = language_id.counts(t)
+        family, sure = vote(model.first, model.families, v)
+        lang, more = vote(model.second[family], model.members[family], v)
+        got = model.predict(t)
+        assert got[0] == lang and abs(got[1] - min(sure, more)) < 1e-9
