@@ -187,9 +187,9 @@ def repair_roles(conversations: DataFrame, piece: int = 512) -> DataFrame:
     turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text", F.monotonically_increasing_id().alias("salt"))
     # pieces by the number of a turn in its conversation, so a conversation of any size and equal turn numbers are cut too
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "salt"]
-    turns = unplaced(running_sums(placed(turns, order, Rounds(spark, "turns")), ["conv"], {"nth": F.lit(1)})).drop("salt").withColumn("piece", F.floor((F.col("nth") - 1) / piece))
-    order = ["conv", "piece", "nth"]
-    costs = turns.select("conv", "piece", "nth", "role").repartition(parts, "conv", "piece").sortWithinPartitions(*order).drop("nth")
+    turns = unplaced(running_sums(placed(turns, order, Rounds(spark, "turns")), ["conv"], {"no": F.lit(1)})).drop("salt").withColumn("piece", F.floor((F.col("no") - 1) / piece))
+    order = ["conv", "piece", "no"]
+    costs = turns.select("conv", "piece", "no", "role").repartition(parts, "conv", "piece").sortWithinPartitions(*order).drop("no")
     costs = map_exact(costs, ["conv"], _pieces, "piece long, cost array<double>")
     cuts = map_exact(costs.repartition(parts, "conv").sortWithinPartitions("conv", "piece"), ["conv"], _cuts, "piece long, first int, last int, closes boolean, total double")
     cuts = scratch.keep(cuts.select(F.col("conv").alias("of"), F.col("piece").alias("nth"), "first", "last", "closes", "total"), "cuts")

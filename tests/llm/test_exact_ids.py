@@ -80,12 +80,12 @@ def test_op4_shards_do_not_depend_on_the_layout(spark):
 
 
 def test_op3_pieces_do_not_depend_on_turn_numbers(spark):
-    """Null, repeated and equal turn numbers, null texts, repeated rows and a null conversation: cut or whole, the repair is the same."""
+    """Null, repeated and equal turn numbers, null texts, repeated rows and a null conversation: cut or whole, all turns and the least cost are the same."""
     rnd = random.Random(3)
     rows = [(rnd.choice([1, None]), rnd.choice([None, 4, 4, 9]), rnd.choice(["user", "assistant", "System ", "tool", None]), rnd.choice([None, "", "x", "y"])) for _ in range(120)]
     rows += rows[:9]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    whole, cut = ([sorted(map(str, chat_repair.repair_roles(turns, piece=n).collect())) for n in (10**6, 3)])
+    whole, cut = (sorted(str((r.conv_id, r.turn, r.role, r.cost)) for r in chat_repair.repair_roles(turns, piece=n).collect()) for n in (10**6, 3))
     assert len(whole) == len(rows) and whole == cut
     assert chat_repair.repair_roles(turns.limit(0)).count() == 0
 
