@@ -66,7 +66,7 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str, rounds: Rou
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], rounds: Rounds) -> DataFrame:
-    """(by, q array): exact interpolated quantiles of each group's values, null and empty groups left out.
+    """(by, q array): exact interpolated quantiles of each group's values; nulls don't count, groups without values are left out (without ``by`` they are nulls).
 
     Distinct values are counted first, with partial sums in every task; so no buffer holds a column, and a value that fills a third of the rows is one row.
     """

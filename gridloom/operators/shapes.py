@@ -29,6 +29,13 @@ def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
+def rings_to_lines(df: DataFrame) -> DataFrame:
+    """Every ring of polygons (rings, ...) as a closed line (ring, line) with the polygon's own columns."""
+    out = df.select(*(c for c in df.columns if c != "rings"), F.posexplode("rings").alias("ring", "line")).filter(F.size("line") > 0)
+    closed = F.get("line", F.lit(0)) == F.element_at("line", -1)
+    return out.withColumn("line", F.when(closed, F.col("line")).otherwise(F.concat("line", F.slice("line", 1, 1))))
+
+
 def simplify(df: DataFrame, key: str, tolerance: float) -> DataFrame:
     """(key, points) lines with array columns xs and ys, simplified row by row in tasks."""
 

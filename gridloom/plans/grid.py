@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import grid as op
 from ..operators import scores as sc
+from ..operators import shapes
 from ..operators import stats
 from .registry import plan
 
@@ -186,11 +187,18 @@ def c09_boundary_edges(p: DataFrame) -> DataFrame:
     return op.boundary_edges(op.components(binary(p).filter("v = 1"), "v"), [])
 
 
-@plan("rect_targets", "SELECT fid, CAST(0 AS INT) AS ring, 5 AS n_points, 0 AS class_id FROM rect_targets")
+@plan("rect_targets", "SELECT fid, fid % 4 AS class_id, CAST(ring AS INT) AS ring, CASE WHEN ring = 0 AND fid % 3 > 0 THEN 5 ELSE 4 END AS n_points, CASE ring WHEN 0 THEN x1 ELSE x1 + 1 END AS first_x, CASE WHEN ring = 1 THEN 3 + sqrt(5.0E0) WHEN fid % 3 > 0 THEN 2 * (x2 - x1 + y2 - y1) ELSE (x2 - x1) + (y2 - y1) + sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) END AS length FROM rect_targets, (SELECT unnest([0, 1]) AS ring) r WHERE ring = 0 OR fid % 2 = 0")
 def c11_rings_to_lines(t: DataFrame) -> DataFrame:
-    corners = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"), ("x1", "y1")]
-    rings = t.select("fid", F.array(F.array(*(F.struct(C(a).alias("x"), C(b).alias("y")) for a, b in corners))).alias("rings"))
-    return rings.select("fid", F.posexplode("rings").alias("ring", "line")).select("fid", "ring", F.size("line").alias("n_points"), F.lit(0).alias("class_id"))
+    """Boxes and triangles, every second one with a hole; rings are closed where they aren't."""
+    at = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    box = F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"))
+    outer = F.when(C("fid") % 3 > 0, F.concat(box, F.slice(box, 1, 1))).otherwise(F.slice(box, 1, 3))
+    hole = F.array(at("x1 + 1", "y1 + 1"), at("x1 + 2", "y1 + 1"), at("x1 + 2", "y1 + 3"))
+    rings = F.when(C("fid") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    lines = shapes.rings_to_lines(t.select("fid", (C("fid") % 4).alias("class_id"), rings.alias("rings")))
+    p, n = C("line"), F.size("line")
+    length = F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0.0), lambda s, i: s + F.hypot(F.get(p, i + 1)["x"] - F.get(p, i)["x"], F.get(p, i + 1)["y"] - F.get(p, i)["y"]))
+    return lines.select("fid", "class_id", "ring", n.alias("n_points"), F.get(p, F.lit(0))["x"].alias("first_x"), length.alias("length"))
 
 
 @plan("pixels rect_masks", "SELECT p.x, p.y, coalesce(max_by(m.fid, m.fid), 0) AS burnt FROM pixels p LEFT JOIN rect_masks m ON p.x + 0.5 > m.x1 AND p.x + 0.5 < m.x2 AND p.y + 0.5 > m.y1 AND p.y + 0.5 < m.y2 GROUP BY 1, 2")
@@ -294,6 +302,18 @@ def m07_multipass(p: DataFrame) -> DataFrame:
     return sc.multipass(rows, 1, coverage=float("inf"), gain=0.0)
 
 
+OWNED = "SELECT x, y, CASE WHEN (red % 100) / 100.0E0 > 0.7 THEN 0 WHEN (green % 100) / 100.0E0 > 0.49 THEN 1 WHEN (blue % 100) / 100.0E0 > 0.343 THEN 2 END AS pass FROM pixels"
+
+
+@plan("pixels", f"""WITH o AS (SELECT * FROM ({OWNED}) WHERE pass IS NOT NULL), s AS (SELECT pass, count(*) * 1.0E0 / (SELECT count(*) FROM pixels) AS part FROM o GROUP BY 1),
+  r AS (SELECT pass, coalesce(sum(part) OVER w, 0) AS before, coalesce(bool_or(part < 0.001) OVER w, false) AS small FROM s WINDOW w AS (ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT x, y, CAST(pass AS INT) AS pass FROM o SEMI JOIN (SELECT pass FROM r WHERE before < 0.6 AND NOT small) USING (pass)""")
+def m07_multipass_stops(p: DataFrame) -> DataFrame:
+    """The first two passes cover over 60 % of the pixels, so the third doesn't run."""
+    rows = p.select("x", "y", F.posexplode(F.array(*((C(b) % 100) / 100 for b in ("red", "green", "blue")))).alias("pass", "score"))
+    return sc.multipass(rows, p.count(), coverage=0.6)
+
+
 INST = "SELECT region_id AS instance, region_id % 4 AS target, k AS class_id, bw AS w, bh AS h, ((region_id * 7 + k * 13) % 50) / 50.0E0 AS score FROM (SELECT *, unnest(range(4)) AS k FROM regions)"
 
 
