@@ -67,15 +67,14 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: i
     places = places.filter(F.col("token") != FIELD)
     counts = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("m"))
 
-    def forms_of(common: DataFrame, kind: list[Column]) -> DataFrame:
-        constant = places.join(common, ["leaf", "place", "token"])
-        forms = constant.groupBy("leaf", "body", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
-        return forms.filter(100 * F.size("constants") >= similarity * F.col("size")).select("leaf", "body", "size", F.xxhash64("leaf", "constants", *kind).alias("template"))
-
-    forms = forms_of(counts.filter(F.col("m") >= min_docs).drop("m"), [])
-    if share:
-        total = bodies.groupBy("leaf").agg(F.sum("n").alias("total"))
-        forms = forms.union(forms_of(counts.join(total, "leaf").filter((F.col("m") >= 2) & (100 * F.col("m") >= share * F.col("total"))).drop("m", "total"), [F.lit("share")]))
+    # both kinds of constants in one pass over the places: frequent in all texts, and in a share of the leaf's
+    total = bodies.groupBy("leaf").agg(F.sum("n").alias("total"))
+    known = counts.join(total, "leaf").select("leaf", "place", "token", (F.col("m") >= min_docs).alias("plain"), ((F.col("m") >= 2) & (100 * F.col("m") >= share * F.col("total")) if share else F.lit(False)).alias("relative"))
+    constant = places.join(known.filter("plain or relative"), ["leaf", "place", "token"])
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col(kind), F.struct("place", "token"))))
+    forms = constant.groupBy("leaf", "body", "size").agg(of("plain").alias("plain"), of("relative").alias("relative"))
+    enough = lambda kind, *mark: F.when(100 * F.size(kind) >= similarity * F.col("size"), F.xxhash64("leaf", kind, *mark))
+    forms = forms.select("leaf", "body", "size", F.explode(F.array(enough("plain"), enough("relative", F.lit("share")))).alias("template")).filter("template is not null")
     if long_tokens:
         size, fixed = F.size("tokens"), F.size(F.filter("tokens", lambda t: t != FIELD))
         whole = bodies.filter((size >= long_tokens) & (100 * fixed >= similarity * size))
