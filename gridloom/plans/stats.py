@@ -166,7 +166,7 @@ def a22_majority(p: DataFrame) -> DataFrame:
 
 @plan("pixels", "WITH w AS (SELECT x // 2 AS tx, y // 2 AS ty, red AS p, 1.0E0 / (1 + x % 3) AS w, y * 100000 + x AS no FROM pixels) SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, round_even(sum(p * w) / greatest(sum(w), 1e-6), 6) AS blended, max_by(p, no) AS last FROM w GROUP BY 1, 2")
 def a23_weighted_blend(p: DataFrame) -> DataFrame:
-    w = p.select(F.floor(C("x") / 2).alias("tx"), F.floor(C("y") / 2).alias("ty"), C("red").alias("p"), (1.0 / (1 + C("x") % 3)).alias("w"), (C("y") * 100000 + C("x")).alias("window_no"))
+    w = p.select(F.floor(C("x") / 2).alias("tx"), F.floor(C("y") / 2).alias("ty"), C("red").alias("p"), (1.0 / (1 + C("x") % 3)).alias("w"), (C("y").cast("long") * 100000 + C("x")).alias("window_no"))
     return op.blend(w, ["tx", "ty"], "p", "w").withColumn("blended", r6("blended"))
 
 
