@@ -41,3 +41,86 @@ def test_blend_of_far_rows(spark):
 
     p = spark.createDataFrame([(0, 60000, 1.0), (1, 60001, 2.0)], "x int, y int, red double")
     assert [(r.ty, r.last) for r in plans.a23_weighted_blend(p).collect()] == [(30000, 2.0)]
+
+
+def rects(spark, n, seed, copies):
+    rnd = random.Random(seed)
+    kinds = [(float(x), float(y), float(x + rnd.randint(2, 30)), float(y + rnd.randint(2, 30))) for x, y in ((rnd.randint(0, 90), rnd.randint(0, 90)) for _ in range(n))]
+    rows = [(i, *k) for i, k in enumerate(kinds * copies)]
+    return rows, spark.createDataFrame(rows, "fid long, x1 double, y1 double, x2 double, y2 double")
+
+
+def lattice(rows):
+    return {(x, y) for _, x1, y1, x2, y2 in rows for x in range(int(x1), int(x2)) for y in range(int(y1), int(y2))}
+
+
+def ringed(df):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return df.select("fid", F.array(F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))).alias("rings"))
+
+
+def test_each_kind_of_polygon_is_swept_once(spark, monkeypatch):
+    from gridloom.operators import overlay
+
+    (a, t), (b, m) = rects(spark, 5, 1, 6), rects(spark, 4, 2, 7)
+    dealt, swept = [], overlay.swept
+    monkeypatch.setattr(overlay, "swept", lambda df, *rest: dealt.append(df) or swept(df, *rest))
+    covered = lattice(b)
+    for rule, op in (("clip", overlay.clip), ("erase", overlay.erase)):
+        want = {r[0]: len(lattice([r]) & covered if rule == "clip" else lattice([r]) - covered) for r in a}
+        got = {r.fid: r.area for r in op(ringed(t), ringed(m), 64.0).select("fid", "area").collect()}
+        plain = {r.fid: r.area for r in op(ringed(t), ringed(m), 64.0, False).collect()}
+        assert got == plain == {k: v for k, v in want.items() if v}
+    line = t.select("fid", F.lit("LineString").alias("type"), F.array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y1").alias("y")))).alias("rings"))
+    areas = {r.fid: r.area for r in overlay.buffer_areas(line, 2.0, 8, 64.0).collect()}
+    assert areas == {r[0]: pytest.approx((r[3] - r[1]) * 4 + 64 * math.sin(math.pi / 16)) for r in a}
+    assert all(df.groupBy(*(c for c in df.columns if c in ("fid", "_kind")), "cx", "cy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 5 for df in dealt)
+    assert all(df.select(next(c for c in df.columns if c in ("fid", "_kind"))).distinct().count() <= 5 for df in dealt)
+
+
+def test_union_area_of_copies_and_cells(spark):
+    from gridloom.operators import vector
+
+    rows, t = rects(spark, 12, 3, 5)
+    df = t.withColumn("kind", F.when(F.col("fid") % 12 < 6, "a"))  # a null key too
+    want = {"a": len(lattice([r for r in rows if r[0] % 12 < 6])), None: len(lattice([r for r in rows if r[0] % 12 >= 6]))}
+    for cell in (None, 16.0):
+        got = {r["kind"]: r["area"] for r in vector.union_area(df, "kind", cell).collect()}
+        assert got["a"] == want["a"]
+    rows_b, m = rects(spark, 4, 4, 5)
+    got = {r.fid: r.area for r in vector.clip_boxes_to(t, m).collect()}
+    assert got == {r[0]: n for r in rows if (n := len(lattice([r]) & lattice(rows_b)))}
+
+
+def test_pairs_of_copies_meet_once(spark):
+    (a, t), (b, m) = rects(spark, 6, 5, 4), rects(spark, 6, 6, 3)
+    made = []
+    meet = lambda x, y: made.append((x.count(), y.count())) or joins.box_candidates(x, y, 16.0)
+    want = sorted((p[0], q[0]) for p, q in itertools.product(a, b) if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
+    assert sorted(map(tuple, joins.copies_met(t, m, [], meet).select("fid_a", "fid_b").collect())) == want
+    assert made == [(6, 6)]
+
+
+def test_first_copies_give_the_matches_of_all(spark):
+    rnd = random.Random(7)
+    kinds = [(rnd.randint(0, 30), rnd.randint(0, 30), rnd.randint(5, 20), rnd.randint(5, 20)) for _ in range(8)]
+    rows = [(i, i % 2, "ab"[rnd.randint(0, 1)], x, y, x + w, y + h, 0.9) for i, (x, y, w, h) in enumerate(kinds * 5)]
+    names = "box_id long, image_id long, label string, x1 int, y1 int, x2 int, y2 int, score double"
+    pred, gt = spark.createDataFrame(rows, names), spark.createDataFrame([(r[0] + 100, *r[1:2], "ab"[rnd.randint(0, 1)], *r[3:]) for r in rows[::-1]], names)
+    got = {(r.gt_label, r.pred_label): r.n for r in boxes.detection_confusion(pred, gt).collect()}
+    plain = boxes.best_pairs(boxes.iou_pairs(pred, gt, ["image_id"]), 0.45).collect()
+    want = Counter((r.label_b, r.label_a) for r in plain)
+    assert {k: n for k, n in got.items() if "background" not in k} == want
+    assert sum(n for (g, p), n in got.items() if p == "background") == len(rows) - len(plain)
+
+
+def test_copies_of_vertices_see_what_their_place_sees(spark):
+    from gridloom.operators import visibility
+
+    places = [(0.0, 0.0), (10.0, 0.0), (0.0, 6.0)]
+    v = spark.createDataFrame([(i, *places[i % 3]) for i in range(9)], "vid long, x double, y double")
+    wall = spark.createDataFrame([([[{"x": x, "y": y} for x, y in ((4.0, -1.0), (5.0, -1.0), (5.0, 1.0), (4.0, 1.0))]],)] * 4, "rings array<array<struct<x: double, y: double>>>")
+    got = sorted((r.src, r.dst, r.w) for r in visibility.visibility_graph(v, wall, 100.0, 8.0).collect())
+    hidden = {0, 1}
+    want = sorted((i, j, math.hypot(places[i % 3][0] - places[j % 3][0], places[i % 3][1] - places[j % 3][1])) for i in range(9) for j in range(9) if i != j and {i % 3, j % 3} != hidden)
+    assert got == want
