@@ -51,7 +51,7 @@ def j06_exclude_ids(o: DataFrame) -> DataFrame:
 
 @plan("rect_targets rect_masks", "SELECT t.fid AS fid_a, m.fid AS fid_b FROM rect_targets t JOIN rect_masks m ON t.x1 < m.x2 AND m.x1 < t.x2 AND t.y1 < m.y2 AND m.y1 < t.y2")
 def j07_box_candidates(t: DataFrame, m: DataFrame) -> DataFrame:
-    return op.box_candidates(t.drop("kind"), m.drop("kind"), 50.0).select("fid_a", "fid_b")
+    return op.copies_met(t.drop("kind"), m.drop("kind"), [], lambda a, b: op.box_candidates(a, b, 50.0)).select("fid_a", "fid_b")
 
 
 @plan("rect_targets rect_masks", "SELECT t.fid AS point, m.fid FROM rect_targets t JOIN rect_masks m ON t.x1 + 0.5 > m.x1 AND t.x1 + 0.5 < m.x2 AND t.y1 + 0.5 > m.y1 AND t.y1 + 0.5 < m.y2")
@@ -67,9 +67,10 @@ IOU_SQL = """i AS (SELECT a.box_id AS a, b.box_id AS b, a.image_id, greatest(0,
 
 @plan("boxes_pred boxes_gt", f"WITH {IOU_SQL} SELECT a, b, round_even(inter * 1.0E0 / (sa + sb - inter), 6) AS iou FROM i WHERE inter * 1.0E0 / (sa + sb - inter) >= 0.5")
 def j09_box_iou_join(p: DataFrame, g: DataFrame) -> DataFrame:
-    from ..operators.boxes import iou_pairs
+    from ..operators.boxes import SIDES, iou_pairs_of_copies
 
-    return iou_pairs(p, g, ["image_id"]).filter("iou >= 0.5").select(C("box_id_a").alias("a"), C("box_id_b").alias("b"), r6("iou").alias("iou"))
+    slim = ["image_id", "box_id", *SIDES]
+    return iou_pairs_of_copies(p.select(slim), g.select(slim), ["image_id"], 0.5).select(C("box_id_a").alias("a"), C("box_id_b").alias("b"), r6("iou").alias("iou"))
 
 
 @plan("regions labels", "SELECT region_id, v.verdict, v.verdict IS NOT NULL AS classified FROM regions LEFT JOIN (SELECT doc_id, max_by(quality, toxic * 10 + quality) AS verdict FROM labels WHERE doc_id > 0 GROUP BY 1) v ON region_id = doc_id")
