@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .joins import box_candidates
 from .overlay import buffered, dissolved_rings
+from .rounds import Rounds
 
 
 def obstacle_rings(shapes: DataFrame, point_radius: float, line_radius: float, cell: float, steps: int = 8) -> DataFrame:
@@ -98,7 +99,7 @@ def in_sight(segments: DataFrame, obstacles: DataFrame, cell: float, within: boo
     """
     flat = F.flatten("rings")
     side = lambda f, c: f(F.transform(flat, lambda p: p[c]))
-    of = obstacles.filter(F.size(flat) > 0).withColumn("oid", F.xxhash64("rings"))
+    of = obstacles.filter(F.size(flat) > 0).select("rings").distinct().withColumn("oid", F.xxhash64("rings"))
     box = {"x1": side(F.array_min, "x"), "y1": side(F.array_min, "y"), "x2": side(F.array_max, "x"), "y2": side(F.array_max, "y")}
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     stands = of.withColumns(box).withColumn("cx", cells("x1", "x2")).withColumn("cy", cells("y1", "y2")).select("oid", "cx", "cy", *box)
@@ -111,6 +112,16 @@ def in_sight(segments: DataFrame, obstacles: DataFrame, cell: float, within: boo
 
 
 def visibility_graph(vertices: DataFrame, obstacles: DataFrame, reach: float, cell: float) -> DataFrame:
-    """(src, dst, w) in both directions of the vertices (vid, x, y) that see each other, for ``shortest_paths``."""
-    seen = in_sight(near_pairs(vertices, reach), obstacles, cell)
+    """(src, dst, w) in both directions of the vertices (vid, x, y) that see each other, for ``shortest_paths``.
+
+    Places are looked at once: all vertices at a place see what it sees, and each other.
+    """
+    rounds = Rounds(vertices.sparkSession, "sight")
+    places = rounds.keep(vertices.filter("x is not null and y is not null").groupBy("x", "y").agg(F.min("vid").alias("vid")), "places")
+    sight = rounds.keep(in_sight(near_pairs(places, reach), obstacles, cell).select("a", "b", "w"), "sight")
+    at = rounds.keep(vertices.select("vid", "x", "y").join(places.withColumnRenamed("vid", "place"), ["x", "y"]).select("vid", "place"), "at")
+    end = lambda n: at.select(F.col("vid").alias(n), F.col("place").alias(f"_{n}"))
+    far = sight.select(F.col("a").alias("_u"), F.col("b").alias("_v"), "w").join(end("u"), "_u").join(end("v"), "_v").select(F.col("u").alias("a"), F.col("v").alias("b"), "w")
+    same = end("a").join(end("b"), F.col("_a") == F.col("_b")).filter("a < b").select("a", "b", F.lit(0.0).alias("w"))
+    seen = far.union(same)
     return seen.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(seen.select("b", "a", "w"))
