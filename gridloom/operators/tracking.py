@@ -2,7 +2,7 @@
 
 Truth and tracker detections are tables (seq, frame, track, det, cls) with a det number of its own each, and their overlapping pairs are a table
 (a, b, sim) of det numbers. What a pair of tracks shares over a whole sequence is summed over these pairs first; it weights the assignment of every frame,
-which is solved in groups of objects that touch. All thresholds follow from one assignment, as counts by the number of
+which is solved frame by frame in groups of objects that touch. All thresholds follow from one assignment, as counts by the number of
 thresholds that a match passes; no step loops over frames or thresholds.
 """
 
@@ -22,16 +22,17 @@ CLASS_ALPHAS = tuple(range(50, 100, 5))
 
 
 def named(pairs: DataFrame, truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs with the truth's and the tracker's tracks; both sides have the columns ``by``."""
-    a = truth.select(*by, F.col("det").alias("a"), F.col("track").alias("gt"))
+    """Pairs with their frame, and the truth's and the tracker's tracks; both sides have the columns ``by``."""
+    a = truth.select(*by, "frame", F.col("det").alias("a"), F.col("track").alias("gt"))
     b = found.select(*by, F.col("det").alias("b"), F.col("track").alias("tk"))
     return pairs.select("a", "b", "sim").filter("sim > 0").join(a, "a").join(b, [*by, "b"])
 
 
 def aligned(pairs: DataFrame, truth: DataFrame, found: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
     """(by, gt, tk, m, n_gt, n_tk, score): overlap that two tracks share, summed over their sequence, and its share of both tracks' detections."""
-    total = lambda side: F.sum("sim").over(Window.partitionBy(*by, side))
-    soft = pairs.withColumn("soft", F.col("sim") / (total("a") + total("b") - F.col("sim")))
+    # a detection's pairs are all in its frame, so one dealing by frames serves both sides
+    total = lambda side: F.sum("sim").over(Window.partitionBy(*by, "frame", side))
+    soft = pairs.repartition(*by, "frame").withColumn("soft", F.col("sim") / (total("a") + total("b") - F.col("sim")))
     shared = soft.groupBy(*by, "gt", "tk").agg(F.sum("soft").alias("m"))
     count = lambda df, name, n: df.groupBy(*by, F.col("track").alias(name)).agg(F.count("*").alias(n))
     both = shared.join(count(truth, "gt", "n_gt"), [*by, "gt"]).join(count(found, "tk", "n_tk"), [*by, "tk"])
@@ -41,7 +42,7 @@ def aligned(pairs: DataFrame, truth: DataFrame, found: DataFrame, by: list[str],
 def matched(pairs: DataFrame, tracks: DataFrame, by: list[str], rounds: Rounds) -> DataFrame:
     """The pairs of the assignment with the largest sum of track score times similarity, frame by frame."""
     weighted = pairs.join(tracks.select(*by, "gt", "tk", "score"), [*by, "gt", "tk"])
-    chosen = optimal_pairs(weighted.select("a", "b", (F.col("score") * F.col("sim")).alias("iou")))
+    chosen = optimal_pairs(weighted.select(*by, "frame", "a", "b", (F.col("score") * F.col("sim")).alias("iou")), [*by, "frame"])
     return rounds.keep(pairs.join(chosen.select("a", "b"), ["a", "b"]), "matched")
 
 

@@ -163,3 +163,16 @@ def test_tracking_without_rows(spark):
     assert tracking.hota(truth.limit(0), found, pairs).filter("tp > 0").count() == 0
     assert tracking.teta(truth, found.limit(0), pairs).filter("loc_tp > 0 or loc_fp > 0").count() == 0
     assert tracking.teta(truth.limit(0), found, pairs).count() == 0
+
+
+def test_frames_are_solved_without_rounds(spark, monkeypatch):
+    from gridloom.operators import assign
+
+    rnd = random.Random(3)
+    rows = [(f, 100 * f + i, 100 * f + j, rnd.random()) for f in range(12) for i in range(5) for j in range(6) if rnd.random() < 0.4]
+    pairs = spark.createDataFrame(rows, "frame long, a long, b long, iou double")
+    plain = sorted(map(tuple, assign.optimal_pairs(pairs).collect()))
+    assert sorted(map(tuple, assign.optimal_pairs(pairs, ["frame"], 9).collect())) == plain  # some frames by rounds
+    monkeypatch.setattr(assign, "components_of", lambda *_: pytest.fail("rounds over frames that a task can hold"))
+    assert sorted(map(tuple, assign.optimal_pairs(pairs, ["frame"]).collect())) == plain
+    assert tracking.hota(*tables(spark, *scene(1))).filter("tp > 0").count() > 0
