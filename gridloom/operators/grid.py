@@ -6,6 +6,8 @@ operator and no driver state. Connected components are labelled tile by tile and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +30,17 @@ def tiles(extents: DataFrame, size: int, stride: int, edge: str = "pad") -> Data
     def starts(side: Column) -> Column:
         return F.sequence(F.lit(0), F.greatest(side - 1, F.lit(0)), F.lit(stride))
 
-    out = extents.withColumn("x0", F.explode(starts(F.col("w")))).withColumn("y0", F.explode(starts(F.col("h"))))
+    def laid(df: DataFrame, at: Callable[[str], Column]) -> DataFrame:
+        return df.withColumn("x0", F.explode(at("w"))).withColumn("y0", F.explode(at("h")))
+
+    if edge == "square":
+        # a side's last starts may fall together, so they are made distinct before there are tiles: no tile is shuffled
+        back = lambda side: F.array_distinct(F.transform(starts(F.col(side)), lambda p: F.greatest(F.least(p, F.col(side) - size), F.lit(0))))
+        return laid(extents.distinct(), back).withColumns({"tw": F.least(F.lit(size), F.col("w")), "th": F.least(F.lit(size), F.col("h"))})
+    out = laid(extents, lambda side: starts(F.col(side)))
     if edge == "pad":
         return out.withColumns({"tw": F.lit(size), "th": F.lit(size)})
-    if edge == "cut":
-        return out.withColumns({"tw": F.least(F.lit(size), F.col("w") - F.col("x0")), "th": F.least(F.lit(size), F.col("h") - F.col("y0"))})
-    back = lambda p, side: F.greatest(F.least(F.col(p), F.col(side) - size), F.lit(0))
-    return out.withColumns({"x0": back("x0", "w"), "y0": back("y0", "h"), "tw": F.least(F.lit(size), F.col("w")), "th": F.least(F.lit(size), F.col("h"))}).distinct()
+    return out.withColumns({"tw": F.least(F.lit(size), F.col("w") - F.col("x0")), "th": F.least(F.lit(size), F.col("h") - F.col("y0"))})
 
 
 def covering_tiles(df: DataFrame, size: int, stride: int) -> DataFrame:

@@ -122,3 +122,15 @@ def test_copies_of_vertices_see_what_their_place_sees(spark):
     hidden = {0, 1}
     want = sorted((i, j, math.hypot(places[i % 3][0] - places[j % 3][0], places[i % 3][1] - places[j % 3][1])) for i in range(9) for j in range(9) if i != j and {i % 3, j % 3} != hidden)
     assert got == want
+
+
+def test_square_tiles_are_not_shuffled(spark):
+    from gridloom.operators import grid
+
+    rows = [(1, 100, 300), (1, 100, 300), (2, 129, 128), (3, 0, 5), (4, None, 260)]
+    out = grid.tiles(spark.createDataFrame(rows, "scene_id long, w int, h int"), 128, 100, "square")
+    starts = lambda side: sorted({max(min(p, side - 128), 0) for p in range(0, max(side, 1), 100)}) if side is not None else [0]
+    want = sorted((i, x, y) for i, w, h in set(rows) for x in starts(w) for y in starts(h))
+    assert sorted(map(tuple, out.select("scene_id", "x0", "y0").collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # distinct rows come before tiles (plans are written from the end)
