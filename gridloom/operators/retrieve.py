@@ -83,6 +83,8 @@ def upsert_vectors(store: DataFrame, fresh: DataFrame, key: str, embed: Callable
 
 #: Centres that vectors gather around (a bounded sample goes to the driver), vectors of a block and queries of a chunk, on average.
 CENTRES, BLOCK, CHUNK = 256, 4096, 4096
+#: Scores that a task holds at a time, and rows of a query and a centre.
+SCORES, ROWS = 1 << 21, 1 << 15
 #: Distances are compared with this slack, so rounding never skips a block.
 SLACK = 1e-6
 
@@ -96,15 +98,15 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
-def _gathered(centres: np.ndarray, splits: int):
-    """Each vector's block: its nearest centre, and a part of it by the vector's id."""
+def _gathered(centres: np.ndarray):
+    """Each vector's nearest centre and its distance."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 far = _far(_stacked(frame["v"]), centres)
                 near = far.argmin(axis=1)
-                yield pd.DataFrame({"centre": near.astype(np.int64), "part": frame["h"].to_numpy() % splits, "vec_id": frame["vec_id"], "v": frame["v"], "far": far[np.arange(len(far)), near]})
+                yield pd.DataFrame({"centre": near.astype(np.int64), "h": frame["h"], "vec_id": frame["vec_id"], "v": frame["v"], "far": far[np.arange(len(far)), near]})
 
     return run
 
@@ -116,12 +118,14 @@ def _reached(centres: np.ndarray, radius: np.ndarray, chunks_: int):
         for frame in frames:
             if not len(frame):
                 continue
-            far = np.where(radius < 0, np.inf, _far(_stacked(frame["q"]), centres))
-            within = frame["within"].to_numpy()
-            hit = far - radius <= within[:, None] + SLACK
-            hit[np.isnan(within)] = far[np.isnan(within)] == far[np.isnan(within)].min(axis=1, keepdims=True)
-            i, c = np.nonzero(hit & np.isfinite(far))
-            yield pd.DataFrame({"centre": c.astype(np.int64), "chunk": frame["h"].to_numpy()[i] % chunks_, "query_id": frame["query_id"].to_numpy()[i], "q": frame["q"].to_numpy()[i], "within": within[i], "gap": far[i, c]})
+            step = max(1, ROWS // len(centres))  # a query may reach all centres, so its vector goes out that often
+            for part in (frame.iloc[n : n + step] for n in range(0, len(frame), step)):
+                far = np.where(radius < 0, np.inf, _far(_stacked(part["q"]), centres))
+                within = part["within"].to_numpy()
+                hit = far - radius <= within[:, None] + SLACK
+                hit[np.isnan(within)] = far[np.isnan(within)] == far[np.isnan(within)].min(axis=1, keepdims=True)
+                i, c = np.nonzero(hit & np.isfinite(far))
+                yield pd.DataFrame({"centre": c.astype(np.int64), "chunk": part["h"].to_numpy()[i] % chunks_, "query_id": part["query_id"].to_numpy()[i], "q": part["q"].to_numpy()[i], "within": within[i], "gap": far[i, c]})
 
     return run
 
@@ -136,10 +140,15 @@ def _best(k: int):
         if not len(queries) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         block = block.sort_values("vec_id", kind="stable")
-        score = np.round(_stacked(queries["q"]) @ _stacked(block["v"]).T, 9)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(queries)), top.shape[1])
-        return pd.DataFrame(dict(zip(names, (queries["query_id"].to_numpy()[row], block["vec_id"].to_numpy()[top.ravel()], score[row, top.ravel()]), strict=True)))
+        v, ids = _stacked(block["v"]), block["vec_id"].to_numpy()
+        step = max(1, SCORES // len(v))
+        found = []
+        for part in (queries.iloc[n : n + step] for n in range(0, len(queries), step)):
+            score = np.round(_stacked(part["q"]) @ v.T, 9)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(part)), top.shape[1])
+            found.append(pd.DataFrame(dict(zip(names, (part["query_id"].to_numpy()[row], ids[top.ravel()], score[row, top.ravel()]), strict=True))))
+        return pd.concat(found, ignore_index=True)
 
     return run
 
@@ -159,19 +168,21 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, least: floa
     if not sample:
         return vectors.sparkSession.createDataFrame([], f"{scheme}, rank int")
     middle = np.array([r["v"] for r in sample])
-    splits, chunks_ = max(1, -(-v.count() // (block * len(middle)))), max(1, -(-q.count() // chunk))
+    chunks_ = max(1, -(-q.count() // chunk))
     kind = v.schema["vec_id"].dataType.simpleString()
-    blocks = rounds.keep(v.mapInPandas(_gathered(middle, splits), f"centre long, part long, vec_id {kind}, v array<double>, far double"), "blocks")
-    radius = np.full(len(middle), -1.0)
-    for r in blocks.groupBy("centre").agg(F.max("far").alias("far")).collect():  # a row a centre
-        radius[r["centre"]] = r["far"]
+    blocks = rounds.keep(v.mapInPandas(_gathered(middle), f"centre long, h long, vec_id {kind}, v array<double>, far double"), "blocks")
+    radius, splits = np.full(len(middle), -1.0), [1] * len(middle)
+    for r in blocks.groupBy("centre").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row a centre
+        radius[r["centre"]], splits[r["centre"]] = r["far"], -(-r["n"] // block)
+    parts = F.get(F.array(*(F.lit(n).cast("long") for n in splits)), F.col("centre").cast("int"))  # of a centre's own vectors
+    blocks = blocks.withColumn("part", F.col("h") % parts).drop("h")
     asked = f"centre long, chunk long, query_id {q.schema['query_id'].dataType.simpleString()}, q array<double>, within double, gap double"
 
     def search(these: DataFrame, but: DataFrame | None) -> DataFrame:
         reach = these.mapInPandas(_reached(middle, radius, chunks_), asked)
         if but is not None:
             reach = reach.join(but, ["query_id", "centre"], "left_anti")
-        cells = reach.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
+        cells = reach.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         spread = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks_ - 1).cast("long"))))
         keys = ["centre", "part", "chunk"]
         found = cells.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_best(k), scheme)

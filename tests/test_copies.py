@@ -134,3 +134,27 @@ def test_square_tiles_are_not_shuffled(spark):
     assert sorted(map(tuple, out.select("scene_id", "x0", "y0").collect())) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # distinct rows come before tiles (plans are written from the end)
+
+
+def test_search_holds_few_scores_and_rows(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from gridloom.operators import retrieve
+
+    rng = np.random.default_rng(1)
+    unit = lambda n: [x / np.linalg.norm(x) for x in rng.normal(size=(n, 4))]
+    block = pd.DataFrame({"vec_id": np.arange(4000), "v": unit(4000), "far": 0.1})
+    asked = pd.DataFrame({"query_id": np.arange(4000), "q": unit(4000), "within": 3.0, "gap": 0.0})
+    tracemalloc.start()
+    got = retrieve._best(3)(asked, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 12000 and peak < 120e6
+    best = np.round(np.stack(asked["q"]) @ np.stack(block["v"]).T, 9).max(axis=1)
+    assert (got.groupby("query_id")["score"].max().to_numpy() == best).all()
+    centres = np.stack(unit(64))
+    frames = list(retrieve._reached(centres, np.full(64, 2.0), 1)(iter([asked.assign(h=0)])))
+    assert sum(map(len, frames)) == 4000 * 64 and max(map(len, frames)) <= retrieve.ROWS
