@@ -170,3 +170,26 @@ def test_copies_of_segments_are_tested_once(spark):
     assert sorted(r.sid for r in out.collect()) == [i for i in range(30) if i % 3] + [99]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") > plan.rindex("Generate")  # boxes are made distinct before they are dealt to cells
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_confusion_pairs_kinds(spark, seed, monkeypatch):
+    rnd = random.Random(seed)
+    shapes = [(float(x), float(y), float(x + 10), float(y + 10)) for x, y in ((rnd.randint(0, 5), rnd.randint(0, 5)) for _ in range(6))]  # many equal IoUs
+    ids = rnd.sample(range(1000), 80)
+    rows = [[(i, 0, rnd.choice("ab"), *rnd.choice(shapes)) for i in part] for part in (ids[:35], ids[35:])]
+    pred, gt = (spark.createDataFrame(r, "box_id long, image_id long, label string, x1 double, y1 double, x2 double, y2 double") for r in rows)
+    w = lambda p, q, i: max(0.0, min(p[i + 2], q[i + 2]) - max(p[i], q[i]))
+    both = lambda p, q: w(p, q, 3) * w(p, q, 4)
+    pairs = sorted(((both(p, q) / (200 - both(p, q)), p, q) for p in rows[0] for q in rows[1]), key=lambda t: (t[0], t[1][0], t[2][0]), reverse=True)
+    used, want = set(), Counter()
+    for v, p, q in pairs:
+        if v >= 0.4 and not {(0, p[0]), (1, q[0])} & used:
+            used |= {(0, p[0]), (1, q[0])}
+            want[q[2], p[2]] += 1
+    want.update((("background", p[2]) for p in rows[0] if (0, p[0]) not in used))
+    want.update(((q[2], "background") for q in rows[1] if (1, q[0]) not in used))
+    met, pair = [], boxes.iou_pairs
+    monkeypatch.setattr(boxes, "iou_pairs", lambda a, b, on: met.append((a.count(), b.count())) or pair(a, b, on))
+    assert {(r.gt_label, r.pred_label): r.n for r in boxes.greedy_confusion(pred, gt, 0.4).collect()} == want
+    assert met[0] == tuple(len({r[3:] for r in side}) for side in rows)
