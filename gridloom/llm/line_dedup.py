@@ -13,7 +13,7 @@ its relative constants: tokens in ``share`` % of the texts of their leaf at leas
 values stays a field there at every size of the corpus. A line goes if one of its templates recurs and it isn't the first
 of that one; the lines that share templates keep one at least.
 
-Texts, leaves, bodies and templates are told apart by 64-bit hashes: of n of them a share of about n / 2**64 meets another one, so at 10**12
+Texts, leaves, bodies, tokens at their places and templates are told apart by 64-bit hashes: of n of them a share of about n / 2**64 meets another one, so at 10**12
 lines a line in twenty million may be taken for another's copy.
 
 Copies of one whole text count as one text, so a group of copies doesn't make its own lines boilerplate.
@@ -34,6 +34,8 @@ FIELD = "<*>"
 BROADCAST_TEMPLATES = 200_000
 #: Leaves that recur (8 bytes each) are broadcast to the lines up to this number, so that no line is shuffled to be dropped.
 BROADCAST_LEAVES = 3_000_000
+#: The same for the leaves with their number of texts (about 50 bytes each).
+BROADCAST_TOTALS = 1_000_000
 
 
 def masked(tokens: Column) -> Column:
@@ -41,52 +43,66 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
 
 
+def masked_line(tokens: Column) -> Column:
+    """All tokens masked, joined by blanks. A field begins after a blank only, so a token without a digit is looked at once."""
+    return F.regexp_replace(F.array_join(tokens, " "), "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+
+
 def lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """(id, v, at, raw, leaf) of each line of min_tokens tokens or more; v is the hash of the whole text.
 
-    Only the leading tokens are masked here; the others are once their leaf is known to recur.
+    Only the leading tokens are masked here; the others are once their leaf is known to recur. Spaces are made blanks in the whole text first,
+    since a split at one blank needs no pattern.
     """
-    out = docs.select("id", "v", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
-    out = out.select("id", "v", "at", F.array_remove(F.split("line", "[\\x20\\x09-\\x0D]+", -1), "").alias("raw")).filter(F.size("raw") >= min_tokens)
+    blanks = F.regexp_replace("text", r"[\x09\x0B-\x0D]", " ")
+    out = docs.select("id", "v", F.posexplode_outer(F.split(blanks, "\n", -1)).alias("at", "line"))
+    out = out.select("id", "v", "at", F.array_remove(F.split("line", " ", -1), "").alias("raw")).filter(F.size("raw") >= max(min_tokens, 1))
     return out.select("id", "v", "at", "raw", F.xxhash64(F.size("raw"), masked(F.slice("raw", 1, depth))).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int, min_docs: int, similarity: int, keep_first: bool, long_tokens: int = 0, long_docs: int = 2, share: int = 0) -> DataFrame:
-    """(v, id, at) of the lines to drop. ``docs`` has id, text and v."""
+    """(id, v, gone) with the places of the lines to drop, written to ``scratch``. ``docs`` has id, text and v."""
     every = lines(docs, depth, min_tokens)
     need = F.when(F.col("size") >= long_tokens, min(long_docs, min_docs)).otherwise(min_docs) if long_tokens else F.lit(min_docs)
     # leaves that many distinct texts reach; a text counts once
     seen = every.select("leaf", "v", F.size("raw").alias("size")).distinct().groupBy("leaf", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("leaf")
     seen = scratch.keep(seen, "leaves")
-    kept = every.join(F.broadcast(seen) if seen.count() <= BROADCAST_LEAVES else seen, "leaf", "left_semi").select("id", "v", "at", "leaf", masked(F.col("raw")).alias("tokens"))
-    kept = scratch.keep(kept.select("*", F.xxhash64("tokens").alias("body")), "lines")
-    # distinct bodies of each leaf with the number of texts that have them
-    bodies = kept.select("leaf", "body", "v").distinct().groupBy("leaf", "body").agg(F.count("*").alias("n"))
-    bodies = bodies.join(kept.groupBy("leaf", "body").agg(F.first("tokens").alias("tokens")), ["leaf", "body"])
-    places = bodies.select("leaf", "body", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
-    places = places.filter(F.col("token") != FIELD)
-    counts = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("m"))
+    n_leaves = seen.count()
+    kept = every.join(F.broadcast(seen) if n_leaves <= BROADCAST_LEAVES else seen, "leaf", "left_semi").select("id", "v", "at", "leaf", F.size("raw").alias("size"), masked_line(F.col("raw")).alias("line"))
+    kept = scratch.keep(kept.withColumn("body", F.xxhash64("line")), "lines")
+    # distinct bodies with the number of texts that have them; a body is in one leaf
+    bodies = kept.select("body", "v").distinct().groupBy("body").agg(F.count("*").alias("n"))
+    bodies = scratch.keep(bodies.join(kept.groupBy("body").agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("line").alias("line")), "body"), "bodies")
+    total = bodies.groupBy("leaf").agg(F.sum("n").alias("total"))
+    tokens = F.split("line", " ", -1)
+    # a token at its place in a leaf is one hash from here on, so shuffles carry no text
+    keys = F.filter(F.transform(tokens, lambda t, i: F.when(t != FIELD, F.xxhash64("leaf", i, t))), lambda k: k.isNotNull())
+    counts = bodies.join(F.broadcast(total) if n_leaves <= BROADCAST_TOTALS else total, "leaf").select("n", "total", F.explode(keys).alias("key"))
+    counts = counts.groupBy("key").agg(F.sum("n").alias("m"), F.first("total").alias("total")).filter("m >= 2" if min_docs > 1 else "true")
 
     # both kinds of constants in one pass over the places: frequent in all texts, and in a share of the leaf's
-    total = bodies.groupBy("leaf").agg(F.sum("n").alias("total"))
-    known = counts.join(total, "leaf").select("leaf", "place", "token", (F.col("m") >= min_docs).alias("plain"), ((F.col("m") >= 2) & (100 * F.col("m") >= share * F.col("total")) if share else F.lit(False)).alias("relative"))
-    constant = places.join(known.filter("plain or relative"), ["leaf", "place", "token"])
-    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col(kind), F.struct("place", "token"))))
-    forms = constant.groupBy("leaf", "body", "size").agg(of("plain").alias("plain"), of("relative").alias("relative"))
-    enough = lambda kind, *mark: F.when(100 * F.size(kind) >= similarity * F.col("size"), F.xxhash64("leaf", kind, *mark))
-    forms = forms.select("leaf", "body", "size", F.explode(F.array(enough("plain"), enough("relative", F.lit("share")))).alias("template")).filter("template is not null")
+    relative = (F.col("m") >= 2) & (100 * F.col("m") >= share * F.col("total")) if share else F.lit(False)
+    known = counts.select("key", (F.col("m") >= min_docs).alias("plain"), relative.alias("relative")).filter("plain or relative")
+    constant = bodies.select("body", F.explode(keys).alias("key")).join(known, "key")
+    # a set of constants is told by the XOR of its hashes and its size
+    of = lambda kind: (F.bit_xor(F.when(F.col(kind), F.col("key"))).alias(kind), F.count_if(F.col(kind)).alias(f"n_{kind}"))
+    forms = bodies.select("body", "leaf", "size").join(constant.groupBy("body").agg(*of("plain"), *of("relative")), "body")
+    enough = lambda kind, *mark: F.when((F.col(f"n_{kind}") > 0) & (100 * F.col(f"n_{kind}") >= similarity * F.col("size")), F.xxhash64("leaf", kind, f"n_{kind}", *mark))
+    forms = forms.select("body", "size", F.explode(F.array(enough("plain"), enough("relative", F.lit("share")))).alias("template")).filter("template is not null")
     if long_tokens:
-        size, fixed = F.size("tokens"), F.size(F.filter("tokens", lambda t: t != FIELD))
-        whole = bodies.filter((size >= long_tokens) & (100 * fixed >= similarity * size))
-        forms = forms.union(whole.select("leaf", "body", size.alias("size"), F.xxhash64("leaf", "body", F.lit("whole")).alias("template")))
-    matched = scratch.keep(kept.select("id", "v", "at", "leaf", "body").join(forms, ["leaf", "body"]).select("id", "v", "at", "size", "template"), "matched")
+        fixed = F.size(F.filter(tokens, lambda t: t != FIELD))
+        whole = bodies.filter((F.col("size") >= long_tokens) & (100 * fixed >= similarity * F.col("size")))
+        forms = forms.union(whole.select("body", "size", F.xxhash64("body", F.lit("whole")).alias("template")))
+    matched = scratch.keep(kept.select("id", "v", "at", "body").join(forms, "body").select("id", "v", "at", "size", "template"), "matched")
     often = matched.select("template", "size", "v").distinct().groupBy("template", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= need).drop("size")
     often = often.join(matched.groupBy("template").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "at")).alias("first")), "template")
     often = scratch.keep(often, "often")
     gone = matched.join(F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often, "template")
     if keep_first:
         gone = gone.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("v") == F.col("first.v")) & (F.col("at") == F.col("first.at"))))
-    return gone.select("id", "v", "at").distinct()
+    gone = scratch.keep(gone.groupBy("id", "v").agg(F.collect_set("at").alias("gone")), "gone")
+    scratch.drop(seen, kept, bodies, matched, often)
+    return gone
 
 
 def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 10, similarity: int = 60, keep_first: bool = True, long_tokens: int = 20, long_docs: int = 2, share: int = 20) -> DataFrame:
@@ -94,7 +110,6 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("v"))
     gone = recurring_lines(slim, scratch, depth, min_tokens, min_docs, similarity, keep_first, long_tokens, long_docs, share)
-    gone = scratch.keep(gone.groupBy("id", "v").agg(F.collect_set("at").alias("gone")), "gone")
     marks = gone.select(F.col("id").alias("_line_id"), F.col("v").alias("_line_v"), F.col("gone").alias("_line_gone"))
     out = docs.join(marks, docs[id_col].eqNullSafe(marks["_line_id"]) & (F.xxhash64(docs[text_col]) == marks["_line_v"]), "left")
     split = F.split(docs[text_col], "\n", -1)

@@ -99,6 +99,26 @@ def test_op1_edges(docs):
     assert "logged in" in left[0] and not any("logged in" in left[i] for i in range(1, 12))
 
 
+def test_line_dedup_keeps_no_table_but_its_marks(spark, docs):
+    """Op1 left every line that it had looked at in the shared folder (it took 3.6 times the input of disk)."""
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {x for x in folder.glob("gridloom-lines-*/*") if list(x.glob("part-*"))}
+    before = tables()
+    line_dedup.drop_template_lines(docs)
+    assert [x.name.partition("-")[2] for x in tables() - before] == ["gone"]
+
+
+def test_line_dedup_masks_whole_lines_as_tokens(spark):
+    """A line is masked by one pattern; it has to give what each token by itself gives."""
+    words = ["a", "7", "<*>", "ab1c", "1", "x-9", "é٣", "日本", "b" * 3000, "c" * 3000 + "5", "a\\", "$1"]
+    rnd = random.Random(4)
+    rows = [rnd.choices(words, k=rnd.randint(1, 9)) for _ in range(200)]
+    got = spark.createDataFrame([(r,) for r in rows], "raw array<string>").select("raw", line_dedup.masked_line(F.col("raw")).alias("line"))
+    assert all(r.line == " ".join("<*>" if re.search("[0-9]", t) else t for t in r.raw) for r in got.collect())
+
+
 @pytest.mark.parametrize("by", ["query", "pipeline"])
 def test_repeated_passages_and_templates_go_at_every_size(spark, by):
     import corpus_pipeline
