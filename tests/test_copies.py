@@ -193,3 +193,23 @@ def test_greedy_confusion_pairs_kinds(spark, seed, monkeypatch):
     monkeypatch.setattr(boxes, "iou_pairs", lambda a, b, on: met.append((a.count(), b.count())) or pair(a, b, on))
     assert {(r.gt_label, r.pred_label): r.n for r in boxes.greedy_confusion(pred, gt, 0.4).collect()} == want
     assert met[0] == tuple(len({r[3:] for r in side}) for side in rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_match_in_tasks_is_as_by_rounds(spark, seed, monkeypatch):
+    """E07 wrote every pair of copies in each round; now a frame's kinds are paired in its task, and no round is written."""
+    pred, gt = (boxes_of(spark, seed + k, 90) for k in (0, 50))
+    rounds = sorted(map(tuple, boxes.greedy_match(pred, gt, 0.3, most=0).collect()))
+    some = sorted(map(tuple, boxes.greedy_match(pred, gt, 0.3, most=50).collect()))
+    monkeypatch.setattr(boxes, "Rounds", None)
+    assert sorted(map(tuple, boxes.greedy_match(pred, gt, 0.3).collect())) == rounds == some and sum(r[2] is not None for r in rounds) > 20
+
+
+def boxes_of(spark, seed, n):
+    rnd = random.Random(seed)
+    places = [(rnd.randint(0, 30), rnd.randint(0, 30), rnd.randint(4, 20), rnd.randint(4, 20)) for _ in range(n // 4)]
+    rows = []
+    for i in range(n):
+        x, y, w, h = rnd.choice(places)
+        rows.append((i, rnd.randint(0, 1), rnd.choice("ab"), x, y, x + w, y + h))
+    return spark.createDataFrame(rows, "box_id long, image_id long, label string, x1 long, y1 long, x2 long, y2 long")
