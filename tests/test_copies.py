@@ -213,3 +213,20 @@ def boxes_of(spark, seed, n):
         x, y, w, h = rnd.choice(places)
         rows.append((i, rnd.randint(0, 1), rnd.choice("ab"), x, y, x + w, y + h))
     return spark.createDataFrame(rows, "box_id long, image_id long, label string, x1 long, y1 long, x2 long, y2 long")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_optimal_boxes_of_copies(spark, seed, monkeypatch):
+    """E28, E16: the pairs of all boxes were written in rounds; now a frame's kinds are assigned in its task, with the same sum."""
+    from gridloom.operators import assign
+
+    pred, gt = (boxes_of(spark, seed + k, 60) for k in (0, 50))
+    pairs = boxes.iou_pairs(pred, gt, ["image_id"]).selectExpr("box_id_a AS a", "box_id_b AS b", "iou")
+    every = {(r.a, r.b): r.iou for r in pairs.collect()}
+    want = assign.optimal_pairs(pairs).agg({"iou": "sum"}).first()[0]
+    large = assign.optimal_boxes(pred, gt, ["image_id"], most=0).agg({"iou": "sum"}).first()[0]
+    monkeypatch.setattr(assign, "Rounds", None)
+    got = [tuple(r) for r in assign.optimal_boxes(pred, gt, ["image_id"]).collect()]
+    assert all(every[a, b] == iou for a, b, iou in got)
+    assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got) > 20
+    assert abs(sum(x[2] for x in got) - want) < 1e-9 and abs(large - want) < 1e-9
