@@ -230,3 +230,20 @@ def test_optimal_boxes_of_copies(spark, seed, monkeypatch):
     assert all(every[a, b] == iou for a, b, iou in got)
     assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got) > 20
     assert abs(sum(x[2] for x in got) - want) < 1e-9 and abs(large - want) < 1e-9
+
+
+def test_presence_writes_no_pairs(spark, monkeypatch):
+    """E16 wrote the pairs of its sure boxes and their groups in rounds; now images are assigned in the tasks."""
+    from gridloom.operators import assign
+    from gridloom.plans import assign as plans
+
+    gt, pred = boxes_of(spark, 1, 200), boxes_of(spark, 2, 200).withColumn("score", F.lit(0.99))
+    monkeypatch.setattr(assign, "Rounds", None)
+    assert [(r.thr, r.il_tp, r.il_tn, r.il_fp, r.il_fn) for r in plans.e16_presence(pred, gt).orderBy("thr").collect()] == [(0.5, 2, 0, 0, 0), (0.75, 2, 0, 0, 0)]
+    truth = gt.filter("box_id % 5 = 0")
+    images = gt.select("image_id").distinct()
+    counts = assign.presence_counts(None, pred, truth, images, 0.98, (0.1,), assign.optimal_boxes(pred, truth, ["image_id"]))
+    monkeypatch.undo()
+    pairs = boxes.iou_pairs(pred, truth, ["image_id"]).selectExpr("box_id_a AS a", "box_id_b AS b", "iou")
+    total = lambda df: df.agg({"n_dt": "sum"}).first()[0]
+    assert counts.agg({"tp": "sum"}).first()[0] > 0 and total(counts) == total(assign.presence_counts(pairs, pred, truth, images, 0.98, (0.1,)))
