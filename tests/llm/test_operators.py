@@ -85,6 +85,34 @@ def test_op10_repeats(spark, rows, length, gram):
     assert got == want
 
 
+@pytest.mark.parametrize("head_anchors", [1, 3, 20])
+def test_op10_common_heads_are_dealt_out(spark, monkeypatch, head_anchors):
+    """All anchors of one head met in one task: a phrase said over and over, or a passage of very many documents."""
+    length, gram, rnd = 30, 6, random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcé") for _ in range(n))
+    passage, tails = word(45), [word(k) for k in (1, 5, 20)]
+    rows = [word(rnd.randint(0, 25)) + passage[rnd.choice((0, 0, 0, 4, 12)) :] + rnd.choice(tails) + word(rnd.randint(0, 25)) for _ in range(60)]
+    rows += [word(3) + "is onhe. " * rnd.randint(4, 40) + word(5) for _ in range(20)] + ["q" * 200, "zy" * 20, "zx" * 14 + "z", rows[0]]
+    raw = [t.encode() for t in rows]
+    count = Counter(r[p : p + length] for r in raw for p in range(len(r) - length + 1))
+    want = {}
+    for i, r in enumerate(raw):
+        gone = {k for p in range(len(r) - length + 1) if count[r[p : p + length]] > 1 for k in range(p, p + length)}
+        want[i] = (len(gone), bytes(b for k, b in enumerate(r) if k not in gone))
+    most, dealt = [], suffix_dedup._deal
+
+    def watched(scratch, anchors, *rest):
+        out = dealt(scratch, anchors, *rest)
+        most.append(max([r["count"] for r in out[0].groupBy("h").count().collect()], default=0))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_deal", watched)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, length=length, gram=gram, head_anchors=head_anchors).collect()}
+    assert got == want
+    assert most and max(most) <= head_anchors
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, FOLDER), queries.ORACLES[name], FOLDER)
